@@ -1,0 +1,94 @@
+"""Keyed tables kept as a base plus the changes since.
+
+A micro-batch only appends its changes; readers merge them with the base, and
+``compact`` writes a new base now and then.  So the cost of a micro-batch does
+not grow with the table, a repeated batch replaces its own folder, and a reader
+never sees a half-written base.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.utils import AnalysisException
+
+from tidemark.operators.changes import scd1_merge, upsert_latest
+
+
+class KeyedStore:
+    """Table at ``path`` with one row per ``key``.
+
+    ``mode`` is ``"row"`` (a change replaces the whole row) or ``"cell"`` (null
+    leaves the older value).  ``order`` are change columns that sort the changes
+    of a key; ``deleted`` is a boolean change column.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, key: str, columns: Sequence[str],
+        order: Sequence[str], deleted: str = "deleted", mode: str = "row",
+    ) -> None:
+        if mode not in ("row", "cell"):
+            raise ValueError(f"mode must be 'row' or 'cell', not {mode!r}")
+        self.spark, self.path, self.mode = spark, path.rstrip("/"), mode
+        self.key, self.columns = key, [c for c in columns if c != key]
+        self.order, self.deleted = list(order), deleted
+
+    @property
+    def _change_columns(self) -> list[str]:
+        extra = [c for c in [*self.order, self.deleted] if c not in (self.key, *self.columns)]
+        return [self.key, *self.columns, *extra]
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        """``foreachBatch`` writer: append the changes of one micro-batch."""
+        batch.select(*self._change_columns).write.mode("overwrite").parquet(
+            f"{self.path}/changes/batch_id={batch_id}"
+        )
+
+    def _table(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.path}/{name}")
+        except AnalysisException:
+            return None
+
+    def _state(self) -> tuple[DataFrame | None, int]:
+        """The newest base and the last batch it holds (-1 without a base)."""
+        marks = self._table("bases")
+        if marks is None:
+            return None, -1
+        upto = marks.agg(F.max("upto").alias("upto")).first()["upto"]
+        return self.spark.read.parquet(f"{self.path}/base/upto={upto}"), upto
+
+    def read(self) -> DataFrame | None:
+        """The current table, or None while nothing was written."""
+        base, upto = self._state()
+        changes = self._table("changes")
+        if changes is None:
+            return base
+        fresh = changes.filter(F.col("batch_id") > upto)
+        deleted = F.col(self.deleted)
+        if self.mode == "cell":
+            return scd1_merge(fresh, self.key, self.columns, self.order, deleted, base)
+        if base is None:
+            base = self.spark.createDataFrame(
+                [], fresh.select(self.key, *self.columns).schema
+            )
+        return upsert_latest(base, fresh, [self.key], self.order, deleted)
+
+    def compact(self) -> int:
+        """Write a new base from everything written so far; returns its last batch.
+
+        The mark that makes readers use the base is written after the base itself.
+        """
+        changes = self._table("changes")
+        current, (_, upto) = self.read(), self._state()
+        if changes is None or current is None:
+            return upto
+        last = changes.agg(F.max("batch_id").alias("last")).first()["last"]
+        if last is None or last <= upto:
+            return upto
+        current.write.mode("overwrite").parquet(f"{self.path}/base/upto={last}")
+        self.spark.range(1).select(F.lit(last).cast("bigint").alias("upto")).write.mode(
+            "overwrite"
+        ).parquet(f"{self.path}/bases/mark={last}")
+        return last
