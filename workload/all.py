@@ -1,3 +1,4 @@
 """Import every module that registers queries."""
 
 import workload.scans  # noqa: F401
+import workload.windows  # noqa: F401
