@@ -25,13 +25,14 @@ def parsed(df: DataFrame, schema: str | StructType, value: str = "value") -> Dat
     body = F.from_json(
         text, f"{_ddl(schema)}, {CORRUPT} STRING", {"columnNameOfCorruptRecord": CORRUPT}
     )
-    rows = df.filter(text.isNotNull()).withColumn("_body", body)
-    keep = [c for c in df.columns if c != value]
+    keep = [F.col(c) for c in df.columns if c != value]
+    # A one-element explode makes the parsed record a column of its own: filters
+    # on its fields stay above it instead of each parsing the text again.
+    rows = df.filter(text.isNotNull()).select(*keep, text, F.explode(F.array(body)).alias("_body"))
     broken = F.when(
         F.col("_body").isNull() | ~F.startswith(F.ltrim(text), F.lit("{")), text
     ).otherwise(F.col(f"_body.{CORRUPT}"))
-    rows = rows.withColumn("_broken", broken)
-    return rows.select(*keep, "_body.*", "_broken").drop(CORRUPT).withColumnRenamed(
+    return rows.select(*keep, "_body.*", broken.alias("_broken")).drop(CORRUPT).withColumnRenamed(
         "_broken", CORRUPT
     )
 

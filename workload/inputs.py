@@ -53,6 +53,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df
 
 
+def as_source(df: DataFrame) -> DataFrame:
+    """The same rows as if a source had delivered them.
+
+    Keeps the optimizer from copying the (long) deriving expressions into every
+    filter and column above.
+    """
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_r")).select("_r.*")
+
+
 def views(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.col("ts").alias("rt"), *[F.expr(e).alias(n) for n, e in VIEW.items()]
@@ -85,10 +94,12 @@ def log_texts(spark: SparkSession, sf: str) -> DataFrame:
         F.when(err, F.struct(F.col("k").alias("error_code"))).alias("err"),
         F.unix_millis("rt").alias("ts"),
     )
-    text = F.to_json(record)
-    return views(spark, sf).select(
-        F.when(F.expr(BROKEN), F.left(text, F.lit(20))).when(~F.expr(EMPTY), text).alias("value")
-    )
+    rows = as_source(as_source(views(spark, sf)).select(
+        F.to_json(record).alias("text"), F.expr(BROKEN).alias("broken"), F.expr(EMPTY).alias("empty"),
+    ))
+    return as_source(rows.select(
+        F.when(F.col("broken"), F.left("text", F.lit(20))).when(~F.col("empty"), F.col("text")).alias("value")
+    ))
 
 
 # Order changes: one insert per order, one update per order that left status O.
@@ -130,7 +141,7 @@ def cdc_texts(spark: SparkSession, sf: str) -> DataFrame:
     updates = orders.filter(F.col("o_orderstatus") != "O").select(
         _envelope(F.lit("order_info"), F.lit("update"), at + 60, data(F.expr(ORDER_STATUS)), old).alias("value")
     )
-    return inserts.unionByName(updates)
+    return as_source(inserts.unionByName(updates))
 
 
 # The same change log for DuckDB, as columns.
