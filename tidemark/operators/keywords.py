@@ -7,14 +7,17 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-WORD = r"[\p{L}\p{N}]+"
+NO_WORD = r"[^\p{L}\p{N}]+"
 HAN = r"\p{IsHan}"
-RUN = r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"
+SCRIPT_CHANGE = r"(?<=\p{IsHan})(?!\p{IsHan})|(?<!\p{IsHan})(?=\p{IsHan})"
 
 
-def words(text: Column | str) -> Column:
-    """The runs of letters and digits of a text, in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
+def split_words(text: Column | str) -> Column:
+    """A text cut at everything that is no letter or digit, in lower case.
+
+    The first and the last piece may be empty.
+    """
+    return F.split(F.lower(text), NO_WORD)
 
 
 def explode_words(
@@ -26,8 +29,10 @@ def explode_words(
     ``tokenizer`` replaces the built-in splitting by a Python function, run on
     Arrow batches.  A text it fails on gives one row with a null word.
     """
-    split = words(col) if tokenizer is None else _tokenize(tokenizer)(F.col(col))
-    return df.select(*[c for c in df.columns if c != col], F.explode(split).alias(word))
+    others = [c for c in df.columns if c != col]
+    if tokenizer is not None:
+        return df.select(*others, F.explode(_tokenize(tokenizer)(F.col(col))).alias(word))
+    return df.select(*others, F.explode(split_words(col)).alias(word)).filter(F.col(word) != "")
 
 
 def _tokenize(tokenizer: Callable[[str], Iterable[str]]):
@@ -61,21 +66,34 @@ def segment(df: DataFrame, col: str, dictionary: DataFrame, dict_col: str = "wor
     lengths that occur in the dictionary are tried.
     """
     others = [c for c in df.columns if c != col]
+    pieces = explode_words(df, col, "_piece")
+    # Han characters and others in one piece are runs of their own.
+    one_script = F.when(
+        F.rlike("_piece", F.lit(HAN)), F.split("_piece", SCRIPT_CHANGE)
+    ).otherwise(F.array("_piece"))
     runs = (
-        df.select(*others, F.explode(F.regexp_extract_all(F.lower(col), F.lit(RUN), 0)).alias("_run"))
+        pieces.select(*others, F.explode(one_script).alias("_run")).filter(F.col("_run") != "")
         .groupBy(*others, "_run").agg(F.count("*").alias("_runs"))
     )
-    found = segment_runs(runs.select("_run").distinct(), "_run", dictionary, dict_col)
+    # Looking at the count keeps it in the plan of both uses of the counted runs;
+    # so they are equal to Spark, and the texts are read and shuffled once.
+    distinct = runs.filter(F.col("_runs") > 0).select("_run").distinct()
+    found = segment_runs(distinct, "_run", dictionary, dict_col)
     return (
         runs.join(found, "_run")
-        .groupBy(*others, "word").agg(F.sum(F.col("_runs") * F.col("hits")).alias("n"))
+        .groupBy(*others, "word").agg(F.sum("_runs").alias("n"))
     )
 
 
 def segment_runs(
     runs: DataFrame, run: str, dictionary: DataFrame, dict_col: str = "word",
 ) -> DataFrame:
-    """Words of distinct runs: ``(run, word, hits)``."""
+    """Words of distinct runs: ``(run, word)``, a row for each place the word is found.
+
+    A run is cut at every place into every length the dictionary knows, and is
+    offered once as a whole, so that runs without any hit stay in sight.  What
+    is gathered per run afterwards is no more than its own hits.
+    """
     entries = dictionary.select(F.lower(dict_col).alias("word")).filter(
         F.length("word") > 0
     ).distinct()
@@ -83,33 +101,31 @@ def segment_runs(
     lengths = sorted(
         r[0] for r in entries.select(F.length("word").alias("n")).distinct().collect()
     )
-    spans = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
     size = F.length(run)
-    starts = F.sequence(F.lit(1), size)
-    cuts = (
-        runs.select(run, F.explode(spans).alias("_n"))
-        .filter(F.col("_n") <= size)
-        .select(run, "_n", F.explode(F.sequence(F.lit(1), size - F.col("_n") + 1)).alias("_at"))
-        .withColumn("word", F.col(run).substr(F.col("_at"), F.col("_n")))
+    spans = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+    whole = F.struct(F.lit(0).alias("at"), size.alias("n"))
+    places = F.flatten(F.transform(
+        F.filter(spans, lambda n: n <= size),
+        lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.struct(at.alias("at"), n.alias("n"))),
+    ))
+    cuts = runs.select(run, F.explode(F.concat(F.array(whole), places)).alias("_c")).select(
+        run, "_c.at", "_c.n",
+        F.substring(F.col(run), F.greatest(F.col("_c.at"), F.lit(1)), F.col("_c.n")).alias("word"),
     )
-    hits = cuts.join(entries, "word").select(run, "word", "_at", "_n")
-
-    covered = hits.filter(F.rlike(run, F.lit(HAN))).select(
-        run, F.explode(F.sequence("_at", F.col("_at") + F.col("_n") - 1)).alias("_at")
-    ).distinct()
-    single = (
-        runs.filter(F.rlike(run, F.lit(HAN)))
-        .select(run, F.explode(starts).alias("_at"))
-        .withColumn("word", F.col(run).substr(F.col("_at"), F.lit(1)))
-        .filter(F.rlike("word", F.lit(HAN)))
-        .join(covered, [run, "_at"], "left_anti")
-        .select(run, "word")
+    known = entries.withColumn("_known", F.lit(True))
+    hit = F.col("_known") & (F.col("at") > 0)
+    per_run = cuts.join(known, "word", "left").filter((F.col("at") == 0) | F.col("_known")).groupBy(run).agg(
+        F.collect_list(F.when(hit, F.struct("word", "at", "n"))).alias("_hits")
     )
-    whole = (
-        runs.filter(~F.rlike(run, F.lit(HAN))).select(run, F.col(run).alias("word"))
-        .join(entries, "word", "left_anti").select(run, "word")
+    hits = F.col("_hits")
+    covered = F.flatten(F.transform(hits, lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1)))
+    single = F.transform(
+        F.array_except(F.sequence(F.lit(1), size), covered),
+        lambda at: F.substring(F.col(run), at, F.lit(1)),
     )
-    return (
-        hits.select(run, "word").unionByName(single).unionByName(whole)
-        .groupBy(run, "word").agg(F.count("*").alias("hits"))
+    rest = F.when(F.rlike(run, F.lit(HAN)), single).otherwise(
+        F.when(F.exists(hits, lambda h: h["word"] == F.col(run)), F.array().cast("array<string>"))
+        .otherwise(F.array(run))
     )
+    words_of = F.concat(F.transform(hits, lambda h: h["word"]), rest)
+    return per_run.select(run, F.explode(words_of).alias("word"))

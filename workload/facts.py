@@ -402,8 +402,7 @@ DICT_SQL = f"""
              union all select run, run, 1 from one where run not in (select word from words))
     select lang, word, cast(sum(c * h) as bigint) as n from runs join hits using (run) group by lang, word""")
 def dictionary_segment(spark, sf):
-    known = (
-        table(spark, sf, "part").select(F.explode(keywords.words("p_name")).alias("word"))
-        .unionByName(table(spark, sf, "benchmark").select(F.explode(keywords.words("text")).alias("word")))
+    known = keywords.explode_words(table(spark, sf, "part").select("p_name"), "p_name").unionByName(
+        keywords.explode_words(table(spark, sf, "benchmark").select("text"), "text")
     )
     return keywords.segment(table(spark, sf, "documents").select("lang", "text"), "text", known)
