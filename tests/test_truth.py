@@ -357,11 +357,11 @@ def test_own_tokenizer_and_its_failures(spark):
 
 def test_segmentation_keeps_overlaps_and_uncovered_characters(spark):
     known = spark.createDataFrame([(w,) for w in ["大数", "数据", "班级", "班", "级", "使用", "实时", "时数"]], "word string")
-    df = spark.createDataFrame([(1, "在大数据0524班级使用Flink做实时数仓"), (2, "大数据 大数据")], "n int, text string")
+    df = spark.createDataFrame([(1, "在大数据0524班级使用Spark做实时数仓"), (2, "大数据 大数据")], "n int, text string")
     rows = keywords.segment(df.withColumnRenamed("n", "doc"), "text", known).collect()
     got = {(r.doc, r.word): r["n"] for r in rows}
     assert {w for d, w in got if d == 1} == {
-        "在", "大数", "数据", "0524", "班级", "班", "级", "使用", "flink", "做", "实时", "时数", "仓",
+        "在", "大数", "数据", "0524", "班级", "班", "级", "使用", "spark", "做", "实时", "时数", "仓",
     }
     assert {w: n for (d, w), n in got.items() if d == 2} == {"大数": 2, "数据": 2}
 
