@@ -12,7 +12,7 @@ from array import array
 from itertools import islice
 
 # Words a worker keeps, about 150 bytes each.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 # Texts whose words are looked up together.
 TEXTS_AT_ONCE = 256
 
