@@ -3,3 +3,4 @@
 import tidemark.llm.lengths  # noqa: F401
 import tidemark.llm.packing  # noqa: F401
 import tidemark.llm.keyed  # noqa: F401
+import tidemark.llm.decontaminate  # noqa: F401
