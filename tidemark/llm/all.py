@@ -5,3 +5,4 @@ import tidemark.llm.packing  # noqa: F401
 import tidemark.llm.keyed  # noqa: F401
 import tidemark.llm.decontaminate  # noqa: F401
 import tidemark.llm.outliers  # noqa: F401
+import tidemark.llm.toxicity  # noqa: F401
