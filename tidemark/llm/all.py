@@ -7,3 +7,4 @@ import tidemark.llm.decontaminate  # noqa: F401
 import tidemark.llm.outliers  # noqa: F401
 import tidemark.llm.toxicity  # noqa: F401
 import tidemark.llm.suffixes  # noqa: F401
+import tidemark.llm.similar  # noqa: F401
