@@ -8,3 +8,5 @@ import tidemark.llm.outliers  # noqa: F401
 import tidemark.llm.toxicity  # noqa: F401
 import tidemark.llm.suffixes  # noqa: F401
 import tidemark.llm.similar  # noqa: F401
+import tidemark.llm.main_text  # noqa: F401
+import tidemark.llm.revisits  # noqa: F401
