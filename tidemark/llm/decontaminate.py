@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.common import stored, table, text_batches
 from tidemark.llm.registry import query
@@ -94,14 +95,17 @@ class PrefixIndex:
                                 yield start, window
 
 
-def _hits(docs: DataFrame, items: list, size: int, counts: dict[bytes, int]) -> DataFrame:
-    """Per row of (_row, doc_id, text): its words, the merged hit ranges and the items found."""
+_FOUND = "n_words long, ranges array<struct<start:long,end:long>>, items array<string>"
+
+
+def _hits(rows: DataFrame, items: list, size: int, counts: dict[bytes, int]) -> DataFrame:
+    """``rows`` (text last) with each row's words, its merged hit ranges and the items found."""
     index = PrefixIndex(items, size, counts)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             n_words, ranges, found = [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 words = words_of(text)
                 spans, owners = [], set()
                 for start, window in sorted(index.find(words)):
@@ -114,18 +118,17 @@ def _hits(docs: DataFrame, items: list, size: int, counts: dict[bytes, int]) ->
                 ranges.append([{"start": a, "end": b} for a, b in spans])
                 found.append(sorted(owners))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()),
+                [*batch.columns, pa.array(n_words, pa.int64()),
                  pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                 pa.array(found, pa.list_(pa.string()))], ["_row", "doc_id", "n_words", "ranges", "items"])
+                 pa.array(found, pa.list_(pa.string()))], [*batch.schema.names, "n_words", "ranges", "items"])
 
-    return docs.mapInArrow(
-        find, "_row long, doc_id long, n_words long, ranges array<struct<start:long,end:long>>, items array<string>")
+    return rows.mapInArrow(find, StructType([*rows.schema.fields, *StructType.fromDDL(_FOUND).fields]))
 
 
 def contamination(
     docs: DataFrame, items: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Per document: n_words, hit word ranges and the sorted ids of items with a window in it.
+    """``docs`` (any columns) with n_words, hit word ranges and the sorted ids of items with a window in it.
 
     Documents are scanned where they lie; what travels to them is a block of items
     of bounded size, so frequent words make no hot key.  More items than a block
@@ -133,22 +136,26 @@ def contamination(
     words; a null item_id hits words but is not listed; an item without words has
     no window; repeated rows are reported each.
     """
+    others = [c for c in docs.columns if c != "text"]
+    if clash := {c.lower() for c in others} & {"_row", "n_words", "ranges", "items"}:
+        raise ValueError(f"rename the columns {sorted(clash)}")
     blocks = _blocks(items, block_bytes)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if len(blocks) > 1:
-        rows = stored(rows, "decontaminate")  # row numbers that every pass agrees on
+    rows = docs.select(*others, "text")
+    several = len(blocks) > 1
+    if several:  # row numbers that every pass agrees on
+        rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), *others, "text"), "decontaminate")
     parts = []
     for block in blocks:
         own = [(r.item_id, r.text) for r in block.collect()]
         wanted = {s for _, text in own for w in windows_of(words_of(text), size) for s in _shingles(w)}
         counts = {bytes(r.shingle): r.n for r in shingle_counts(rows, wanted).collect()} if wanted else {}
-        parts.append(_hits(rows, own, size, counts))
-    if len(parts) == 1:
-        return parts[0].drop("_row")
-    whole = parts[0]
+        parts.append(_hits(rows.select("_row", "text") if several else rows, own, size, counts))
+    if not several:
+        return parts[0]
+    whole = parts[0].drop("text")
     for part in parts[1:]:
-        whole = whole.union(part)
-    merged = whole.groupBy("_row", "doc_id", "n_words").agg(
+        whole = whole.union(part.drop("text"))
+    merged = whole.groupBy("_row", "n_words").agg(
         F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     step = F.aggregate(
@@ -159,13 +166,15 @@ def contamination(
                 F.element_at(done, -1)["start"].alias("start"),
                 F.greatest(F.element_at(done, -1)["end"], r["end"]).alias("end")))),
         ).otherwise(F.concat(done, F.array(r))))
-    return merged.withColumn("ranges", F.when(F.size("ranges") > 0, step).otherwise(F.col("ranges"))).drop("_row")
+    merged = merged.withColumn("ranges", F.when(F.size("ranges") > 0, step).otherwise(F.col("ranges")))
+    return rows.join(merged, "_row").drop("_row")
 
 
 @query("op6_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of benchmark windows in every document."""
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),

@@ -35,7 +35,7 @@ def _strong(tag: Column) -> Column:
 def resolve(captures: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Each revisit with the latest earlier full response of its canonical URL, checked and merged.
 
-    ``captures``: record_id, kind ("response" or "revisit"), status, url, at (long
+    ``captures``: record_id, kind ("response" or "revisit"), status, url, captured_at (long
     seconds), digest, the headers of RENEWED and STORED.  Only responses of status 200
     can be referred to, and only earlier ones; of several at one time the largest
     record_id counts.  The first validator the revisit has decides: entity tag (weak
@@ -47,19 +47,19 @@ def resolve(captures: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFram
     latest response; the latest of earlier slices comes from one row per URL and
     slice.  So a URL with most of all captures is spread over its slices.
     """
-    fields = ["at", "record_id", "digest", *RENEWED, *STORED]
+    fields = ["captured_at", "record_id", "digest", *RENEWED, *STORED]
     rows = captures.select(
-        "record_id", "kind", "status", "digest", F.col("at").cast("long").alias("at"), *RENEWED, *STORED,
-        canonical_url(F.col("url")).alias("page")).withColumn("slice", F.floor(F.col("at") / slice_seconds))
-    known = rows.filter(F.col("page").isNotNull() & F.col("at").isNotNull())
+        "record_id", "kind", "status", "digest", F.col("captured_at").cast("long").alias("captured_at"), *RENEWED, *STORED,
+        canonical_url(F.col("url")).alias("page")).withColumn("slice", F.floor(F.col("captured_at") / slice_seconds))
+    known = rows.filter(F.col("page").isNotNull() & F.col("captured_at").isNotNull())
     full = F.when((F.col("kind") == "response") & (F.col("status") == 200), F.struct(*fields))
-    inside = Window.partitionBy("page", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("page", "slice").orderBy("captured_at").rangeBetween(Window.unboundedPreceding, -1)
     found = known.withColumn("near", F.max(full).over(inside)).filter("kind = 'revisit'")
     before = Window.partitionBy("page").orderBy("slice").rangeBetween(Window.unboundedPreceding, -1)
     slices = known.groupBy("page", "slice").agg(F.max(full).alias("latest")).select(
         "page", "slice", F.max("latest").over(before).alias("far"))
     joined = found.join(slices, ["page", "slice"]).withColumn("was", F.coalesce("near", "far")).drop("near", "far")
-    lost = rows.filter("kind = 'revisit'").filter(F.col("page").isNull() | F.col("at").isNull()).withColumn(
+    lost = rows.filter("kind = 'revisit'").filter(F.col("page").isNull() | F.col("captured_at").isNull()).withColumn(
         "was", F.lit(None).cast(joined.schema["was"].dataType))
     judged = joined.unionByName(lost).withColumn(
         "same",
@@ -70,8 +70,8 @@ def resolve(captures: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFram
                .when(F.col("same"), "resolved").otherwise("mismatch"))
     merged = outcome.isin("resolved", "unchecked")
     return judged.select(
-        "record_id", "page", "at", outcome.alias("outcome"), F.col("was.record_id").alias("refers_to"),
-        F.col("was.at").alias("refers_at"),
+        "record_id", "page", "captured_at", outcome.alias("outcome"), F.col("was.record_id").alias("refers_to"),
+        F.col("was.captured_at").alias("refers_at"),
         *[F.when(merged, F.coalesce(F.col(h), F.col(f"was.{h}"))).alias(h) for h in RENEWED],
         *[F.when(merged, F.col(f"was.{h}")).alias(h) for h in STORED])
 
@@ -91,7 +91,7 @@ def crawl(pages: DataFrame) -> DataFrame:
     first = pages.select(
         *common, (2 * F.col("page_id")).alias("record_id"), F.lit("response").alias("kind"),
         F.when(F.col("page_id") % 16 == 9, 503).otherwise(200).alias("status"),
-        (F.col("page_id") * 60).alias("at"), F.md5("html").alias("digest"),
+        (F.col("page_id") * 60).alias("captured_at"), F.md5("html").alias("digest"),
         F.lit("max-age=60").alias("cache_control"), none.alias("content_location"),
         F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("date"),
         F.when(case != 5, F.when(case == 2, F.concat(F.lit("W/"), tag)).otherwise(tag)).alias("etag"),
@@ -99,7 +99,7 @@ def crawl(pages: DataFrame) -> DataFrame:
         F.octet_length("html").cast("string").alias("content_length"), day.alias("last_modified"))
     again = pages.select(
         *common, (2 * F.col("page_id") + 1).alias("record_id"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
-        (F.col("page_id") * 60 + (F.col("page_id") * 7919) % 40000 - 600).alias("at"),
+        (F.col("page_id") * 60 + (F.col("page_id") * 7919) % 40000 - 600).alias("captured_at"),
         F.when(case == 6, F.md5("html")).alias("digest"),
         F.when(case != 1, F.lit("max-age=600")).alias("cache_control"), none.alias("content_location"),
         F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("date"),
@@ -120,25 +120,25 @@ with shortened as (
   select *, regexp_replace(url, '#.*$', '') bare from pages
 ), pages2 as (
   select *, coalesce(array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
-    p -> p <> '' and not regexp_matches(p, '{TRACKING}'))), '&'), '') asked from shortened
+    lambda p: p <> '' and not regexp_matches(p, '{TRACKING}'))), '&'), '') asked from shortened
 ), named as (
   select page_id, html, {_CANONICAL} page, '"' || substr(md5(html), 1, 16) || '"' tag,
     'day ' || cast(page_id % 97 as varchar) as day_, page_id % 8 as kase from pages2
 ), responses as (
-  select page, page_id * 60 as at, 2 * page_id as record_id, md5(html) digest, 't' || cast(page_id as varchar) as date,
+  select page, page_id * 60 as captured_at, 2 * page_id as record_id, md5(html) digest, 't' || cast(page_id as varchar) as date,
     case when kase <> 5 then case when kase = 2 then 'W/' || tag else tag end end etag,
     cast(strlen(html) as varchar) content_length, day_ last_modified,
     row_number() over (partition by page, page_id * 60 order by page_id desc) as nth
   from named where page_id % 16 <> 9
 ), revisits as (
-  select page, page_id * 60 + (page_id * 7919) % 40000 - 600 as at, 2 * page_id + 1 as record_id,
+  select page, page_id * 60 + (page_id * 7919) % 40000 - 600 as captured_at, 2 * page_id + 1 as record_id,
     case when kase = 6 then md5(html) end digest, case when kase <> 1 then 'max-age=600' end cache_control,
     'r' || cast(page_id as varchar) as date, case when kase < 3 then tag when kase = 3 then '"other"' end etag,
     case when kase in (4, 5) then day_ end last_modified
   from named
 ), paired as (
-  select v.*, r.record_id rid, r.at rat, r.etag retag, r.last_modified rmod, r.digest rdig, r.content_length rlen
-  from revisits v asof left join (select * from responses where nth = 1) r on v.page = r.page and v.at > r.at
+  select v.*, r.record_id rid, r.captured_at rat, r.etag retag, r.last_modified rmod, r.digest rdig, r.content_length rlen
+  from revisits v asof left join (select * from responses where nth = 1) r on v.page = r.page and v.captured_at > r.captured_at
 ), judged as (
   select *, case when etag is not null then coalesce(regexp_replace(etag, '^W/', '') = regexp_replace(retag, '^W/', ''), false)
     when last_modified is not null then coalesce(last_modified = rmod, false)
@@ -148,7 +148,7 @@ with shortened as (
   select *, case when rid is null then 'no_response' when same is null then 'unchecked' when same then 'resolved'
     else 'mismatch' end outcome from judged
 )
-select record_id, page, at, outcome, rid refers_to, rat refers_at,
+select record_id, page, captured_at, outcome, rid refers_to, rat refers_at,
   case when outcome in ('resolved', 'unchecked') then coalesce(cache_control, 'max-age=60') end cache_control,
   case when outcome in ('resolved', 'unchecked') then date end date,
   case when outcome in ('resolved', 'unchecked') then coalesce(etag, retag) end etag,
