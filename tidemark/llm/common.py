@@ -31,3 +31,9 @@ def text_batches(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``df`` without columns of these names, in any case: an operator's own columns take their place."""
+    taken = {n.lower() for n in names}
+    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import stored, table, text_batches
+from tidemark.llm.common import stored, table, text_batches, without
 from tidemark.llm.registry import query
 
 WINDOW = 10
@@ -134,11 +134,11 @@ def contamination(
     of bounded size, so frequent words make no hot key.  More items than a block
     holds take more passes, whose hits are joined per row.  Null texts have no
     words; a null item_id hits words but is not listed; an item without words has
-    no window; repeated rows are reported each.
+    no window; repeated rows are reported each.  Columns named like the new ones are
+    replaced.
     """
+    docs = without(docs, ["_row", "n_words", "ranges", "items"])
     others = [c for c in docs.columns if c != "text"]
-    if clash := {c.lower() for c in others} & {"_row", "n_words", "ranges", "items"}:
-        raise ValueError(f"rename the columns {sorted(clash)}")
     blocks = _blocks(items, block_bytes)
     rows = docs.select(*others, "text")
     several = len(blocks) > 1

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import stored, table, text_batches
+from tidemark.llm.common import stored, table, text_batches, without
 from tidemark.llm.registry import query
 
 _SPACES = re.compile("[\x20\x09-\x0d]+")
@@ -52,13 +52,12 @@ def word_stats(text: str | None) -> tuple[int, int, int, int, int, int]:
 def with_stats(docs: DataFrame) -> DataFrame:
     """``docs`` (any columns) with the word statistics and the base rule's verdict.
 
-    A null text has no words.  The texts pass through, nothing is shuffled.
+    A null text has no words.  The texts pass through, nothing is shuffled.  Columns
+    that have the names of the new ones are replaced.
     """
     names = [*STATS, "n_lines"]
+    docs = without(docs, [*names, "base_failed"])
     out = StructType(list(docs.schema.fields))
-    taken = {f.name.lower() for f in out.fields}
-    if clash := taken & {*names, "base_failed"}:
-        raise ValueError(f"rename the columns {sorted(clash)}")
     at = [f.name for f in out.fields].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +200,10 @@ def fit_rules(stats: DataFrame, half: float = HALF, least_rows: int = LEAST_ROWS
 def apply_rules(stats: DataFrame, rules: DataFrame, tail: float = TAIL) -> DataFrame:
     """``stats`` (any further columns) with d2, the squared robust distance, and kept.
 
-    A row that fails the base rule has no distance and is not kept.
+    A row that fails the base rule has no distance and is not kept.  Columns that
+    have the names of the new ones, or of the estimates, are left out.
     """
+    stats = without(stats, ["d2", "kept", "_s", *DIMENSIONS, *rules.columns])
     columns = [F.col(c) for c in stats.columns]
     far = chi2_quantile(1 - tail, 4)
     return (

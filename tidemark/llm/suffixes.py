@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import stored, table, text_batches
+from tidemark.llm.common import stored, table, text_batches, without
 from tidemark.llm.registry import query
 
 LENGTH = 200
@@ -389,10 +389,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     starts elsewhere, in this or another text; kept: the other bytes.  All copies are
     removed, judged on the input.  A null text is empty; shorter texts have no such
     string; equal rows are copies of each other.
+    Columns named h, hits, spans or kept are replaced.
     """
-    taken = {c.lower() for c in docs.columns}
-    if clash := taken & {"h", "spans", "kept", "hits"}:
-        raise ValueError(f"rename the columns {sorted(clash)}")
+    docs = without(docs, ["h", "spans", "kept", "hits"])
     keyed = _keyed(docs)
     found = repeats(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "h", "text"), length)
     joined = keyed.alias("d").join(found.alias("f"), _same_row("d", "f"), "left").select(

@@ -135,13 +135,14 @@ def _counted(seen: Counter, name: str) -> pa.RecordBatch:
 
 def fit(
     docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES,
-    prior: float = 10.0, least_z: float = 2.5, least_odds: float = 3.0, least_docs: int = 4, drift: float = 1.0,
+    prior: float = 10.0, least_z: float = 2.5, least_odds: float = 2.0, least_docs: int = 4, drift: float = 1.0,
 ) -> ToxicModel:
     """Fit on labelled rows outside fold 0: at most ``max_labelled``, drawn by a hash of the id.
 
     Folds 1 to 3 give the features and their log-odds (documents that hold them, with
     a Dirichlet prior of weight ``prior`` shaped like both classes together); fold 4
-    gives the tail of clean scores and the final calibration.  Of equal texts one counts.  Rows without a label
+    chooses how strong a feature has to be and gives the tail of clean scores and the
+    final calibration.  Of equal texts one counts.  Rows without a label
     are left out; without any toxic row every score is that of an empty text.
     """
     own = fold_of()
@@ -176,22 +177,29 @@ def fit(
                 scored.append((z, feature, odds))
         wanted = {f for _, f, _ in scored}
     scored.sort(reverse=True)
-    model = ToxicModel({f: odds for _, f, odds in scored[:max_features]}, drift)
+    # How strict the choice should be is told by fold 4 as well.
+    models = [ToxicModel({f: odds for z, f, odds in scored if z >= z_min and odds >= odds_min}, drift)
+              for z_min in (0.0, 3.0) for odds_min in (0.0, 2.5, 3.0, 4.0)]
+    for model in models:
+        model.odds = dict(list(model.odds.items())[:max_features])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.list_(pa.float64()))
         for batch in text_batches(batches):
-            out = [model.segments(t) for t in batch.column(1).to_pylist()]
+            out = [[model.segments(t) for model in models] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for n, _ in out], pa.int64()),
-                 pa.array([[s for s, _, _ in x] for _, x in out], pa.list_(pa.float64()))], ["toxic", "n", "segments"])
+                [batch.column(0), pa.array([x[0][0] for x in out], pa.int64()),
+                 pa.array([[[s for s, _, _ in own] for _, own in x] for x in out], kind)], ["toxic", "n", "segments"])
 
     seen = rows.filter("fold = 4").select("toxic", "text").mapInArrow(
-        measure, "toxic int, n long, segments array<double>").collect()  # bounded by the sample
-    _calibrate(model, [(r.toxic, r.n, [(s, 0, 0) for s in r.segments]) for r in seen])
-    return model
+        measure, "toxic int, n long, segments array<array<double>>").collect()  # bounded by the sample
+    losses = [_calibrate(model, [(r.toxic, r.n, [(s, 0, 0) for s in r.segments[k]]) for r in seen])
+              for k, model in enumerate(models)]
+    return models[int(np.argmin(losses))]
 
 
-def _calibrate(model: ToxicModel, seen: list[tuple[int, int, list]]) -> None:
+def _calibrate(model: ToxicModel, seen: list[tuple[int, int, list]]) -> float:
+    """Set the model's last parameters; returns its mean log loss."""
     # Segments of clean texts: their scores above the least feature decay as
     # exp(-rate * s); one segment of mean score is added so that the rate is finite.
     floor = min(model.odds.values(), default=1.0)
@@ -205,7 +213,7 @@ def _calibrate(model: ToxicModel, seen: list[tuple[int, int, list]]) -> None:
     y = np.array([t for t, _, _ in seen], float)
     if not len(x) or y.min() == y.max():
         model.offset = -2.0
-        return
+        return 0.0
     a, b = 1.0, -2.0
     for _ in range(100):  # Newton steps with a weak prior on both
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -60, 60)))
@@ -215,6 +223,8 @@ def _calibrate(model: ToxicModel, seen: list[tuple[int, int, list]]) -> None:
         step = np.clip(np.linalg.solve(hess, grad), -2, 2)
         a, b = a + step[0], b + step[1]
     model.slope, model.offset = max(float(a), 1e-6), float(b)
+    p = np.clip(1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -60, 60))), 1e-6, 1 - 1e-6)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
