@@ -149,16 +149,6 @@ def test_lookup_drops_and_enrich_keeps(spark):
     assert rows_of(joins.enrich(df, dim, "code", values), "n", "name") == [(1, "Alpha"), (2, None), (3, None)]
 
 
-def test_small_side_only_marks_small_tables(spark):
-    df = spark.range(50)
-
-    def hinted(side):
-        return "broadcast" in side._jdf.queryExecution().logical().toString().lower()
-
-    assert hinted(joins.small_side(df, 50))
-    assert not hinted(joins.small_side(df, 49))
-
-
 # --- first-of-key -------------------------------------------------------------
 
 @pytest.mark.parametrize("gap, back", [(6, 0), (7, 1), (8, 1)])
@@ -210,36 +200,62 @@ def log_rows(spark):
         '{"common":{"mid":"m","is_new":"1"},"page":{"page_id":"list"},"displays":[{"item":"1","pos_id":3},'
         '{"item":"2"}],"actions":[{"action_id":"add","ts":9,"n":{"deep":[1,2]}}],"ts":3}',
     ]
-    df = spark.createDataFrame([(r,) for r in raw], "value string")
-    return fn.parse_json(df, S.LOG)[0]
+    raw += [
+        '{"common":{"mid":null,"is_new":"1","x":[1]},"page":{"page_id":"p","during_time":"12"},"extra":{"n":1.50},"ts":"4"}',
+        '{"common":{"mid":"old","is_new":"0"},"page":{},"ts":1}', '{"common":{"mid":"old","is_new":"1","y":2},"page":{"z":null},"ts":5}',
+        '{"cut', '[1]', None,
+    ]
+    return traffic.repair_log(traffic.log_heads(spark.createDataFrame([(r,) for r in raw], "value string")))
 
 
 def test_split_log(spark):
     parts = traffic.split_log(log_rows(spark))
     assert {k: v.count() for k, v in parts.items()} == {
-        "error": 2, "start": 1, "page": 2, "display": 2, "action": 1
+        "error": 2, "start": 1, "page": 5, "display": 2, "action": 1, "bad": 2,
     }
-    assert not {"displays", "actions"} & set(parts["page"].columns)
-    assert rows_of(parts["display"], "item", "ts", "page_id") == [("1", 3, "list"), ("2", 3, "list")]
 
 
 def test_split_log_records_keep_open_fields(spark):
     import json
 
-    rows = [(r.topic, json.loads(r.value)) for r in traffic.split_log_records(log_rows(spark)).collect()]
     by_topic = {}
-    for topic, value in rows:
-        by_topic.setdefault(topic, []).append(value)
-    assert {t: len(v) for t, v in by_topic.items()} == {
-        "dwd_traffic_err": 2, "dwd_traffic_start": 1, "dwd_traffic_page": 2,
-        "dwd_traffic_display": 2, "dwd_traffic_action": 1,
-    }
-    assert by_topic["dwd_traffic_action"] == [{
-        "action_id": "add", "n": {"deep": [1, 2]}, "ts": 3, "page_id": "list",
-        "common": {"mid": "m", "is_new": "1"},
-    }]
-    assert {"code": 7} in [v["err"] for v in by_topic["dwd_traffic_err"]]
-    assert by_topic["dwd_traffic_start"][0]["start"] == {"entry": "icon"}
+    for r in traffic.split_log_records(log_rows(spark)).collect():
+        by_topic.setdefault(r.topic, []).append(r.value if r.topic == "dwd_traffic_bad" else json.loads(r.value))
+    common = {"mid": "m", "is_new": "1"}
+    shown = {"common": common, "ts": 3, "page_id": "list"}
+    assert sorted(by_topic["dwd_traffic_display"], key=str) == sorted(
+        [{"item": "1", "pos_id": 3, **shown}, {"item": "2", **shown}], key=str)
+    assert by_topic["dwd_traffic_action"] == [{"action_id": "add", "n": {"deep": [1, 2]}, **shown}]
+    first = {"common": common, "page": {"page_id": "home"}, "err": {"code": 7}, "ts": 1}
+    started = {"common": common, "start": {"entry": "icon"}, "err": {"code": 8}, "ts": 2}
+    order = lambda rows: sorted(rows, key=lambda r: str(r["ts"]))
+    assert order(by_topic["dwd_traffic_err"]) == [first, started]
+    assert by_topic["dwd_traffic_start"] == [started]
+    assert order(by_topic["dwd_traffic_page"])[-3:] == [
+        {"common": common, "page": {"page_id": "list"}, "ts": 3},
+        {"common": {"mid": None, "is_new": "1", "x": [1]}, "page": {"page_id": "p", "during_time": "12"}, "extra": {"n": 1.5}, "ts": "4"},
+        {"common": {"mid": "old", "is_new": "0", "y": 2}, "page": {"z": None}, "ts": 5},
+    ]
+    assert sorted(by_topic["dwd_traffic_bad"]) == ["[1]", '{"cut']
+
+
+def test_log_is_parsed_whole_only_once(spark):
+    plan = traffic.split_log_records(log_rows(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_parse_json") + plan.count("parseJson(") == 1, plan
+
+
+def test_page_log_takes_quoted_numbers_and_reports_bad(spark):
+    rows = ['{"common":{"mid":"m"},"page":{"page_id":"p","during_time":"12"},"ts":"1000","more":1}', "x", "[2]", None]
+    good, bad = traffic.page_log(spark.createDataFrame([(r,) for r in rows], "value string"))
+    assert rows_of(good, "mid", "page_id", "during_time", "ts") == [("m", "p", 12, 1000)]
+    assert rows_of(bad, "value") == [("[2]",), ("x",)]
+
+
+def test_parse_json_takes_quoted_numbers(spark):
+    rows = ['{"a":"1","b":{"c":"2.5","d":["3",4]},"e":"x"}', '{"a":"no","b":null,"e":null}']
+    good, bad = fn.parse_json(spark.createDataFrame([(r,) for r in rows], "value string"), "a BIGINT, b STRUCT<c: DOUBLE, d: ARRAY<INT>>, e STRING")
+    assert bad.count() == 0
+    assert [(r.a, r.b and (r.b.c, r.b.d), r.e) for r in good.collect()] == [(1, (2.5, [3, 4]), "x"), (None, None, None)]
 
 
 def test_login_and_search_pages(spark):
@@ -413,11 +429,14 @@ def test_payment_status_is_optional(spark):
     assert rows_of(cdc.payment_info(log, status="1602"), "id") == [("1",)]
 
 
-def test_storage_keys(spark):
-    df = spark.createDataFrame([("1", "00|,01|"), ("27", "00|,01|"), ("x", None)], "k string, p string")
-    got = [r.s for r in df.select(fn.spread_key("k", "p").alias("s")).collect()]
-    # 31-polynomial hashes: "1" -> 49, "27" -> 50 * 31 + 55 = 1605; three prefixes.
-    assert got == ["01_1", "00_27", "x"]
+def test_spread_splits_a_hot_key(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(4000).select(F.lit("hot").alias("k"), "id")
+    placed = fn.spread(df, ["k"], 8, ["id"]).withColumn("p", F.spark_partition_id())
+    assert placed.count() == 4000 and placed.select("p").distinct().count() > 1
+    slices = placed.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(8))).groupBy("s").agg(F.count_distinct("p").alias("n"))
+    assert {r.n for r in slices.collect()} == {1}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_comment_fact_columns(spark):

@@ -3,28 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType, DataType, MapType, NumericType, StringType, StructField, StructType,
+)
 
 from tidemark.functions.times import _col
 
 CORRUPT = "_corrupt_record"
 
 
-def _ddl(schema: str | StructType) -> str:
-    return schema if isinstance(schema, str) else schema.toDDL()
+def _struct(schema: str | StructType) -> StructType:
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def _relaxed(kind: DataType) -> DataType:
+    """``kind`` with texts in place of numbers: JSON numbers may come quoted."""
+    if isinstance(kind, NumericType):
+        return StringType()
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _relaxed(f.dataType), True) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        return ArrayType(_relaxed(kind.elementType))
+    if isinstance(kind, MapType):
+        return MapType(_relaxed(kind.keyType), _relaxed(kind.valueType))
+    return kind
 
 
 def parsed(df: DataFrame, schema: str | StructType, value: str = "value") -> DataFrame:
     """Parse ``value`` once; adds the schema's columns and ``_corrupt_record``.
 
     ``_corrupt_record`` holds the text of a record that is no JSON object of the
-    given shape, else null.  Rows with a null value are dropped: they are
-    deletion markers, not records.
+    given shape, else null.  Numbers may be quoted; a text that is no number gives
+    null.  Rows with a null value are dropped: they are deletion markers, not records.
     """
-    text = F.col(value)
-    body = F.from_json(
-        text, f"{_ddl(schema)}, {CORRUPT} STRING", {"columnNameOfCorruptRecord": CORRUPT}
-    )
+    text, shape = F.col(value), _struct(schema)
+    relaxed = _relaxed(shape).add(CORRUPT, StringType())
+    body = F.from_json(text, relaxed, {"columnNameOfCorruptRecord": CORRUPT})
+    fields = [
+        (F.col(f"_body.`{f.name}`") if _relaxed(f.dataType) == f.dataType
+         else F.col(f"_body.`{f.name}`").try_cast(f.dataType)).alias(f.name)
+        for f in shape.fields
+    ]
     keep = [F.col(c) for c in df.columns if c != value]
     # A one-element explode makes the parsed record a column of its own: filters
     # on its fields stay above it instead of each parsing the text again.
@@ -32,9 +51,7 @@ def parsed(df: DataFrame, schema: str | StructType, value: str = "value") -> Dat
     broken = F.when(
         F.col("_body").isNull() | ~F.startswith(F.ltrim(text), F.lit("{")), text
     ).otherwise(F.col(f"_body.{CORRUPT}"))
-    return rows.select(*keep, "_body.*", broken.alias("_broken")).drop(CORRUPT).withColumnRenamed(
-        "_broken", CORRUPT
-    )
+    return rows.select(*keep, *fields, broken.alias(CORRUPT))
 
 
 def parse_json(

@@ -27,17 +27,16 @@ def upsert_latest(
     return kept.unionByName(newest.filter(~F.col("_deleted")).select(*target.columns))
 
 
-def scd1_changes(
+def fold_cells(
     changes: DataFrame, key: str, columns: Sequence[str], order: Sequence[str], deleted: Column,
 ) -> DataFrame:
-    """Fold the changes of each key into one row.
-
-    Per column the newest value that is not null counts, if it is newer than the
-    key's newest delete.  Gives the key, ``columns``, ``_wiped`` (the key was
-    deleted at some point) and ``_present`` (something was put after that).
+    """What has to be remembered of each key's changes: one row per key.
 
-    One aggregate does it all: a column's newest value is compared with the
-    newest delete afterwards, so nothing has to be joined or sorted per key.
+    ``_last_delete`` and ``_last_put`` are the newest order values of either kind,
+    ``_new_<column>`` the newest value that is not null, with its order values.
+    Of two changes with equal order values a put counts as later than a delete, and
+    the larger value as later than the smaller, so the result never depends on how
+    the changes were cut into batches.
     """
     at = F.struct(*order)
     gone = F.coalesce(deleted, F.lit(False))
@@ -50,10 +49,18 @@ def scd1_changes(
         aggs.append(
             F.max(F.when(filled, F.struct(at.alias("at"), F.col(c).alias("value")))).alias(f"_new_{c}")
         )
-    folded = changes.groupBy(key).agg(*aggs)
+    return changes.groupBy(key).agg(*aggs)
+
+
+def merge_cells(folded: DataFrame, key: str) -> DataFrame:
+    """Several folded rows of a key as one."""
+    return folded.groupBy(key).agg(*[F.max(c).alias(c) for c in folded.columns if c != key])
 
+
+def cells_now(folded: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """The key, ``columns`` as they are now, ``_wiped`` (deleted at some point) and ``_present``."""
     def after_delete(when: Column) -> Column:
-        return F.col("_last_delete").isNull() | (when > F.col("_last_delete"))
+        return F.col("_last_delete").isNull() | (when >= F.col("_last_delete"))
 
     return folded.select(
         key,
@@ -66,6 +73,21 @@ def scd1_changes(
     )
 
 
+def scd1_changes(
+    changes: DataFrame, key: str, columns: Sequence[str], order: Sequence[str], deleted: Column,
+) -> DataFrame:
+    """Fold the changes of each key into one row.
+
+    Per column the newest value that is not null counts, if it is not older than the
+    key's newest delete.  Gives the key, ``columns``, ``_wiped`` (the key was
+    deleted at some point) and ``_present`` (something was put after that).
+
+    One aggregate does it all: a column's newest value is compared with the
+    newest delete afterwards, so nothing has to be joined or sorted per key.
+    """
+    return cells_now(fold_cells(changes, key, columns, order, deleted), key, columns)
+
+
 def scd1_merge(
     changes: DataFrame, key: str, columns: Sequence[str], order: Sequence[str],
     deleted: Column, snapshot: DataFrame | None = None,

@@ -1,4 +1,8 @@
-"""Joins: sized broadcast, lookup, enrichment, interval join."""
+"""Joins: lookup, enrichment, interval join.
+
+Which side is broadcast is left to Spark: its byte threshold and, at run time, AQE
+decide from real sizes.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +10,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_BROADCAST_ROWS = 100_000
-
-
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for a broadcast join if a count shows it is small enough.
-
-    The count stops after ``max_rows + 1`` rows.  A larger table is returned as
-    it is: Spark then sizes the join itself and AQE splits skewed partitions.
-    """
-    if not df.isStreaming and df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
 
 def lookup_join(
     df: DataFrame, dim: DataFrame, key: str, values: Mapping[str, Column | str],

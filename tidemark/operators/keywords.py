@@ -90,42 +90,42 @@ def segment_runs(
 ) -> DataFrame:
     """Words of distinct runs: ``(run, word)``, a row for each place the word is found.
 
-    A run is cut at every place into every length the dictionary knows, and is
-    offered once as a whole, so that runs without any hit stay in sight.  What
-    is gathered per run afterwards is no more than its own hits.
+    A run is cut at every place into every length the dictionary knows.  In a run
+    without Han characters the hits are joined straight to it, and the run itself is
+    a word if no entry equals it.  Runs with Han characters also need to know which
+    characters no entry covers; what is gathered for that is one run's own hits.
     """
     entries = dictionary.select(F.lower(dict_col).alias("word")).filter(
         F.length("word") > 0
     ).distinct()
-    # One number per word length: as few rows as the longest word has characters.
-    lengths = sorted(
-        r[0] for r in entries.select(F.length("word").alias("n")).distinct().collect()
-    )
+    # The lengths in use: as few numbers as the longest word has characters.
+    lengths = entries.agg(F.sort_array(F.collect_set(F.length("word"))).alias("n")).scalar()
     size = F.length(run)
-    spans = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
-    whole = F.struct(F.lit(0).alias("at"), size.alias("n"))
     places = F.flatten(F.transform(
-        F.filter(spans, lambda n: n <= size),
+        F.filter(F.coalesce("_lengths", F.array().cast("array<int>")), lambda n: n <= size),
         lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.struct(at.alias("at"), n.alias("n"))),
     ))
-    cuts = runs.select(run, F.explode(F.concat(F.array(whole), places)).alias("_c")).select(
-        run, "_c.at", "_c.n",
-        F.substring(F.col(run), F.greatest(F.col("_c.at"), F.lit(1)), F.col("_c.n")).alias("word"),
-    )
-    known = entries.withColumn("_known", F.lit(True))
-    hit = F.col("_known") & (F.col("at") > 0)
-    per_run = cuts.join(known, "word", "left").filter((F.col("at") == 0) | F.col("_known")).groupBy(run).agg(
-        F.collect_list(F.when(hit, F.struct("word", "at", "n"))).alias("_hits")
+    han = F.rlike(run, F.lit(HAN))
+
+    def hits_in(rows: DataFrame) -> DataFrame:
+        cuts = rows.select(run, lengths.alias("_lengths")).select(run, F.explode(places).alias("_c")).select(
+            run, "_c.at", "_c.n", F.substring(F.col(run), F.col("_c.at"), F.col("_c.n")).alias("word"),
+        )
+        return cuts.join(entries, "word")
+
+    plain, script = runs.filter(~han), runs.filter(han)
+    whole = plain.join(entries, F.col(run) == F.col("word"), "left_anti").select(run, F.col(run).alias("word"))
+    per_run = script.join(
+        hits_in(script).groupBy(run).agg(F.collect_list(F.struct("word", "at", "n")).alias("_hits")), run, "left"
     )
-    hits = F.col("_hits")
+    hits = F.coalesce("_hits", F.array().cast("array<struct<word:string,at:int,n:int>>"))
     covered = F.flatten(F.transform(hits, lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1)))
     single = F.transform(
         F.array_except(F.sequence(F.lit(1), size), covered),
         lambda at: F.substring(F.col(run), at, F.lit(1)),
     )
-    rest = F.when(F.rlike(run, F.lit(HAN)), single).otherwise(
-        F.when(F.exists(hits, lambda h: h["word"] == F.col(run)), F.array().cast("array<string>"))
-        .otherwise(F.array(run))
+    words_of = F.concat(F.transform(hits, lambda h: h["word"]), single)
+    return (
+        hits_in(plain).select(run, "word").union(whole)
+        .union(per_run.select(run, F.explode(words_of).alias("word")))
     )
-    words_of = F.concat(F.transform(hits, lambda h: h["word"]), rest)
-    return per_run.select(run, F.explode(words_of).alias("word"))

@@ -10,7 +10,6 @@ from tidemark import schemas as S
 from tidemark.functions.jsons import parse_json
 from tidemark.functions.maps import prune_columns
 from tidemark.operators.firsts import last_per_key
-from tidemark.operators.joins import small_side
 
 DIM_KEY = ("source_table",)
 FACT_KEY = ("source_table", "source_type")
@@ -37,17 +36,18 @@ def read_config_changes(raw: DataFrame, value: str = "value") -> tuple[DataFrame
 
 
 def apply_config(
-    snapshot: DataFrame, changes: DataFrame, sink_type: str, keys: Sequence[str] = FACT_KEY,
+    snapshot: DataFrame, changes: DataFrame, sink_type: str, keys: Sequence[str] | None = None,
     order: Sequence[str] = ("ts_ms",),
 ) -> DataFrame:
     """The routing table after ``changes``, for one ``sink_type``.
 
-    The newest change of a key wins: a delete removes the row, anything else
-    puts its image.  A change that moves a row to another key also removes the
-    old key.
+    ``keys`` are those of ``sink_type`` unless given.  The newest change of a key
+    wins: a delete removes the row, anything else puts its image.  A change that
+    moves a row to another key also removes the old key.  At equal times a put
+    counts as later than a removal, and of two puts the larger image.
     """
     columns = S.TABLE_PROCESS_COLUMNS
-    keys = list(keys)
+    keys = list(keys or (DIM_KEY if sink_type == "dim" else FACT_KEY))
     mine = changes.filter(F.col("sink_type") == sink_type)
     moved = F.lit(False)
     for k in keys:
@@ -59,7 +59,8 @@ def apply_config(
         F.lit("d").alias("op"), *order,
     )
     events = mine.select(*columns, "op", *order).unionByName(gone.select(*columns, "op", *order))
-    newest = last_per_key(events, keys, [*order])
+    put_last = events.withColumn("_put", (F.col("op") != "d").cast("int"))
+    newest = last_per_key(put_last, keys, [*order, "_put", *[c for c in columns if c not in keys]])
     untouched = snapshot.filter(F.col("sink_type") == sink_type).select(*columns).join(
         newest.select(*keys), keys, "left_anti"
     )
@@ -67,6 +68,13 @@ def apply_config(
     return untouched.unionByName(put)
 
 
+def one_rule(config: DataFrame, sink_type: str, keys: Sequence[str]) -> DataFrame:
+    """The rules of ``sink_type``, one per key: of several the one that sorts last."""
+    mine = config.filter(F.col("sink_type") == sink_type)
+    others = [c for c in S.TABLE_PROCESS_COLUMNS if c not in keys and c in mine.columns]
+    return last_per_key(mine, keys, others)
+
+
 def dim_route(log: DataFrame, config: DataFrame, database: str | None = None) -> DataFrame:
     """Change-log records of configured dimension tables, cut to the configured columns.
 
@@ -75,12 +83,12 @@ def dim_route(log: DataFrame, config: DataFrame, database: str | None = None) ->
     """
     if database is not None:
         log = log.filter(F.col("database") == database)
-    rules = config.filter(F.col("sink_type") == "dim").select(
+    rules = one_rule(config, "dim", DIM_KEY).select(
         F.col("source_table").alias("table"), "sink_table", "sink_extend",
         F.col("sink_row_key").alias("row_key_column"), F.col("sink_family").alias("family"),
         "sink_columns",
     )
-    rows = log.filter(~F.col("type").isin(*S.NOT_ROUTED_TYPES)).join(small_side(rules), "table")
+    rows = log.filter(~F.col("type").isin(*S.NOT_ROUTED_TYPES)).join(rules, "table")
     return rows.withColumn("data", prune_columns("data", "sink_columns")).drop("sink_columns")
 
 
@@ -91,11 +99,11 @@ def dwd_route(log: DataFrame, config: DataFrame, database: str | None = None) ->
     """
     if database is not None:
         log = log.filter(F.col("database") == database)
-    rules = config.filter(F.col("sink_type") == "dwd").select(
+    rules = one_rule(config, "dwd", FACT_KEY).select(
         F.col("source_table").alias("table"), F.col("source_type").alias("type"),
         F.col("sink_table").alias("sink_topic"), "sink_columns",
     )
-    rows = log.join(small_side(rules), ["table", "type"])
+    rows = log.join(rules, ["table", "type"])
     return rows.withColumn("data", prune_columns("data", "sink_columns")).drop("sink_columns")
 
 

@@ -128,7 +128,7 @@ def cart_uu_window(
 
 def order_user_totals(firsts: DataFrame, ts: str = "rt", size: str = "2 seconds") -> DataFrame:
     summed = tumble(firsts, ts, size, [], [
-        first_by("cur_date", ts).alias("cur_date"),
+        first_by("cur_date", [ts, "cur_date"]).alias("cur_date"),
         F.count("*").alias("order_unique_user_count"),
         F.sum("is_new").alias("order_new_user_count"),
     ])
@@ -201,7 +201,7 @@ def province_order_window(
     else:
         orders = F.count_distinct("order_id")
     summed = tumble(rows, ts, size, ["province_id"], [
-        first_by("_day", ts).alias("cur_date"),
+        first_by("_day", [ts, "_day"]).alias("cur_date"),
         orders.alias("order_count"),
         F.sum("amount").alias("order_amount"),
     ])

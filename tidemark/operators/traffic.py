@@ -7,13 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import schemas as S
-from tidemark.functions.jsons import set_field
 from tidemark.functions.maps import put_keys
 from tidemark.functions.times import day_of
 
 
+NO_KEY = "\0none-"  # keys that begin so stand for a missing one
+
+# What the repair has to know of a log record.
+HEAD = "common STRUCT<mid: STRING, is_new: STRING>, ts STRING, _corrupt_record STRING"
+
+
+def spread_null_keys(key: Column, *values: Column | str) -> Column:
+    """``key`` as text; a missing one gets a text of its own by ``values`` that matches no key.
+
+    Rows without a key then do not meet in one partition of a join or one group.
+    """
+    return F.coalesce(key.cast("string"), F.concat(F.lit(NO_KEY), F.pmod(F.xxhash64(*values), F.lit(1024)).cast("string")))
+
+
+def first_seen(df: DataFrame, key: str, ts: str, flag: str) -> DataFrame:
+    """Per visitor the first time of a record that says new, and of one that does not."""
+    says_new = F.col(flag) == "1"
+    return df.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("_visitor")).agg(
+        F.min(F.when(says_new, F.col(ts))).alias("_first_new"),
+        F.min(F.when(~F.coalesce(says_new, F.lit(False)), F.col(ts))).alias("_first_old"),
+    )
+
+
 def repair_is_new(
-    df: DataFrame, key: str, ts: str, flag: str, tz: str | None = None,
+    df: DataFrame, key: str, ts: str, flag: str, tz: str | None = None, seen: DataFrame | None = None,
 ) -> DataFrame:
     """Correct the new-visitor flag of visitors who were seen before.
 
@@ -23,15 +45,14 @@ def repair_is_new(
     records at the same instant the one that says ``'1'`` counts as earlier.
 
     All that has to be known of a visitor is the first time of either kind of
-    record: two timestamps per visitor, aggregated per task before the shuffle
-    and joined back.  No visitor's records are ever sorted in one task.
+    record (``seen``, taken from ``df`` unless given): two timestamps per visitor,
+    aggregated per task before the shuffle and joined back.  No visitor's records
+    are ever sorted in one task.
     """
     says_new = F.col(flag) == "1"
-    seen = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_visitor")).agg(
-        F.min(F.when(says_new, F.col(ts))).alias("_first_new"),
-        F.min(F.when(~F.coalesce(says_new, F.lit(False)), F.col(ts))).alias("_first_old"),
-    )
-    joined = df.join(seen, df[key] == seen["_visitor"], "left")
+    seen = first_seen(df, key, ts, flag) if seen is None else seen
+    keyed = df.withColumn("_join", spread_null_keys(F.col(key), ts))
+    joined = keyed.join(seen, keyed["_join"] == seen["_visitor"], "left")
     began_new = F.col("_first_old").isNull() | (F.col("_first_new") <= F.col("_first_old"))
     stays = began_new & (day_of(ts, tz) == day_of("_first_new", tz))
     repaired = F.when(
@@ -40,19 +61,28 @@ def repair_is_new(
     return joined.withColumn(flag, repaired).select(*df.columns)
 
 
-def repair_log(log: DataFrame, tz: str | None = None) -> DataFrame:
-    """``repair_is_new`` on parsed log records (``common.mid``, ``common.is_new``, ``ts`` in ms)."""
-    flat = log.withColumns({
-        "_mid": F.col("common.mid"),
-        "_flag": F.col("common.is_new"),
-        "_at": F.timestamp_millis("ts"),
-    })
-    fixed = repair_is_new(flat, "_mid", "_at", "_flag", tz)
-    return fixed.withColumn("common", set_field("common", "is_new", F.col("_flag"))).drop(
-        "_mid", "_flag", "_at"
+def log_heads(raw: DataFrame, value: str = "value") -> DataFrame:
+    """Raw log records with what the repair needs: ``value``, ``mid``, ``is_new``, ``ts`` (ms).
+
+    Only these fields are parsed; numbers may be quoted.  Deletion markers (null
+    texts) are dropped.  A text that is no record has nulls beside it and stays.
+    """
+    head = F.explode(F.array(F.from_json(value, HEAD, {"columnNameOfCorruptRecord": "_corrupt_record"}))).alias("_h")
+    rows = raw.filter(F.col(value).isNotNull()).select(F.col(value).alias("value"), head)
+    sound = F.col("_h._corrupt_record").isNull()
+    return rows.select(
+        "value", F.when(sound, F.col("_h.common.mid")).alias("mid"),
+        F.when(sound, F.col("_h.common.is_new")).alias("is_new"),
+        F.when(sound, F.col("_h.ts").try_cast("bigint")).alias("ts"),
     )
 
 
+def repair_log(heads: DataFrame, tz: str | None = None) -> DataFrame:
+    """``repair_is_new`` on ``log_heads``; the texts ride along unparsed."""
+    timed = heads.withColumn("_at", F.timestamp_millis("ts"))
+    return repair_is_new(timed, "mid", "_at", "is_new", tz, first_seen(timed, "mid", "_at", "is_new")).drop("_at")
+
+
 def explode_events(log: DataFrame, array: str) -> DataFrame:
     """One row per element of ``array``, with the parent's common fields, time and page.
 
@@ -66,75 +96,94 @@ def explode_events(log: DataFrame, array: str) -> DataFrame:
     return rows
 
 
-def split_log(log: DataFrame) -> dict[str, DataFrame]:
-    """Five outputs of one parsed log: error, start, page, display, action.
+def split_log_records(heads: DataFrame) -> DataFrame:
+    """Repaired log records as ``(topic, value)`` rows of five outputs and one for what is no record.
 
     A record with ``err`` goes to *error* whole and is then treated like any
     other.  A record with ``start`` goes to *start* only.  The rest are pages:
-    their display and action arrays become rows of their own and are taken out
-    of the page record.
+    their displays and actions become rows of their own, with the page's common
+    fields, time and page id, and are taken out of the page record.
 
-    Each output is a selection over the same input.  Persist the input, or use
-    ``split_log_records``, which makes all five in one pass.
+    Each text is parsed once, as an open body: fields nobody asked for go along, and
+    the only value changed is a repaired ``common.is_new``.  A text that is no JSON
+    object goes to *bad* as it is.  All rows come out of one pass; write them to a
+    topic sink with a ``topic`` column or to files partitioned by ``topic``.
     """
-    started = F.col("start").isNotNull()
-    pages = log.filter(~started)
-    return {
-        "error": log.filter(F.col("err").isNotNull()),
-        "start": log.filter(started),
-        "page": pages.drop("displays", "actions", "start"),
-        "display": explode_events(pages.filter(F.col("displays").isNotNull()), "displays"),
-        "action": explode_events(pages.filter(F.col("actions").isNotNull()), "actions"),
-    }
-
-
-def split_log_records(log: DataFrame) -> DataFrame:
-    """All five outputs in one pass as ``(topic, value)`` rows, value being JSON.
-
-    Each record is expanded to the texts it yields; the result can go to a topic
-    sink with a ``topic`` column or to files partitioned by ``topic``.
-    """
-    whole = F.to_json(F.struct(*log.columns))
-    kept = [c for c in log.columns if c not in ("displays", "actions")]
-    page = F.to_json(F.struct(*kept))
+    open_map = "map<string,variant>"
+    parsed = F.try_variant_get(F.try_parse_json("value"), "$", open_map)
+    rows = heads.select("value", "is_new", F.explode(F.array(parsed)).alias("_body"))
+
+    def field(name: str, of: Column | str = "_body") -> Column:
+        return F.try_element_at(of, F.lit(name))
+
+    def present(value: Column) -> Column:
+        return value.isNotNull() & ~F.is_variant_null(value)
+
+    common = F.try_variant_get(field("common"), "$", open_map)
+    repaired = (F.try_variant_get(field("is_new", common), "$", "string") == "1") & (F.col("is_new") == "0")
+    fixed = put_keys(common, is_new=F.parse_json(F.lit('"0"')))
+    rows = rows.withColumn("_body", F.when(
+        repaired, put_keys("_body", common=F.to_variant_object(fixed))).otherwise(F.col("_body")))
 
     def record(kind: str, value: Column) -> Column:
         return F.struct(F.lit(S.LOG_TOPICS[kind]).alias("topic"), value.alias("value"))
 
-    def display(d: Column) -> Column:
-        fields = log.schema["displays"].dataType.elementType.fieldNames()
-        context = ("common", "ts", "page_id")
-        return record("display", F.to_json(F.struct(
-            *[d[f].alias(f) for f in fields if f not in context],
-            F.col("common"), F.col("ts"), F.col("page.page_id").alias("page_id"),
-        )))
-
-    def action(a: Column) -> Column:
-        return record("action", F.to_json(put_keys(
-            a,
-            common=F.parse_json(F.to_json("common")),
-            ts=F.col("ts").cast("variant"),
-            page_id=F.col("page.page_id").cast("variant"),
-        )))
+    page = F.try_variant_get(field("page"), "$", open_map)
+    context = F.map_filter(
+        F.create_map(F.lit("common"), field("common"), F.lit("ts"), field("ts"), F.lit("page_id"), field("page_id", page)),
+        lambda _, v: v.isNotNull())
+
+    def event(kind: str):
+        def build(element: Column) -> Column:
+            own = F.coalesce(F.try_variant_get(element, "$", open_map), F.create_map(F.lit("element"), element))
+            kept = F.map_filter(own, lambda k, _: ~F.array_contains(F.map_keys(context), k))
+            return record(kind, F.to_json(F.map_concat(kept, context)))
+        return build
 
     none = F.array().cast("array<struct<topic:string,value:string>>")
-    started = F.col("start").isNotNull()
+    started = present(field("start"))
+    arrays = {k: F.try_variant_get(field(k), "$", "array<variant>") for k in ("displays", "actions")}
+    taken = F.array_compact(F.array(*[F.when(a.isNotNull(), F.lit(k)) for k, a in arrays.items()]))
+    rest = F.map_filter("_body", lambda k, _: ~F.array_contains(taken, k))
+    whole = F.to_json("_body")
     parts = [
-        F.when(F.col("err").isNotNull(), F.array(record("error", whole))).otherwise(none),
-        F.when(started, F.array(record("start", whole))).otherwise(F.array(record("page", page))),
-        F.when(~started & F.col("displays").isNotNull(), F.transform("displays", display)).otherwise(none),
-        F.when(~started & F.col("actions").isNotNull(), F.transform("actions", action)).otherwise(none),
+        F.when(present(field("err")), F.array(record("error", whole))).otherwise(none),
+        F.when(started, F.array(record("start", whole))).otherwise(F.array(record("page", F.to_json(rest)))),
+        F.when(~started & arrays["displays"].isNotNull(), F.transform(arrays["displays"], event("display"))).otherwise(none),
+        F.when(~started & arrays["actions"].isNotNull(), F.transform(arrays["actions"], event("action"))).otherwise(none),
     ]
-    return log.select(F.explode(F.concat(*parts)).alias("_r")).select("_r.topic", "_r.value")
+    records = F.when(F.col("_body").isNull(), F.array(record("bad", F.col("value")))).otherwise(F.concat(*parts))
+    return rows.select(F.explode(records).alias("_r")).select("_r.topic", "_r.value")
+
 
+def split_log(heads: DataFrame) -> dict[str, DataFrame]:
+    """The outputs of ``split_log_records`` by kind, one text column ``value`` each.
+
+    Each is a selection over the same pass: to use several, write or persist that.
+    """
+    records = split_log_records(heads)
+    return {kind: records.filter(F.col("topic") == topic).select("value") for kind, topic in S.LOG_TOPICS.items()}
 
-def page_log(pages: DataFrame) -> DataFrame:
-    """Flat page views from parsed page records, with event time ``rt``."""
-    return pages.select(
-        "common.mid", "common.uid", "common.vc", "common.ch", "common.ar", "common.is_new",
-        "page.page_id", "page.last_page_id", "page.item", "page.item_type",
-        "page.during_time", F.timestamp_millis("ts").alias("rt"), "ts",
+
+def page_log(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Flat page views from page records, with event time ``rt``; and the records that are none.
+
+    Numbers may be quoted and unknown fields are passed over.
+    """
+    body = F.explode(F.array(F.try_parse_json(value))).alias("_body")
+    rows = raw.filter(F.col(value).isNotNull()).select(value, body)
+    is_object = F.startswith(F.schema_of_variant("_body"), F.lit("OBJECT"))
+    good = F.col("_body").isNotNull() & F.coalesce(is_object, F.lit(False))
+
+    def get(path: str, kind: str = "string") -> Column:
+        return F.try_variant_get("_body", f"$.{path}", kind).alias(path.split(".")[-1])
+
+    pages = rows.filter(good).select(
+        *[get(f"common.{c}") for c in ("mid", "uid", "vc", "ch", "ar", "is_new")],
+        *[get(f"page.{c}") for c in ("page_id", "last_page_id", "item", "item_type")],
+        get("page.during_time", "bigint"), get("ts", "bigint"),
     )
+    return pages.withColumn("rt", F.timestamp_millis("ts")), rows.filter(~good).select(value)
 
 
 def search_pages(df: DataFrame) -> DataFrame:

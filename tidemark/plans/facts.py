@@ -4,21 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tidemark import schemas as S
-from tidemark.functions.jsons import parse_json
 from tidemark.operators import cdc, facts, traffic
 from tidemark.operators.routing import dwd_route, route_by_topic
 
 
-def visitor_log(raw: DataFrame, tz: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Stored application log with repaired visitor flags; and the bad records."""
-    good, bad = parse_json(raw, S.LOG)
-    return traffic.repair_log(good, tz), bad
+def visitor_log(raw: DataFrame, tz: str | None = None) -> DataFrame:
+    """Stored application log as texts beside their visitor, time and repaired flag."""
+    return traffic.repair_log(traffic.log_heads(raw), tz)
 
 
 def log_topics(raw: DataFrame, tz: str | None = None) -> DataFrame:
-    """Stored application log as ``(topic, value)`` rows of the five log topics."""
-    return traffic.split_log_records(visitor_log(raw, tz)[0])
+    """Stored application log as ``(topic, value)`` rows of the log topics, bad records included."""
+    return traffic.split_log_records(visitor_log(raw, tz))
 
 
 def comment_facts(log: DataFrame, dictionary: DataFrame, database: str | None = None) -> DataFrame:

@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark import schemas as S
-from tidemark.functions.jsons import parse_json
 from tidemark.functions.times import date_part, event_time
 from tidemark.operators import cdc, facts, keywords, summaries, traffic
 from tidemark.operators.firsts import dedup_within
@@ -28,14 +27,16 @@ DELAY = "2 seconds"
 
 
 def log_topics(raw: DataFrame, tz: str | None = None) -> DataFrame:
-    """Application log to ``(topic, value)`` rows of the five log topics."""
-    return traffic.split_log_records(repair_log_stream(parse_json(raw, S.LOG)[0], tz))
+    """Application log to ``(topic, value)`` rows of the log topics, bad records included."""
+    return traffic.split_log_records(repair_log_stream(traffic.log_heads(raw), tz))
 
 
 def page_views(raw: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Page topic to flat page views with event time."""
-    pages = traffic.page_log(parse_json(raw, S.LOG)[0])
-    return with_event_time(pages, "rt", delay)
+    """Page topic to flat page views with event time.
+
+    Records that are none are ``traffic.page_log(raw)[1]``: a stream of its own.
+    """
+    return with_event_time(traffic.page_log(raw)[0], "rt", delay)
 
 
 def order_facts(

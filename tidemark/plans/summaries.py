@@ -10,7 +10,7 @@ from tidemark import schemas as S
 from tidemark.functions.times import date_part, event_time
 from tidemark.operators import keywords, summaries, traffic
 from tidemark.operators.firsts import dedup_within
-from tidemark.operators.joins import enrich, enrich_sku, small_side
+from tidemark.operators.joins import enrich, enrich_sku
 
 
 def search_texts(page_log: DataFrame) -> DataFrame:
@@ -75,5 +75,5 @@ def province_summary(
     unique = dedup_within(timed, ["order_detail_id"], list(order))
     summed = summaries.province_order_window(unique)
     return enrich(
-        summed, small_side(provinces), "province_id", {"province_name": "name"}, "id"
+        summed, provinces, "province_id", {"province_name": "name"}, "id"
     ).select(*S.PROVINCE_SUMMARY)

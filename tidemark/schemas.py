@@ -11,6 +11,7 @@ LOG_TOPICS = {
     "display": "dwd_traffic_display",
     "start": "dwd_traffic_start",
     "action": "dwd_traffic_action",
+    "bad": "dwd_traffic_bad",
 }
 FACT_TOPICS = {
     "comment": "dwd_interaction_comment_info",

@@ -1,19 +1,24 @@
-"""Keyed tables kept as a base plus the changes since.
+"""Keyed tables kept as a folded base plus the changes since.
 
 A micro-batch only appends its changes; readers merge them with the base, and
-``compact`` writes a new base now and then.  So the cost of a micro-batch does
-not grow with the table, a repeated batch replaces its own folder, and a reader
-never sees a half-written base.
+``compact`` folds them into it now and then.  The base keeps what later changes
+are compared with, order values and deletes included, so a table is the same
+wherever it was compacted.  It is cut into buckets by a hash of the key; compacting
+rewrites the buckets that changed and removes folders nothing refers to any more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.operators.changes import scd1_merge, upsert_latest
+from tidemark.operators.changes import cells_now, fold_cells, merge_cells
+
+MARK = StructType([
+    StructField("upto", LongType()), StructField("bucket", LongType()), StructField("version", LongType()),
+])
 
 
 class KeyedStore:
@@ -21,74 +26,138 @@ class KeyedStore:
 
     ``mode`` is ``"row"`` (a change replaces the whole row) or ``"cell"`` (null
     leaves the older value).  ``order`` are change columns that sort the changes
-    of a key; ``deleted`` is a boolean change column.
+    of a key; where they are equal a put counts as later than a delete and the
+    larger row (or value) as later than the smaller.  ``deleted`` is a boolean
+    change column.  ``buckets`` may not change once something is written.  One
+    writer at a time; readers may read while it writes or compacts.
     """
 
     def __init__(
         self, spark: SparkSession, path: str, key: str, columns: Sequence[str],
-        order: Sequence[str], deleted: str = "deleted", mode: str = "row",
+        order: Sequence[str], deleted: str = "deleted", mode: str = "row", buckets: int = 16,
     ) -> None:
         if mode not in ("row", "cell"):
             raise ValueError(f"mode must be 'row' or 'cell', not {mode!r}")
         self.spark, self.path, self.mode = spark, path.rstrip("/"), mode
         self.key, self.columns = key, [c for c in columns if c != key]
-        self.order, self.deleted = list(order), deleted
+        self.order, self.deleted, self.buckets = list(order), deleted, buckets
+
+    # --- files ---
+
+    def _place(self, name: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _folders(self, name: str) -> list[str]:
+        """Names in a folder; none if it does not exist.  Other errors are raised."""
+        files, place = self._place(name)
+        return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+    def _remove(self, name: str) -> None:
+        files, place = self._place(name)
+        files.delete(place, True)
+
+    def _numbers(self, name: str, prefix: str) -> list[int]:
+        """Numbers of complete folders ``prefix=number``, ascending."""
+        found = [f for f in self._folders(name) if f.startswith(f"{prefix}=")]
+        done = [f for f in found if "_SUCCESS" in self._folders(f"{name}/{f}")]
+        return sorted(int(f.split("=")[1]) for f in done)
+
+    # --- changes and base ---
 
     @property
     def _change_columns(self) -> list[str]:
         extra = [c for c in [*self.order, self.deleted] if c not in (self.key, *self.columns)]
         return [self.key, *self.columns, *extra]
 
+    @property
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("long")
+
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        """``foreachBatch`` writer: append the changes of one micro-batch."""
-        batch.select(*self._change_columns).write.mode("overwrite").parquet(
-            f"{self.path}/changes/batch_id={batch_id}"
-        )
+        """``foreachBatch`` writer: append the changes of one micro-batch.
 
-    def _table(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        except AnalysisException:
-            return None
+        A batch that comes again after it was compacted is in the base already.
+        """
+        if batch_id > self._upto():
+            batch.select(*self._change_columns).write.mode("overwrite").parquet(
+                f"{self.path}/changes/batch_id={batch_id}"
+            )
+
+    def _upto(self) -> int:
+        return max(self._numbers("marks", "upto"), default=-1)
+
+    def _versions(self, upto: int) -> dict[int, int]:
+        """Version of each bucket in the base made up to a batch: ``buckets`` rows at most."""
+        if upto < 0:
+            return {}
+        rows = self.spark.read.schema(MARK).parquet(f"{self.path}/marks/upto={upto}").collect()
+        return {r.bucket: r.version for r in rows}
+
+    def _base(self, versions: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.path}/base/version={v}/_bucket={b}" for b, v in sorted(versions.items())]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def _fresh(self, batches: list[int]) -> DataFrame | None:
+        paths = [f"{self.path}/changes/batch_id={b}" for b in batches]
+        return self._fold(self.spark.read.parquet(*paths)) if paths else None
+
+    def _fold(self, changes: DataFrame) -> DataFrame:
+        if self.mode == "cell":
+            return fold_cells(changes, self.key, self.columns, self.order, F.col(self.deleted))
+        put = ~F.coalesce(F.col(self.deleted), F.lit(False))
+        row = F.struct(F.struct(*self.order).alias("at"), put.alias("put"), F.struct(*self.columns).alias("row"))
+        return changes.groupBy(self.key).agg(F.max(row).alias("_newest"))
 
-    def _state(self) -> tuple[DataFrame | None, int]:
-        """The newest base and the last batch it holds (-1 without a base)."""
-        marks = self._table("bases")
-        if marks is None:
-            return None, -1
-        upto = marks.agg(F.max("upto").alias("upto")).first()["upto"]
-        return self.spark.read.parquet(f"{self.path}/base/upto={upto}"), upto
+    def _merged(self, base: DataFrame | None, fresh: DataFrame | None) -> DataFrame | None:
+        if base is None or fresh is None:
+            return base if fresh is None else fresh
+        return merge_cells(base.select(*fresh.columns).unionByName(fresh), self.key)
 
     def read(self) -> DataFrame | None:
         """The current table, or None while nothing was written."""
-        base, upto = self._state()
-        changes = self._table("changes")
-        if changes is None:
-            return base
-        fresh = changes.filter(F.col("batch_id") > upto)
-        deleted = F.col(self.deleted)
+        upto = self._upto()
+        batches = [b for b in self._numbers("changes", "batch_id") if b > upto]
+        folded = self._merged(self._base(self._versions(upto)), self._fresh(batches))
+        if folded is None:
+            return None
         if self.mode == "cell":
-            return scd1_merge(fresh, self.key, self.columns, self.order, deleted, base)
-        if base is None:
-            base = self.spark.createDataFrame(
-                [], fresh.select(self.key, *self.columns).schema
-            )
-        return upsert_latest(base, fresh, [self.key], self.order, deleted)
+            return cells_now(folded, self.key, self.columns).filter("_present").select(self.key, *self.columns)
+        return folded.filter("_newest.put").select(self.key, *[F.col(f"_newest.row.`{c}`") for c in self.columns])
 
     def compact(self) -> int:
-        """Write a new base from everything written so far; returns its last batch.
+        """Fold everything written so far into the base; returns its last batch.
 
-        The mark that makes readers use the base is written after the base itself.
+        The mark that makes readers use the new buckets is written after them.  What
+        neither it nor the mark before it refers to is removed, so a reader that
+        started on the older one can end.
         """
-        changes = self._table("changes")
-        current, (_, upto) = self.read(), self._state()
-        if changes is None or current is None:
+        upto = self._upto()
+        batches = [b for b in self._numbers("changes", "batch_id") if b > upto]
+        if not batches:
             return upto
-        last = changes.agg(F.max("batch_id").alias("last")).first()["last"]
-        if last is None or last <= upto:
-            return upto
-        current.write.mode("overwrite").parquet(f"{self.path}/base/upto={last}")
-        self.spark.range(1).select(F.lit(last).cast("bigint").alias("upto")).write.mode(
+        last, versions = batches[-1], self._versions(upto)
+        fresh = self._fresh(batches).withColumn("_bucket", self._bucket)
+        touched = sorted(r[0] for r in fresh.select("_bucket").distinct().collect())
+        old = self._base({b: v for b, v in versions.items() if b in touched})
+        merged = self._merged(old, fresh.drop("_bucket"))
+        merged.withColumn("_bucket", self._bucket).write.mode("overwrite").partitionBy("_bucket").parquet(
+            f"{self.path}/base/version={last}"
+        )
+        now = {**versions, **dict.fromkeys(touched, last)}
+        self.spark.createDataFrame([(last, b, v) for b, v in now.items()], MARK).coalesce(1).write.mode(
             "overwrite"
-        ).parquet(f"{self.path}/bases/mark={last}")
+        ).parquet(f"{self.path}/marks/upto={last}")
+        self._clean({*versions.values(), *now.values()}, upto, last)
         return last
+
+    def _clean(self, used: set[int], upto: int, last: int) -> None:
+        for version in self._numbers("base", "version"):
+            if version not in used:
+                self._remove(f"base/version={version}")
+        for batch in self._numbers("changes", "batch_id"):
+            if batch <= upto:
+                self._remove(f"changes/batch_id={batch}")
+        for mark in self._numbers("marks", "upto"):
+            if mark not in (upto, last):
+                self._remove(f"marks/upto={mark}")

@@ -17,8 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from tidemark import schemas as S
-from tidemark.functions.jsons import set_field
 from tidemark.functions.times import DATE, day_of
+from tidemark.operators.traffic import NO_KEY, spread_null_keys
 
 # Ship the processors with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -33,7 +33,7 @@ INPUT = ["_key", "_at", "_day", "_flag", "_row"]
 
 def _in_order(pdf: pd.DataFrame) -> pd.DataFrame:
     """Name the columns, which come numbered, and sort by time."""
-    return pdf.set_axis(INPUT, axis=1).sort_values("_at", kind="stable")
+    return pdf.set_axis(INPUT, axis=1).sort_values("_at", kind="stable", ignore_index=True)
 
 
 class _LastDay(StatefulProcessor):
@@ -56,33 +56,59 @@ class VisitorRepair(_LastDay):
     """Keeps a visitor's first day and clears the new flag on later ones."""
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0].startswith(NO_KEY):  # nobody's records stay as they are
+            for pdf in rows:
+                pdf = pdf.set_axis(INPUT, axis=1)
+                yield pdf[["_at", "_row", "_flag"]]
+            return
         first = self.get()
-        for pdf in rows:
-            pdf = _in_order(pdf)
-            if first is None:
-                head = pdf.iloc[0]
-                first = head["_day"] if head["_flag"] == "1" else SEEN_BEFORE
-                self.state.update((first,))
+        if first is None:
+            # The first day is that of the earliest of all records at hand; of two at
+            # the same instant the one that says new counts as earlier.
+            pdfs = [p.set_axis(INPUT, axis=1) for p in rows]
+            heads = pd.concat([p[["_at", "_day", "_flag"]] for p in pdfs])
+            heads = heads.assign(_old=heads["_flag"] != "1").sort_values(["_at", "_old"], kind="stable")
+            head = heads.iloc[0]
+            first = head["_day"] if head["_flag"] == "1" else SEEN_BEFORE
+            self.state.update((first,))
+        else:
+            pdfs = (p.set_axis(INPUT, axis=1) for p in rows)
+        for pdf in pdfs:
             late = (pdf["_flag"] == "1") & (pdf["_day"] != first)
             yield pd.DataFrame({
                 "_at": pdf["_at"], "_row": pdf["_row"], "_flag": pdf["_flag"].mask(late, "0"),
             })
 
 
-class DailyFirst(_LastDay):
-    """Keeps a key's last day and flags the first record of another one."""
+class DailyFirst(StatefulProcessor):
+    """Flags the first record of every key and day, in whatever order days come.
+
+    A day is remembered for ``ttl_ms`` of wall-clock time.
+    """
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.days = handle.getMapState("days", TEXT, TEXT, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.get()
-        for pdf in rows:
-            pdf = _in_order(pdf)
-            flags = pdf["_day"] != pdf["_day"].shift(fill_value=last or "")
-            if flags.any():
-                last = pdf["_day"].iloc[-1]
-                self.state.update((last,))
-            yield pd.DataFrame({
-                "_at": pdf["_at"], "_row": pdf["_row"], "_uv": flags.astype("int64"),
-            })
+        # The earliest of a day may stand in any of the batches.
+        pdf = _in_order(pd.concat([p.set_axis(INPUT, axis=1) for p in rows]))
+        flags = ~pdf["_day"].duplicated()
+        if key[0].startswith(NO_KEY):  # nobody has no first
+            flags[:] = False
+        for at in flags.index[flags]:
+            if self.days.containsKey((pdf["_day"][at],)):
+                flags[at] = False
+            else:
+                self.days.updateValue((pdf["_day"][at],), ("",))
+        yield pd.DataFrame({
+            "_at": pdf["_at"], "_row": pdf["_row"], "_uv": flags.astype("int64"),
+        })
+
+    def close(self) -> None:
+        pass
 
 
 class DayFirsts(StatefulProcessor):
@@ -142,12 +168,13 @@ def _stateful(
 ) -> DataFrame:
     """Run a processor over key, time, day and flag; the row itself rides along as text.
 
-    Packing the row keeps the processors apart from the columns around them, and
+    Rows without a key go along under keys that begin with ``NO_KEY``, some hundreds
+    of them, so that they neither vanish nor meet in one group.  Packing the row keeps the processors apart from the columns around them, and
     long or nested values whole on the way through pandas.
     """
     rest = [c for c in df.columns if c != ts]
-    packed = df.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), F.col(ts).alias("_at"),
+    packed = df.select(
+        spread_null_keys(F.col(key), ts).alias("_key"), F.col(ts).alias("_at"),
         F.date_format(day_of(ts, tz) if day is None else F.col(day), DATE).alias("_day"),
         (F.col(flag) if flag else F.lit(None).cast("string")).alias("_flag"),
         F.to_json(F.struct(*rest), ROW_JSON).alias("_row"),
@@ -168,7 +195,7 @@ def _stateful(
 def repair_is_new_stream(df: DataFrame, key: str, ts: str, flag: str, tz: str | None = None) -> DataFrame:
     """Streaming form of ``repair_is_new``; a visitor's first day is kept for good.
 
-    Rows without a key are not passed on; there is nothing to repair in them.
+    Rows without a key pass unchanged.
     """
     rows = _stateful(
         df, key, ts, VisitorRepair(), [StructField("_flag", StringType())], "None", flag=flag, tz=tz
@@ -176,13 +203,10 @@ def repair_is_new_stream(df: DataFrame, key: str, ts: str, flag: str, tz: str |
     return rows.withColumn(flag, F.col("_flag")).select(*df.columns)
 
 
-def repair_log_stream(log: DataFrame, tz: str | None = None) -> DataFrame:
-    """``repair_is_new_stream`` on parsed log records."""
-    flat = log.withColumns({
-        "_mid": F.col("common.mid"), "_new": F.col("common.is_new"), "_time": F.timestamp_millis("ts"),
-    })
-    fixed = repair_is_new_stream(flat, "_mid", "_time", "_new", tz)
-    return fixed.withColumn("common", set_field("common", "is_new", F.col("_new"))).select(*log.columns)
+def repair_log_stream(heads: DataFrame, tz: str | None = None) -> DataFrame:
+    """``repair_is_new_stream`` on ``log_heads``; the record's text rides along unparsed."""
+    timed = heads.withColumn("_time", F.timestamp_millis("ts"))
+    return repair_is_new_stream(timed, "mid", "_time", "is_new", tz).select(*heads.columns)
 
 
 def daily_first_flag_stream(
@@ -190,8 +214,8 @@ def daily_first_flag_stream(
 ) -> DataFrame:
     """Streaming form of ``flag_first_of_day``: every row, with 1 on a key's first of a day.
 
-    A key that nothing is written for during ``ttl_ms`` of wall-clock time is
-    forgotten.
+    A key's day is forgotten ``ttl_ms`` of wall-clock time after its first record.
+    Rows without a key get 0.
     """
     rows = _stateful(
         df, key, ts, DailyFirst(ttl_ms), [StructField("_uv", LongType())], "ProcessingTime", tz=tz

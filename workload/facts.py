@@ -10,7 +10,7 @@ from tidemark.operators import facts, joins, keywords, summaries, traffic
 from tidemark.plans import facts as jobs, summaries as summary_jobs
 from tidemark.sources import dictionary, read_json_topic, read_page_log
 from workload.inputs import (
-    ACTIONS, DISPLAYS, ERR, LINE_ID, LINE_ORDER, ORDER_STATUS, SOUND, START, VIEW_SQL,
+    ACTIONS, BROKEN, DISPLAYS, ERR, EXTRA, LINE_ID, LINE_ORDER, NOBODY, ORDER_STATUS, QUOTED, SOUND, START, VIEW_SQL,
     log_texts, null_text, order_tables, table, views,
 )
 from workload.registry import query
@@ -18,81 +18,102 @@ from workload.windows import BUCKET, STT, SKU_DIM_SQL, flat_sku
 
 # Log records that parse, with repaired visitor flags, from the events table.
 REPAIRED_SQL = f"""
-    with v as (select *, epoch_us(rt) // 1000 as ms from ({VIEW_SQL}) where {SOUND}),
+    with v as (select * replace (case when not ({NOBODY}) then mid end as mid), epoch_us(rt) // 1000 as ms
+               from ({VIEW_SQL}) where {SOUND}),
     f as (select *, first_value(is_new) over w as ff, first_value(cast(rt as date)) over w as fd
           from v window w as (partition by mid order by ms, is_new desc))
-    select * replace (case when is_new = '1' and not (ff = '1' and cast(rt as date) = fd)
+    select * replace (case when mid is not null and is_new = '1' and not (ff = '1' and cast(rt as date) = fd)
                       then '0' else is_new end as is_new)
     from f"""
 
 
-def split(spark, sf):
-    return traffic.split_log(jobs.visitor_log(log_texts(spark, sf))[0])
+def split(spark, sf, kind, **paths):
+    """One output of the split log, read back from its JSON: ``name="$.path:type"``."""
+    rows = traffic.split_log(jobs.visitor_log(log_texts(spark, sf)))[kind]
+    body = rows.select(F.explode(F.array(F.parse_json("value"))).alias("b"))
+    return body.select(*[F.variant_get("b", *p.split(":")).alias(n) for n, p in paths.items()])
+
+
+HEAD = {"mid": "$.common.mid:string", "is_new": "$.common.is_new:string", "ts": "$.ts:bigint", "x": "$.common.x:string"}
+OPEN_SQL = "mid, is_new, ms as ts, concat('x', k) as x"
 
 
 @query("split_error", f"""
-    select mid, is_new, ms as ts, cast(k as int) as error_code from ({REPAIRED_SQL}) where {ERR}""")
+    select {OPEN_SQL}, cast(k as int) as error_code, {EXTRA} as extra from ({REPAIRED_SQL}) where {ERR}""")
 def split_error(spark, sf):
-    return split(spark, sf)["error"].select(
-        "common.mid", "common.is_new", "ts", F.variant_get("err", "$.error_code", "int").alias("error_code")
-    )
+    return split(spark, sf, "error", **HEAD, error_code="$.err.error_code:int", extra="$.extra.n:int")
 
 
 @query("split_start", f"""
-    select mid, is_new, ms as ts, 'icon' as entry, cast(k as int) as loading_time
+    select {OPEN_SQL}, 'icon' as entry, cast(k as int) as loading_time, {EXTRA} as extra
     from ({REPAIRED_SQL}) where {START}""")
 def split_start(spark, sf):
-    return split(spark, sf)["start"].select(
-        "common.mid", "common.is_new", "ts", F.variant_get("start", "$.entry", "string").alias("entry"),
-        F.variant_get("start", "$.loading_time", "int").alias("loading_time"),
+    return split(
+        spark, sf, "start", **HEAD, entry="$.start.entry:string", loading_time="$.start.loading_time:int", extra="$.extra.n:int",
     )
 
 
 @query("split_page", f"""
-    select mid, is_new, ms as ts, page_id, last_page_id, item, during_time
+    select {OPEN_SQL}, page_id, last_page_id, item, during_time, concat('r', k) as refer, {EXTRA} as extra,
+           cast(null as varchar) as displays, cast(null as varchar) as actions
     from ({REPAIRED_SQL}) where not ({START})""")
 def split_page(spark, sf):
-    return split(spark, sf)["page"].select(
-        "common.mid", "common.is_new", "ts", "page.page_id", "page.last_page_id", "page.item", "page.during_time"
+    return split(
+        spark, sf, "page", **HEAD, page_id="$.page.page_id:string", last_page_id="$.page.last_page_id:string",
+        item="$.page.item:string", during_time="$.page.during_time:bigint", refer="$.page.refer:string",
+        extra="$.extra.n:int", displays="$.displays:string", actions="$.actions:string",
     )
 
 
 @query("split_display", f"""
-    select mid, is_new, ms as ts, page_id, cast(k as varchar) as item, cast(n + 10 as int) as pos_id,
-           cast(n as int) as pos_seq
+    select {OPEN_SQL}, page_id, cast(k as varchar) as item, cast(n + 10 as int) as pos_id,
+           cast(n as int) as pos_seq, 'query' as display_type
     from ({REPAIRED_SQL}), (values (0), (1)) d(n) where {DISPLAYS}""")
 def split_display(spark, sf):
-    return split(spark, sf)["display"].select(
-        "common.mid", "common.is_new", "ts", "page_id", "item", "pos_id", "pos_seq"
+    return split(
+        spark, sf, "display", **HEAD, page_id="$.page_id:string", item="$.item:string", pos_id="$.pos_id:int",
+        pos_seq="$.pos_seq:int", display_type="$.display_type:string",
     )
 
 
 @query("split_action", f"""
-    select mid, is_new, ms as ts, page_id, 'cart_add' as action_id, cast(k as varchar) as item
+    select {OPEN_SQL}, page_id, 'cart_add' as action_id, cast(k as varchar) as item
     from ({REPAIRED_SQL}) where {ACTIONS}""")
 def split_action(spark, sf):
-    element = F.col("element")
-    return split(spark, sf)["action"].select(
-        "common.mid", "common.is_new", "ts", "page_id",
-        element["action_id"].cast("string").alias("action_id"), element["item"].cast("string").alias("item"),
+    return split(
+        spark, sf, "action", **HEAD, page_id="$.page_id:string", action_id="$.action_id:string", item="$.item:string",
     )
 
 
+# Whole payloads, keys in order, as both sides write them.
+_COMMON = """'{{"ar":"' || ar || '","ch":"' || ch || '","is_new":"' || is_new || '",' || coalesce('"mid":"' || mid || '",', '')
+    || '"sid":"' || event_id || '",' || coalesce('"uid":"' || uid || '",', '') || '"vc":"' || vc || '","x":"x' || k || '"}}'"""
+_PAGE = """'{{"during_time":' || {quoted} || ',' || coalesce('"item":"' || item || '",', '') || '"item_type":"' || item_type || '",'
+    || coalesce('"last_page_id":"' || last_page_id || '",', '') || '"page_id":"' || page_id || '","refer":"r' || k || '"}}'"""
+
+
 @query("split_topics", f"""
-    with r as ({REPAIRED_SQL})
-    select 'dwd_traffic_err' as topic, mid, ms as ts, cast(null as varchar) as page_id, cast(null as varchar) as item from r where {ERR}
-    union all select 'dwd_traffic_start', mid, ms, null, null from r where {START}
-    union all select 'dwd_traffic_page', mid, ms, null, null from r where not ({START})
-    union all select 'dwd_traffic_display', mid, ms, page_id, cast(k as varchar) from r, (values (0), (1)) d(n) where {DISPLAYS}
-    union all select 'dwd_traffic_action', mid, ms, page_id, cast(k as varchar) from r where {ACTIONS}""")
+    with r as (select *, {_COMMON.format()} as common, {_PAGE.format(quoted=f"case when {QUOTED} then '" + '"' + "' || during_time || '" + '"' + "' else cast(during_time as varchar) end")} as page,
+                      case when {ERR} then '"err":{{"error_code":' || k || '}},' else '' end
+                      || case when {EXTRA} is not null then '"extra":{{"n":' || k || '}},' else '' end as err
+               from ({REPAIRED_SQL})),
+    p as (select *, '{{"common":' || common || ',' || err || '"page":' || page || ',"ts":' || ms || '}}' as body,
+                 '{{"common":' || common || ',' || err || '"start":{{"entry":"icon","loading_time":' || k || '}},"ts":' || ms || '}}' as begun,
+                 '"display_type":"query","item":"' || k || '","item_type":"sku_id","page_id":"' || page_id || '","pos_id":' as shown
+          from r)
+    select 'dwd_traffic_err' as topic, begun as value from p where ({ERR}) and {START}
+    union all select 'dwd_traffic_start', begun from p where {START}
+    union all select 'dwd_traffic_page', body from p where not ({START})
+    union all select 'dwd_traffic_display', '{{"common":' || common || ',' || shown || (n + 10) || ',"pos_seq":' || n || ',"ts":' || ms || '}}'
+              from p, (values (0), (1)) d(n) where {DISPLAYS}
+    union all select 'dwd_traffic_action', '{{"action_id":"cart_add","common":' || common || ',"item":"' || k || '","page_id":"' || page_id
+              || '","ts":' || ms || '}}' from p where {ACTIONS}
+    union all select 'dwd_traffic_bad', substr(concat('{{"common":{{"ar":"', ar, '","ch":"'), 1, 20) from ({VIEW_SQL}) where {BROKEN}""")
 def split_topics(spark, sf):
-    """All five outputs in one pass, read back from their JSON."""
-    rows = jobs.log_topics(log_texts(spark, sf))
-    schema = "common STRUCT<mid: STRING>, ts BIGINT, page_id STRING, item STRING"
-    body = F.from_json("value", schema)
-    return rows.select("topic", body.alias("b")).select(
-        "topic", "b.common.mid", "b.ts", "b.page_id", "b.item"
-    )
+    """All outputs in one pass, whole payloads with their keys in order (error pages with arrays left out)."""
+    rows = jobs.log_topics(log_texts(spark, sf)).filter("topic <> 'dwd_traffic_err' or value like '%\"start\"%'")
+    # Variants hold their keys in order; texts that are no record stay as they are.
+    return rows.select("topic", F.coalesce(F.to_json(F.try_parse_json("value")), "value").alias("value"))
 
 
 @query("explode_with_context", """
@@ -292,7 +313,7 @@ def lookup_join_dictionary(spark, sf):
     comments = table(spark, sf, "customer").select(
         *[given[c].alias(c) if c in given else null_text(c) for c in S.COMMENT_INFO]
     )
-    names = joins.small_side(dictionary(table(spark, sf, "nation"), "n_nationkey", "n_name"))
+    names = dictionary(table(spark, sf, "nation"), "n_nationkey", "n_name")
     return facts.comment_fact(comments, names).select("id", "nick_name", "appraise", "appraise_name")
 
 
@@ -300,7 +321,7 @@ def lookup_join_dictionary(spark, sf):
     select pay_event, payment_type, r_name as payment_type_name
     from ({PAY_SQL}) join region on cast(r_regionkey as varchar) = payment_type""")
 def lookup_join_payment(spark, sf):
-    types = joins.small_side(dictionary(table(spark, sf, "region"), "r_regionkey", "r_name"))
+    types = dictionary(table(spark, sf, "region"), "r_regionkey", "r_name")
     return joins.lookup_join(
         payments(spark, sf), types, "payment_type", {"payment_type_name": "info.dic_name"}
     ).select(F.col("id").cast("bigint").alias("pay_event"), "payment_type", "payment_type_name")
@@ -331,7 +352,7 @@ def snowflake_enrich(spark, sf):
 @query("province_enrich", """
     select c_custkey, n_name as province_name from customer left join nation on n_nationkey = c_nationkey and n_regionkey <> 2""")
 def province_enrich(spark, sf):
-    nation = joins.small_side(table(spark, sf, "nation").filter("n_regionkey <> 2"))
+    nation = table(spark, sf, "nation").filter("n_regionkey <> 2")
     return joins.enrich(
         table(spark, sf, "customer").select("c_custkey", "c_nationkey"), nation, "c_nationkey",
         {"province_name": "n_name"}, "n_nationkey",

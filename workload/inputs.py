@@ -41,6 +41,10 @@ ERR = "event_type = 'error' or (event_type = 'signup' and k >= 90)"
 START = "event_type = 'signup'"
 DISPLAYS = "event_type in ('view', 'click') and k >= 10"
 ACTIONS = "event_type = 'click'"
+# Log records without a visitor, with a quoted number, with a field nobody asked for.
+NOBODY = "k = 7"
+QUOTED = "k % 2 = 0"
+EXTRA = "case when k % 3 = 0 then cast(k as int) end"
 SOUND = f"not ({BROKEN}) and not ({EMPTY})"
 
 
@@ -74,16 +78,20 @@ def log_texts(spark: SparkSession, sf: str) -> DataFrame:
     display = [
         F.struct(
             F.col("k").cast("string").alias("item"), F.lit("sku_id").alias("item_type"),
-            F.lit(n + 10).alias("pos_id"), F.lit(n).alias("pos_seq"),
+            F.lit(n + 10).alias("pos_id"), F.lit(n).alias("pos_seq"), F.lit("query").alias("display_type"),
         )
         for n in (0, 1)
     ]
     record = F.struct(
         F.struct(
-            "ar", "ch", "is_new", "mid", F.col("event_id").cast("string").alias("sid"), "uid", "vc"
+            "ar", "ch", "is_new", F.expr(f"case when not ({NOBODY}) then mid end").alias("mid"),
+            F.col("event_id").cast("string").alias("sid"), "uid", "vc", F.concat(F.lit("x"), "k").alias("x"),
         ).alias("common"),
         F.when(~start, F.struct(
-            "page_id", "last_page_id", "item", "item_type", "during_time"
+            "page_id", "last_page_id", "item", "item_type",
+            F.when(F.expr(QUOTED), F.col("during_time").cast("string").cast("variant"))
+            .otherwise(F.col("during_time").cast("variant")).alias("during_time"),
+            F.concat(F.lit("r"), "k").alias("refer"),
         )).alias("page"),
         F.when(F.expr(DISPLAYS), F.array(*display)).alias("displays"),
         F.when(F.expr(ACTIONS), F.array(F.struct(
@@ -92,6 +100,7 @@ def log_texts(spark: SparkSession, sf: str) -> DataFrame:
         ))).alias("actions"),
         F.when(start, F.struct(F.lit("icon").alias("entry"), F.col("k").alias("loading_time"))).alias("start"),
         F.when(err, F.struct(F.col("k").alias("error_code"))).alias("err"),
+        F.when(F.expr(f"{EXTRA} is not null"), F.struct(F.col("k").alias("n"))).alias("extra"),
         F.unix_millis("rt").alias("ts"),
     )
     rows = as_source(as_source(views(spark, sf)).select(

@@ -8,7 +8,7 @@ from tidemark import functions as fn, schemas as S
 from tidemark.operators import cdc, traffic
 from tidemark.sources import read_cdc_log, read_json_topic, read_page_log
 from workload.inputs import (
-    BROKEN, CDC_SQL, CONFIG_SQL, EMPTY, SOUND, VIEW_SQL, cdc_texts, config, log_texts, table, views,
+    BROKEN, CDC_SQL, CONFIG_SQL, EMPTY, NOBODY, SOUND, VIEW_SQL, cdc_texts, config, log_texts, table, views,
 )
 from workload.registry import query
 
@@ -64,7 +64,7 @@ def to_json_rows(spark, sf):
 
 @query("parse_drop_dirty", f"""
     select mid, uid, is_new, page_id, during_time, epoch_us(rt) // 1000 as ts from (
-        select mid, uid, is_new, rt,
+        select case when not ({NOBODY}) then mid end as mid, uid, is_new, rt,
                case when event_type <> 'signup' then page_id end as page_id,
                case when event_type <> 'signup' then during_time end as during_time
         from ({VIEW_SQL}) where {SOUND})""")
@@ -371,7 +371,7 @@ def fn_json_array(spark, sf):
 
 
 @query("fn_json_with_field", f"""
-    select event_id, '0' as is_new, mid, cast(null as varchar) as uid from ({VIEW_SQL}) where {SOUND}""")
+    select event_id, '0' as is_new, case when not ({NOBODY}) then mid end as mid, cast(null as varchar) as uid from ({VIEW_SQL}) where {SOUND}""")
 def fn_json_with_field(spark, sf):
     log = fn.parse_json(log_texts(spark, sf), S.LOG)[0]
     changed = log.withColumn("common", fn.set_field("common", "is_new", F.lit("0")))
@@ -394,16 +394,8 @@ def fn_struct_field(spark, sf):
     )
 
 
-@query("salted_key_spread", """
-    select o_orderkey, concat(list_extract(['00_', '01_', '02_', '02|'],
-        cast(abs((case when h >= 2147483648 then h - 4294967296 else h end) % 4) as int) + 1),
-        o_orderkey) as storage_key
-    from (select o_orderkey, list_reduce(
-            list_prepend(cast(0 as bigint), list_transform(string_split(cast(o_orderkey as varchar), ''),
-                lambda c: cast(unicode(c) as bigint))),
-            lambda a, c: (a * 31 + c) % 4294967296) as h
-          from orders)""")
-def salted_key_spread(spark, sf):
-    return table(spark, sf, "orders").select(
-        "o_orderkey", fn.spread_key("o_orderkey", F.lit("00|,01|,02|")).alias("storage_key")
-    )
+@query("spread_rows", "select l_returnflag, l_orderkey, l_linenumber, l_extendedprice from lineitem")
+def spread_rows(spark, sf):
+    """A flag holds a third of all lines; each is written by several tasks."""
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return fn.spread(lines, ["l_returnflag"], 16, ["l_orderkey", "l_linenumber"])
