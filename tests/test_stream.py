@@ -12,7 +12,8 @@ from pyspark.sql import SparkSession, functions as F
 from tidemark import functions as fn, schemas as S
 from tidemark.operators import facts, firsts, joins, summaries, traffic
 from tidemark.operators.windows import tumble, window_bounds
-from tidemark.plans import dimensions, facts as stored_facts, streams, summaries as stored
+from tidemark.operators.routing import read_config_changes
+from tidemark.plans import dimensions, facts as stored_facts, jobs, streams, summaries as stored
 from tidemark.session import shared_dir, use_rocksdb_state
 from tidemark.sinks import (
     KeyedStore, append_batch, apply_table_ddl, debug_stream, topic_rows, write_json_topic,
@@ -461,6 +462,70 @@ def test_dimension_upkeep_on_a_stream(spark):
     assert sorted(map(tuple, store.read().collect())) == [("1", "n", "e")]
 
 
+def test_rules_change_while_the_jobs_run(spark):
+    """A rule is added, moved and deleted between batches; dimensions and facts follow, lookups see new names."""
+    root = shared_dir(spark, "jobs")
+    rules = jobs.RuleTable(spark, f"{root}/rules")
+    dims = jobs.DimensionTables(spark, f"{root}/dims", rules.read, "shop")
+    route = jobs.fact_router(f"{root}/facts", rules.read, "shop")
+
+    def image(source, sink, kind, columns):
+        return {"source_table": source, "source_type": "insert", "sink_table": sink, "sink_type": kind, "sink_family": "info",
+                "sink_columns": columns, "sink_row_key": "id", "sink_extend": None}
+
+    def change_rules(batch_id, *changes):
+        texts = [(json.dumps({"op": op, "ts_ms": ts, "before": before, "after": after}),) for op, ts, before, after in changes]
+        rules.write(read_config_changes(spark.createDataFrame(texts, "value string"))[0], batch_id)
+
+    def log(batch_id, *records):
+        texts = [(json.dumps({"database": "shop", "table": t, "type": kind, "ts": ts, "xid": 1, "xoffset": ts, "data": data}),)
+                 for t, kind, ts, data in records]
+        batch = read_cdc_log(spark.createDataFrame(texts, "value string"))
+        dims.write(batch, batch_id)
+        route(batch, batch_id)
+
+    user, city = image("user", "dim_user", "dim", "id,name"), image("city", "dim_city", "dim", "id,name")
+    pay = image("pay", "dwd_pay", "dwd", "id,sum")
+    assert dims.table("dim_user") is None
+    log(0, ("user", "insert", 1, {"id": "0", "name": "early"}))
+    change_rules(0, ("r", 1, None, user), ("r", 1, None, pay))
+    log(1, ("user", "insert", 2, {"id": "1", "name": "n", "secret": "s"}), ("city", "insert", 2, {"id": "9", "name": "c"}),
+        ("pay", "insert", 2, {"id": "5", "sum": "1", "x": "y"}), ("user", "insert", 2, {"name": "keyless"}))
+    lookups = []
+    look = jobs.with_fresh(
+        lambda batch, users: joins.enrich(batch, users, "user_id", {"name": "info.name"}),
+        lambda df, batch_id: lookups.append(rows_of(df, "user_id", "name")), users=lambda: jobs.as_dimension(dims.table("dim_user")))
+    look(spark.createDataFrame([("1",)], "user_id string"), 0)
+    change_rules(1, ("c", 3, None, city), ("u", 3, pay, image("paid", "dwd_pay", "dwd", "id")), ("d", 4, image("gone", "x", "dim", "id"), None))
+    log(2, ("city", "insert", 4, {"id": "8", "name": "d"}), ("user", "update", 4, {"id": "1", "name": "new"}),
+        ("pay", "insert", 4, {"id": "6"}), ("paid", "insert", 4, {"id": "7", "sum": "2"}))
+    look(spark.createDataFrame([("1",)], "user_id string"), 1)
+    assert lookups == [[("1", "n")], [("1", "new")]]
+    assert dims.table("dim_user").compact() == 2
+    log(3, ("user", "delete", 5, {"id": "1"}), ("city", "update", 1, {"id": "8", "name": "late"}))
+    assert rows_of(dims.table("dim_city").read(), "rowkey", "name") == [("8", "d")]
+    assert dims.table("dim_user").read().count() == 0
+    facts_out = spark.read.text(f"{root}/facts/batch_id=*/topic=*")
+    assert sorted(r.value for r in facts_out.collect()) == ['{"id":"5","sum":"1"}', '{"id":"7"}']
+    rejected = spark.read.parquet(f"{root}/dims/rejected")
+    assert ("user", "no key") in rows_of(rejected, "table", "reason") and ("city", "no rule") in rows_of(rejected, "table", "reason")
+    change_rules(2, ("d", 9, user, None))
+    assert dims.table("dim_user") is None
+
+
+def test_wide_facts_through_the_stored_log(spark):
+    path = shared_dir(spark, "log")
+    write = jobs.change_log_writer(path)
+    write(spark.createDataFrame([('{"database":"shop","table":"t","type":"insert","ts":1,"data":{"id":"1"}}',), ("{cut",), (None,)], "value string"), 0)
+    assert rows_of(jobs.stored_change_log(spark, path), "table", "type") == [("t", "insert")]
+    assert rows_of(jobs.bad_changes(spark, path), "value") == [("{cut",)]
+    store = jobs.fact_store(spark, f"{path}/fact", "line", ["v"], ["rt"])
+    put = jobs.fact_writer(store)
+    put(spark.createDataFrame([("a", "1", 1), ("b", "1", 1)], "line string, v string, rt int"), 0)
+    put(spark.createDataFrame([("a", "2", 2)], "line string, v string, rt int"), 1)
+    assert rows_of(store.read(), "line", "v") == [("a", "2"), ("b", "1")]
+
+
 def test_apply_table_ddl(spark):
     def changes(*rows):
         return spark.createDataFrame(

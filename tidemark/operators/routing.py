@@ -19,7 +19,7 @@ def read_config_changes(raw: DataFrame, value: str = "value") -> tuple[DataFrame
     """Parse the routing table's change feed: one row per change.
 
     Gives ``op``, ``ts_ms``, the row image (the old one for deletes) and the old
-    image's ``source_table``/``source_type`` as ``old_*``; and the bad records.
+    image's ``source_table``/``source_type``/``sink_type`` as ``old_*``; and the bad records.
     """
     good, bad = parse_json(raw, S.CONFIG_CHANGE, value)
     deleted = F.col("op") == "d"
@@ -32,6 +32,7 @@ def read_config_changes(raw: DataFrame, value: str = "value") -> tuple[DataFrame
         "op", "ts_ms", *carried, *image,
         F.col("before.source_table").alias("old_source_table"),
         F.col("before.source_type").alias("old_source_type"),
+        F.col("before.sink_type").alias("old_sink_type"),
     ), bad
 
 

@@ -98,9 +98,14 @@ class KeyedStore:
         paths = [f"{self.path}/base/version={v}/_bucket={b}" for b, v in sorted(versions.items())]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def _batches(self) -> list[int]:
+        return self._numbers("changes", "batch_id")
+
+    def _changes(self, batches: list[int]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/changes/batch_id={b}" for b in batches])
+
     def _fresh(self, batches: list[int]) -> DataFrame | None:
-        paths = [f"{self.path}/changes/batch_id={b}" for b in batches]
-        return self._fold(self.spark.read.parquet(*paths)) if paths else None
+        return self._fold(self._changes(batches)) if batches else None
 
     def _fold(self, changes: DataFrame) -> DataFrame:
         if self.mode == "cell":
@@ -117,7 +122,7 @@ class KeyedStore:
     def read(self) -> DataFrame | None:
         """The current table, or None while nothing was written."""
         upto = self._upto()
-        batches = [b for b in self._numbers("changes", "batch_id") if b > upto]
+        batches = [b for b in self._batches() if b > upto]
         folded = self._merged(self._base(self._versions(upto)), self._fresh(batches))
         if folded is None:
             return None
@@ -133,7 +138,7 @@ class KeyedStore:
         started on the older one can end.
         """
         upto = self._upto()
-        batches = [b for b in self._numbers("changes", "batch_id") if b > upto]
+        batches = [b for b in self._batches() if b > upto]
         if not batches:
             return upto
         last, versions = batches[-1], self._versions(upto)
@@ -155,9 +160,12 @@ class KeyedStore:
         for version in self._numbers("base", "version"):
             if version not in used:
                 self._remove(f"base/version={version}")
-        for batch in self._numbers("changes", "batch_id"):
-            if batch <= upto:
-                self._remove(f"changes/batch_id={batch}")
+        self._remove_changes(upto)
         for mark in self._numbers("marks", "upto"):
             if mark not in (upto, last):
                 self._remove(f"marks/upto={mark}")
+
+    def _remove_changes(self, upto: int) -> None:
+        for batch in self._batches():
+            if batch <= upto:
+                self._remove(f"changes/batch_id={batch}")

@@ -8,6 +8,8 @@ from tidemark import schemas as S
 from tidemark.functions import coalesce0, parse_json, put_keys, to_json_rows as json_rows
 from tidemark.operators import facts, joins, keywords, summaries, traffic
 from tidemark.plans import facts as jobs, summaries as summary_jobs
+from tidemark.plans.jobs import change_log_writer, stored_change_log
+from tidemark.session import shared_dir
 from tidemark.sources import dictionary, read_json_topic, read_page_log
 from workload.inputs import (
     ACTIONS, BROKEN, DISPLAYS, ERR, EXTRA, LINE_ID, LINE_ORDER, NOBODY, ORDER_STATUS, QUOTED, SOUND, START, VIEW_SQL,
@@ -208,9 +210,36 @@ def cancel_detail_wide(spark, sf):
     return _time_text(facts.cancel_detail_wide(cancelled, **tables), "pt")
 
 
-def none_of(df):
-    """The table's columns without rows."""
-    return df.filter(F.lit(False))
+def stored_log(spark, sf, cancelled=False):
+    """The order tables as change-log texts, parsed and stored once, read back by table."""
+    tables = order_tables(spark, sf)
+    names = {"oi": "order_info", "od": "order_detail", "oa": "order_detail_activity", "oc": "order_detail_coupon"}
+    texts = None
+    for short, name in names.items():
+        df = tables[short]
+        columns = [c for c in df.columns if c not in ("rt", "pt")]
+        at = F.unix_timestamp("rt") if "rt" in df.columns else F.lit(0).cast("bigint")
+        kind, old = F.lit("insert"), F.lit(None).cast("struct<order_status:string>")
+        if cancelled and short == "oi":
+            kind = F.when(F.col("order_status") == S.ORDER_CANCELLED, F.lit("update")).otherwise(kind)
+            old = F.when(F.col("order_status") == S.ORDER_CANCELLED, F.struct(F.lit("1001").alias("order_status")))
+        rows = df.select(F.to_json(F.struct(
+            F.lit("shop").alias("database"), F.lit(name).alias("table"), kind.alias("type"), at.alias("ts"),
+            F.struct(*columns).alias("data"), old.alias("old"))).alias("value"))
+        texts = rows if texts is None else texts.union(rows)
+    path = shared_dir(spark, "change-log")
+    change_log_writer(path)(texts, 0)
+    return stored_change_log(spark, path)
+
+
+@query("order_facts_from_log", f"select * exclude (rt) from ({_wide_sql()})")
+def order_facts_from_log(spark, sf):
+    return jobs.order_facts(stored_log(spark, sf), "shop").drop("rt")
+
+
+@query("cancel_facts_from_log", f"""select * exclude (pt) from ({_wide_sql("where order_status = '1003'", "pt")})""")
+def cancel_facts_from_log(spark, sf):
+    return jobs.cancel_facts(stored_log(spark, sf, cancelled=True), "shop").drop("rt", "pt")
 
 
 @query("order_detail_inner", f"""
@@ -218,7 +247,7 @@ def none_of(df):
     from ({OI_SQL}) join ({OD_SQL}) using (order_id)""")
 def order_detail_inner(spark, sf):
     t = order_tables(spark, sf)
-    return facts.order_detail_wide(t["oi"], t["od"], none_of(t["oa"]), none_of(t["oc"])).select(
+    return facts.order_detail_wide(t["oi"], t["od"], t["oa"], t["oc"]).select(
         "order_id", "order_detail_id", "sku_id", "split_total_amount", "order_status"
     )
 
@@ -228,7 +257,7 @@ def order_detail_inner(spark, sf):
     from ({OI_SQL}) join ({OD_SQL}) using (order_id) left join ({OA_SQL}) on line = order_detail_id""")
 def order_detail_left_activity(spark, sf):
     t = order_tables(spark, sf)
-    return facts.order_detail_wide(t["oi"], t["od"], t["oa"], none_of(t["oc"])).select(
+    return facts.order_detail_wide(t["oi"], t["od"], t["oa"], t["oc"]).select(
         "order_detail_id", "sku_id", "split_total_amount", "order_detail_activity_id", "activity_id",
         "activity_rule_id",
     )
@@ -239,7 +268,7 @@ def order_detail_left_activity(spark, sf):
     from ({OI_SQL}) join ({OD_SQL}) using (order_id) left join ({OC_SQL}) on line = order_detail_id""")
 def order_detail_left_coupon(spark, sf):
     t = order_tables(spark, sf)
-    return facts.order_detail_wide(t["oi"], t["od"], none_of(t["oa"]), t["oc"]).select(
+    return facts.order_detail_wide(t["oi"], t["od"], t["oa"], t["oc"]).select(
         "order_detail_id", "sku_id", "split_total_amount", "order_detail_coupon_id", "coupon_id", "coupon_use_id"
     )
 
