@@ -190,19 +190,44 @@ def province_order_window(
     """Distinct orders and amount per window and province.
 
     Windows start at multiples of their size since the epoch, so in some zones
-    one covers two dates; it gets the date of its first line.
+    one covers two dates; it gets the date of its first line.  On streams use
+    ``province_parts``, which needs no set of order ids.
     """
-    rows = lines.select(
+    rows = province_amounts(lines, ts, day, tz)
+    summed = tumble(rows, ts, size, ["province_id"], [
+        first_by("_day", [ts, "_day"]).alias("cur_date"),
+        F.count_distinct("order_id").alias("order_count"),
+        F.sum("amount").alias("order_amount"),
+    ])
+    return _dated(window_bounds(summed))
+
+
+def province_amounts(
+    lines: DataFrame, ts: str = "rt", day: str | None = None, tz: str | None = None,
+) -> DataFrame:
+    """Order lines reduced to what the province summary needs."""
+    return lines.select(
         "province_id", "order_id", ts, (F.col(day) if day else day_of(ts, tz)).alias("_day"),
         money("split_total_amount").alias("amount"),
     )
-    if lines.isStreaming:
-        orders = F.size(F.collect_set("order_id")).cast("bigint")
-    else:
-        orders = F.count_distinct("order_id")
-    summed = tumble(rows, ts, size, ["province_id"], [
+
+
+def province_parts(rows: DataFrame, firsts: DataFrame, ts: str = "rt") -> DataFrame:
+    """Rows to be summed: all amounts, plus one row per first line of an order in a window.
+
+    The order count is carried by rows of its own, so no window keeps its order ids.
+    """
+    zero = F.lit(0).cast("bigint")
+    counted = firsts.select(
+        "province_id", ts, "_day", F.lit(None).cast(rows.schema["amount"].dataType).alias("amount"),
+        F.lit(1).cast("bigint").alias("orders"))
+    return rows.select("province_id", ts, "_day", "amount", zero.alias("orders")).unionByName(counted)
+
+
+def province_totals(parts: DataFrame, ts: str = "rt", size: str = "3 hours") -> DataFrame:
+    summed = tumble(parts, ts, size, ["province_id"], [
         first_by("_day", [ts, "_day"]).alias("cur_date"),
-        orders.alias("order_count"),
+        F.sum("orders").alias("order_count"),
         F.sum("amount").alias("order_amount"),
     ])
     return _dated(window_bounds(summed))

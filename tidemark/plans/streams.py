@@ -107,7 +107,13 @@ def sku_summary(lines: DataFrame, flat_sku: DataFrame, delay: str = "5 seconds")
 
 
 def province_summary(lines: DataFrame, provinces: DataFrame, delay: str = "5 seconds") -> DataFrame:
-    summed = summaries.province_order_window(unique_lines(lines, delay))
+    rows = summaries.province_amounts(unique_lines(lines, delay))
+    # The first line of an order in a window of its province; remembered until the day is over.
+    marks = rows.select(
+        F.coalesce("province_id", F.lit("")).alias("_province"), "province_id", "order_id", F.col("_day").alias("_date"), "rt",
+        F.unix_timestamp(F.window("rt", "3 hours").start).alias("_start"))
+    firsts = day_firsts_stream(marks, ["_province", "order_id", "_start"]).withColumnRenamed("_date", "_day")
+    summed = summaries.province_totals(summaries.province_parts(rows, firsts))
     return enrich(summed, provinces, "province_id", {"province_name": "name"}, "id").select(
         *S.PROVINCE_SUMMARY
     )
