@@ -9,7 +9,7 @@ from tidemark.functions import money
 from tidemark.operators import firsts, joins, summaries, traffic
 from tidemark.operators.windows import first_by, tumble, window_bounds
 from tidemark.plans import summaries as jobs
-from workload.inputs import LINE_ID, LINE_ORDER, VIEW_SQL, order_tables, table, views
+from workload.inputs import LINE_ID, LINE_ORDER, NOBODY, VIEW_SQL, order_tables, table, views
 from workload.registry import query
 
 STT = "strftime(w, '%Y-%m-%d %H:%M:%S') as stt, strftime(w + interval {0}, '%Y-%m-%d %H:%M:%S') as edt"
@@ -78,12 +78,17 @@ def daily_first_flag(spark, sf):
     return firsts.flag_first_of_day(views(spark, sf), "mid", "rt", ["event_id"]).select("event_id", "uv")
 
 
+def some_nobody(df):
+    """Views of which some have no visitor; they count for nobody."""
+    return df.withColumn("mid", F.expr(f"case when not ({NOBODY}) then mid end"))
+
+
 @query("daily_first_by_page", f"""
     select mid, page_id, strftime(cast(rt as date), '%Y-%m-%d') as cur_date, min(epoch_us(rt)) as first_us
-    from ({VIEW_SQL}) where page_id in ('home', 'good_detail') group by mid, page_id, cast(rt as date)""")
+    from ({VIEW_SQL}) where page_id in ('home', 'good_detail') and not ({NOBODY}) group by mid, page_id, cast(rt as date)""")
 def daily_first_by_page(spark, sf):
     days = firsts.first_of_day(
-        traffic.pages_of(views(spark, sf), ["home", "good_detail"]), ["mid", "page_id"], "rt"
+        traffic.pages_of(some_nobody(views(spark, sf)), ["home", "good_detail"]), ["mid", "page_id"], "rt"
     )
     return days.select(
         "mid", "page_id", F.date_format("cur_date", "yyyy-MM-dd").alias("cur_date"),
@@ -113,7 +118,7 @@ def login_back_users(spark, sf):
 
 
 CARTS_SQL = f"""
-    select concat('u', user_id) as user_id,
+    select case when not ({NOBODY}) then concat('u', user_id) end as user_id,
            date_trunc('second', rt) as create_time,
            case when k < 50 then date_trunc('second', rt + interval 30 second) end as operate_time
     from ({VIEW_SQL}) where event_type = 'click'"""
@@ -123,7 +128,7 @@ def carts(spark, sf):
     rows = views(spark, sf).filter("event_type = 'click'")
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return rows.select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),
+        F.expr(f"case when not ({NOBODY}) then concat('u', user_id) end").alias("user_id"),
         text("rt").alias("create_time"),
         F.when(F.col("k") < 50, text(F.col("rt") + F.expr("interval 30 seconds"))).alias("operate_time"),
     )
@@ -132,7 +137,7 @@ def carts(spark, sf):
 CART_FIRSTS = f"""
     select user_id, cast(rt as date) as d, min(rt) as rt
     from (select user_id, coalesce(operate_time, create_time) as rt from ({CARTS_SQL}))
-    group by user_id, cast(rt as date)"""
+    where user_id is not null group by user_id, cast(rt as date)"""
 
 
 @query("cart_first_of_day", f"""
@@ -190,10 +195,10 @@ def traffic_window(spark, sf):
            cast(sum(case when page_id = 'home' then 1 else 0 end) as bigint) as home_uv_ct,
            cast(sum(case when page_id = 'good_detail' then 1 else 0 end) as bigint) as good_detail_uv_ct
     from (select page_id, {BUCKET.format("'10 seconds'", 'min(rt)')} as w from ({VIEW_SQL})
-          where page_id in ('home', 'good_detail') group by mid, page_id, cast(rt as date))
+          where page_id in ('home', 'good_detail') and not ({NOBODY}) group by mid, page_id, cast(rt as date))
     group by w""")
 def home_detail_window(spark, sf):
-    return jobs.home_detail_summary(views(spark, sf))
+    return jobs.home_detail_summary(some_nobody(views(spark, sf)))
 
 
 @query("user_login_window", f"""
@@ -215,7 +220,7 @@ def cart_uu_window(spark, sf):
 @query("trade_order_window", f"""
     with o as (select o_custkey, cast(o_orderdate as date) as d,
                       min(case when o_orderstatus = 'F' then o_orderdate + interval 36 hour else o_orderdate end) as rt
-               from orders group by o_custkey, cast(o_orderdate as date)),
+               from orders where o_custkey % 7 <> 0 group by o_custkey, cast(o_orderdate as date)),
     f as (select *, {BUCKET.format("'2 seconds'", 'rt')} as w,
                  case when row_number() over (partition by o_custkey order by rt, d) = 1 then 1 else 0 end as is_new
           from o)
@@ -225,7 +230,7 @@ def cart_uu_window(spark, sf):
 def trade_order_window(spark, sf):
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     lines = table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("user_id"), text("o_orderdate").alias("create_time"),
+        F.expr("case when o_custkey % 7 <> 0 then o_custkey end").alias("user_id"), text("o_orderdate").alias("create_time"),
         F.when(F.col("o_orderstatus") == "F", text(F.col("o_orderdate") + F.expr("interval 36 hours"))).alias("operate_time"),
     )
     return jobs.order_user_summary(lines)
