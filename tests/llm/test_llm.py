@@ -409,8 +409,39 @@ def test_blocks_of_a_dense_bucket(spark):
     need = similar.least_agreement(0.8)
     expected = {(bytes([a]), bytes([b])) for a in range(30) for b in range(a + 1, 30) if (sketch[a] == sketch[b]).sum() >= need}
     for block in (1000, 7):
-        got = {(bytes(r.a), bytes(r.b)) for r in similar._across(members, sets, 0.8, block).collect()}
+        got = {(bytes(r.a), bytes(r.b)) for r in similar._best_across(members, sets, 0.8, block, 30).collect()}
         assert got == expected
+        first = {(bytes(r.a), bytes(r.b)) for r in similar._best_across(members, sets, 0.8, block, 1).collect()}
+        assert first <= expected and {x for p in first for x in p} == {x for p in expected for x in p}
+
+
+def test_links_across_blocks(spark):
+    """Sets of one bucket in several paths and blocks: the links found connect what brute force connects."""
+    rng = random.Random(11)
+    words = prose(rng, 60).split()
+    docs = []
+    for k in range(40):
+        own = list(words)
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(60)] = prose(rng, 1)
+        docs.append((k, " ".join(own)))
+    df = similar.keyed(spark.createDataFrame(docs, "doc_id long, text string"))
+    sets = similar.sketches(df).groupBy("node").agg(
+        F.min(F.struct("doc_id", "h")).alias("at"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+    names = {bytes(r.node): r.at.doc_id for r in sets.collect()}
+    members = sets.select(F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("path"), "node", F.col("node").alias("root"), F.lit(40).alias("size"))
+    expected = plain_classes(docs)
+    for block in (1000, 9):
+        links = similar._links_across(members, sets, df, 0.8, block)
+        roots = {bytes(r.node): bytes(r.root) for r in components(links).collect()}
+        least = {}
+        for node, doc in names.items():
+            least.setdefault(roots.get(node, node), []).append(doc)
+        text_class = {d: min(own) for own in least.values() for d in own}
+        by_text = {}
+        for d, t in docs:
+            by_text.setdefault(t, d)
+        assert sorted(((d, text_class[by_text[t]]) for d, t in docs), key=str) == expected
 
 
 def test_components(spark):

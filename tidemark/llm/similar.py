@@ -24,7 +24,9 @@ RECALL = 0.999
 SMALL = 24
 DEEPEST = 6
 # Sets compared with each other in one group, of a bucket that cannot be split.
-BLOCK = 512
+BLOCK = 2048
+# Rounds in which each set is compared with the so many that agree most with it.
+BEST_FIRST = (1, 1)
 HASHED_BYTES = 1 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -207,13 +209,18 @@ def _likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
+def texts_of(nodes: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of distinct nodes, each from one of its rows."""
+    at = nodes.join(sets.select("node", "at"), "node").select("node", "at.doc_id", "at.h")
+    return stored(
+        docs.alias("d").join(at.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.h") == F.col("w.h")))
+        .select("w.node", "d.text").dropDuplicates(["node"]), "compared-texts")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach the similarity."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    at = wanted.join(sets.select("node", "at"), "node").select("node", "at.doc_id", "at.h")
-    texts = stored(
-        docs.alias("d").join(at.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.h") == F.col("w.h")))
-        .select("w.node", "d.text").dropDuplicates(["node"]), "compared-texts")
+    texts = texts_of(wanted, sets, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, 256):
@@ -230,36 +237,90 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, similarity: flo
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def _across(members: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Likely pairs of a bucket whose sets are not yet connected.
+def _groups(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (path, node, root, size, ...) dealt out to groups (path, i, j).
 
-    ``members``: (path, node, root, size).  A bucket is cut into blocks and every two
-    blocks are compared in one group of at most 2 * ``block`` sets, on average.
+    A bucket is cut into blocks, and every two blocks meet in one group of at most
+    2 * ``block`` sets, on average.
     """
+    mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    return (
+        members.withColumn("n", F.ceil(F.col("size") / block).cast("int")).withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+        .drop("n", "other", "size"))
+
+
+class _Group:
+    """Sets of one group: who may be compared with whom."""
+
+    def __init__(self, group: pa.Table, need: int):
+        self.nodes = group.column("node").to_pylist()
+        self.sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u4").reshape(-1, COORDINATES)
+        self.kind = np.unique(np.array([r.hex() for r in group.column("root").to_pylist()]), return_inverse=True)[1]
+        self.side = group.column("mine").to_numpy()
+        self.inner = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        self.need = need
+
+    def partners(self, k: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets from ``start`` on of other classes that agree enough with set k, and how much."""
+        rest = np.arange(start, len(self.nodes))
+        rest = rest[(self.kind[rest] != self.kind[k]) & (True if self.inner else self.side[rest] != self.side[k])]
+        same = _agree(self.sketch[rest], self.sketch[k])
+        return rest[same >= self.need], same[same >= self.need]
+
+    def table(self, pairs: list[tuple[int, int]]) -> pa.Table:
+        ends = [sorted((self.nodes[a], self.nodes[b])) for a, b in pairs]
+        return pa.table({"a": pa.array([x for x, _ in ends], pa.binary()), "b": pa.array([y for _, y in ends], pa.binary())})
+
+
+def _best_across(members: DataFrame, sets: DataFrame, similarity: float, block: int, best: int) -> DataFrame:
+    """Pairs of each set with the ``best`` ones of its groups that agree most with it, of other classes."""
     need = least_agreement(similarity)
-    n = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), n).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    rows = (
-        members.withColumn("n", n).withColumn("mine", mine).withColumn("other", other)
-        .join(sets.select("node", "sketch"), "node")
-        .select("path", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "sketch"))
 
     def compare(group: pa.Table) -> pa.Table:
-        nodes, roots = group.column("node").to_pylist(), group.column("root").to_pylist()
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u4").reshape(-1, COORDINATES)
-        kind = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
-        side = group.column("mine").to_numpy()
-        inner = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        a, b = [], []
-        for k in range(len(nodes)):
-            rest = np.arange(k + 1, len(nodes))
-            rest = rest[(kind[rest] != kind[k]) & (True if inner else side[rest] != side[k])]
-            for x in rest[_agree(sketch[rest], sketch[k]) >= need].tolist():
-                a.append(min(nodes[k], nodes[x]))
-                b.append(max(nodes[k], nodes[x]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        own, pairs = _Group(group, need), []
+        for k in range(len(own.nodes)):
+            rest, same = own.partners(k, 0)
+            pairs += [(k, int(x)) for x in rest[np.argsort(-same, kind="stable")[:best]]]
+        return own.table(pairs)
 
+    rows = _groups(members, block).join(sets.select("node", "sketch"), "node")
+    return rows.groupBy("path", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+
+
+def _links_across(members: DataFrame, sets: DataFrame, docs: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links between the classes a bucket is left in: every likely pair is checked on whole texts.
+
+    The check is made in the group itself, and only links that connect something are
+    returned.  Two sets that share several buckets are compared in the least of them.
+    """
+    need = least_agreement(similarity)
+    texts = texts_of(members.select("node").distinct(), sets, docs)
+    own_paths = members.groupBy("node").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # as many as runs, about
+
+    def compare(group: pa.Table) -> pa.Table:
+        own, links = _Group(group, need), []
+        path = group.column("path")[0].as_py()
+        before = [[p for p in paths if p < path] for paths in group.column("paths").to_pylist()]
+        earlier = {p: k for k, p in enumerate(sorted({p for paths in before for p in paths}))}
+        met = np.zeros((len(own.nodes), len(earlier)), np.float32)
+        for k, paths in enumerate(before):
+            met[k, [earlier[p] for p in paths]] = 1
+        hashes, ends = shingle_sets(group.column("text").to_pylist())
+        found = np.split(hashes, ends[:-1])
+        for k in range(len(own.nodes)):
+            rest, _ = own.partners(k, k + 1)
+            for x in rest[met[rest] @ met[k] == 0].tolist():
+                if own.kind[x] == own.kind[k]:
+                    continue
+                common = len(np.intersect1d(found[k], found[x], assume_unique=True))
+                if common >= similarity * (len(found[k]) + len(found[x]) - common):
+                    links.append((k, x))
+                    own.kind[own.kind == own.kind[x]] = own.kind[k]
+        return own.table(links)
+
+    rows = (_groups(members, block).join(sets.select("node", "sketch"), "node").join(texts, "node").join(own_paths, "node"))
     return rows.groupBy("path", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
@@ -274,8 +335,10 @@ def similarity_join(
     linked where their Jaccard similarity reaches ``similarity``, whatever path
     connects them; a class of n sets has at least n - 1 links, but not all of its
     pairs are listed.  First the sets of every bucket are compared with its least
-    one.  Where that leaves a bucket in several classes, its sets of different
-    classes are compared pair by pair.  Comparisons are exact, on whole texts.
+    one.  Where that leaves a bucket in several classes, each set is compared with the
+    one of another class that agrees most with it, in a few rounds in which most
+    classes merge; then what is left in different classes is compared pair by pair,
+    inside its group.  Comparisons are exact, on whole texts.
     """
     rows = stored(sketches(docs), "sketches")
     sets = stored(rows.groupBy("node").agg(
@@ -287,13 +350,18 @@ def similarity_join(
         met.join(least, "path").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), sets, similarity), "pairs")
     links = stored(verified(first, sets, docs, similarity), "links")
     roots = stored(components(links), "roots")
-    named = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = named.groupBy("path").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("path")
-    more = _across(named.join(open_, "path"), sets, similarity, block).join(first, ["a", "b"], "left_anti")
-    more = stored(more, "more-pairs")
-    if not more.isEmpty():
-        links = stored(links.union(verified(more, sets, docs, similarity)).distinct(), "all-links")
-        roots = stored(components(links), "all-roots")
+    def open_buckets() -> DataFrame:
+        named = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = named.groupBy("path").agg((F.min("root") < F.max("root")).alias("several"))
+        return stored(named.join(several.filter("several").select("path"), "path"), "open-buckets")
+
+    for best in BEST_FIRST:
+        more = stored(_best_across(open_buckets(), sets, similarity, block, best).join(first, ["a", "b"], "left_anti"), "pairs")
+        links = stored(links.union(verified(more, sets, docs, similarity)).distinct(), "links")
+        roots = stored(components(links), "roots")
+        first = first.union(more)
+    links = stored(links.union(_links_across(open_buckets(), sets, docs, similarity, block)).distinct(), "links")
+    roots = stored(components(links), "roots")
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(
         F.count(F.lit(1)).alias("n_links"))
     members = rows.select("doc_id", "h", "node").join(roots.join(degree, "node"), "node", "left").select(
