@@ -429,7 +429,7 @@ def test_links_across_blocks(spark):
     sets = similar.sketches(df).groupBy("node").agg(
         F.min(F.struct("doc_id", "h")).alias("at"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
     names = {bytes(r.node): r.at.doc_id for r in sets.collect()}
-    members = sets.select(F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("path"), "node", F.col("node").alias("root"), F.lit(40).alias("size"))
+    members = sets.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("path"), "node", F.col("node").alias("root"), F.lit(40).alias("size"))
     expected = plain_classes(docs)
     for block in (1000, 9):
         links = similar._links_across(members, sets, df, 0.8, block)
