@@ -161,9 +161,8 @@ def sku_amounts(lines: DataFrame, ts: str = "rt") -> DataFrame:
 def sku_order_window(lines: DataFrame, ts: str = "rt", size: str = "10 seconds") -> DataFrame:
     """Original, activity, coupon and final amount per window and sku.
 
-    The name is that of the window's first line.  On a stored table the sums are
-    made per sku and name, which keeps text out of the aggregation buffers (they
-    stay hashed); a second, small step picks the name.
+    The name is that of the window's first line.  One aggregate by window and sku
+    gives name and sums: lines are folded per task and shuffled once.
     """
     sums = {
         "original_amount": "original", "activity_amount": "activity",
@@ -171,15 +170,8 @@ def sku_order_window(lines: DataFrame, ts: str = "rt", size: str = "10 seconds")
     }
     rows = sku_amounts(lines, ts)
     totals = [F.sum(c).alias(name) for name, c in sums.items()]
-    if lines.isStreaming:
-        name = first_by("sku_name", [ts, "sku_name"]).alias("sku_name")
-        summed = tumble(rows, ts, size, ["sku_id"], [name, *totals])
-    else:
-        named = tumble(rows, ts, size, ["sku_id", "sku_name"], [F.min(ts).alias(ts), *totals])
-        summed = named.groupBy("window", "sku_id").agg(
-            first_by("sku_name", [ts, "sku_name"]).alias("sku_name"),
-            *[F.sum(name).alias(name) for name in sums],
-        )
+    name = first_by("sku_name", [ts, "sku_name"]).alias("sku_name")
+    summed = tumble(rows, ts, size, ["sku_id"], [name, *totals])
     return window_bounds(summed, cur_date=True)
 
 

@@ -110,8 +110,6 @@ def split_log_records(heads: DataFrame) -> DataFrame:
     topic sink with a ``topic`` column or to files partitioned by ``topic``.
     """
     open_map = "map<string,variant>"
-    parsed = F.try_variant_get(F.try_parse_json("value"), "$", open_map)
-    rows = heads.select("value", "is_new", F.explode(F.array(parsed)).alias("_body"))
 
     def field(name: str, of: Column | str = "_body") -> Column:
         return F.try_element_at(of, F.lit(name))
@@ -119,38 +117,50 @@ def split_log_records(heads: DataFrame) -> DataFrame:
     def present(value: Column) -> Column:
         return value.isNotNull() & ~F.is_variant_null(value)
 
-    common = F.try_variant_get(field("common"), "$", open_map)
-    repaired = (F.try_variant_get(field("is_new", common), "$", "string") == "1") & (F.col("is_new") == "0")
-    fixed = put_keys(common, is_new=F.parse_json(F.lit('"0"')))
-    rows = rows.withColumn("_body", F.when(
-        repaired, put_keys("_body", common=F.to_variant_object(fixed))).otherwise(F.col("_body")))
+    def once(rows: DataFrame, **columns: Column) -> DataFrame:
+        # A one-element explode: what is used several times is worked out once.
+        made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_o")
+        return rows.select(*rows.columns, made).select(*rows.columns, "_o.*")
 
     def record(kind: str, value: Column) -> Column:
         return F.struct(F.lit(S.LOG_TOPICS[kind]).alias("topic"), value.alias("value"))
 
-    page = F.try_variant_get(field("page"), "$", open_map)
+    rows = once(heads.select("value", "is_new"), _body=F.try_variant_get(F.try_parse_json("value"), "$", open_map))
+    rows = once(rows, _common=F.try_variant_get(field("common"), "$", open_map))
+    said = F.try_variant_get(field("is_new", "_common"), "$", "string")
+    repaired = F.coalesce((said == "1") & (F.col("is_new") == "0"), F.lit(False))
+    fixed = F.to_variant_object(put_keys("_common", is_new=F.parse_json(F.lit('"0"'))))
+    rows = once(
+        rows, _repaired=repaired, _fixed=F.when(repaired, fixed).otherwise(field("common")),
+        **{f"_{k}": F.try_variant_get(field(k), "$", "array<variant>") for k in ("displays", "actions")},
+    )
+    taken = F.array_compact(F.array(*[F.when(F.col(f"_{k}").isNotNull(), F.lit(k)) for k in ("displays", "actions")]))
+    whole = F.when(F.col("_repaired"), F.to_json(put_keys("_body", common=F.col("_fixed")))).otherwise(F.col("value"))
     context = F.map_filter(
-        F.create_map(F.lit("common"), field("common"), F.lit("ts"), field("ts"), F.lit("page_id"), field("page_id", page)),
+        F.create_map(
+            F.lit("common"), F.col("_fixed"), F.lit("ts"), field("ts"),
+            F.lit("page_id"), F.try_variant_get(field("page"), "$.page_id", "variant")),
         lambda _, v: v.isNotNull())
+    rows = once(rows, _taken=taken, _whole=whole, _context=F.when(F.size(taken) > 0, context))
+    rows = once(rows, _given=F.map_keys("_context"))
 
     def event(kind: str):
         def build(element: Column) -> Column:
             own = F.coalesce(F.try_variant_get(element, "$", open_map), F.create_map(F.lit("element"), element))
-            kept = F.map_filter(own, lambda k, _: ~F.array_contains(F.map_keys(context), k))
-            return record(kind, F.to_json(F.map_concat(kept, context)))
+            kept = F.map_filter(own, lambda k, _: ~F.array_contains("_given", k))
+            return record(kind, F.to_json(F.map_concat(kept, F.col("_context"))))
         return build
 
     none = F.array().cast("array<struct<topic:string,value:string>>")
     started = present(field("start"))
-    arrays = {k: F.try_variant_get(field(k), "$", "array<variant>") for k in ("displays", "actions")}
-    taken = F.array_compact(F.array(*[F.when(a.isNotNull(), F.lit(k)) for k, a in arrays.items()]))
-    rest = F.map_filter("_body", lambda k, _: ~F.array_contains(taken, k))
-    whole = F.to_json("_body")
+    rest = F.map_filter(put_keys("_body", common=F.col("_fixed")), lambda k, _: ~F.array_contains("_taken", k))
+    rest = F.map_filter(rest, lambda _, v: v.isNotNull())  # a record without common fields gets none
+    page = F.when(F.size("_taken") > 0, F.to_json(rest)).otherwise(F.col("_whole"))
     parts = [
-        F.when(present(field("err")), F.array(record("error", whole))).otherwise(none),
-        F.when(started, F.array(record("start", whole))).otherwise(F.array(record("page", F.to_json(rest)))),
-        F.when(~started & arrays["displays"].isNotNull(), F.transform(arrays["displays"], event("display"))).otherwise(none),
-        F.when(~started & arrays["actions"].isNotNull(), F.transform(arrays["actions"], event("action"))).otherwise(none),
+        F.when(present(field("err")), F.array(record("error", F.col("_whole")))).otherwise(none),
+        F.when(started, F.array(record("start", F.col("_whole")))).otherwise(F.array(record("page", page))),
+        F.when(~started & F.col("_displays").isNotNull(), F.transform("_displays", event("display"))).otherwise(none),
+        F.when(~started & F.col("_actions").isNotNull(), F.transform("_actions", event("action"))).otherwise(none),
     ]
     records = F.when(F.col("_body").isNull(), F.array(record("bad", F.col("value")))).otherwise(F.concat(*parts))
     return rows.select(F.explode(records).alias("_r")).select("_r.topic", "_r.value")
