@@ -292,26 +292,44 @@ def _best_across(members: DataFrame, sets: DataFrame, similarity: float, block:
 def _links_across(members: DataFrame, sets: DataFrame, docs: DataFrame, similarity: float, block: int) -> DataFrame:
     """Links between the classes a bucket is left in: every likely pair is checked on whole texts.
 
-    The check is made in the group itself, and only links that connect something are
-    returned.  Two sets that share several buckets are compared in the least of them.
+    Two sets that share several buckets are compared in the least of them.  Sketches
+    tell first which sets have anybody to be compared with; only those few bring
+    their texts.  The check is made in the group itself, and only links that connect
+    something are returned.
     """
     need = least_agreement(similarity)
-    texts = texts_of(members.select("node").distinct(), sets, docs)
     own_paths = members.groupBy("node").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # as many as runs, about
+    rows = _groups(members, block).join(sets.select("node", "sketch"), "node").join(own_paths, "node")
 
-    def compare(group: pa.Table) -> pa.Table:
-        own, links = _Group(group, need), []
-        path = group.column("path")[0].as_py()
+    def pairs_of(group: pa.Table) -> tuple[_Group, Iterator[tuple[int, np.ndarray]]]:
+        own, path = _Group(group, need), group.column("path")[0].as_py()
         before = [[p for p in paths if p < path] for paths in group.column("paths").to_pylist()]
         earlier = {p: k for k, p in enumerate(sorted({p for paths in before for p in paths}))}
         met = np.zeros((len(own.nodes), len(earlier)), np.float32)
         for k, paths in enumerate(before):
             met[k, [earlier[p] for p in paths]] = 1
+
+        def pairs():
+            for k in range(len(own.nodes)):
+                rest, _ = own.partners(k, k + 1)
+                yield k, rest[met[rest] @ met[k] == 0]
+
+        return own, pairs()
+
+    def involved(group: pa.Table) -> pa.Table:
+        own, pairs = pairs_of(group)
+        some = np.zeros(len(own.nodes), bool)
+        for k, rest in pairs:
+            some[rest] = True
+            some[k] |= len(rest) > 0
+        return group.filter(pa.array(some))
+
+    def compare(group: pa.Table) -> pa.Table:
+        own, pairs = pairs_of(group)
         hashes, ends = shingle_sets(group.column("text").to_pylist())
-        found = np.split(hashes, ends[:-1])
-        for k in range(len(own.nodes)):
-            rest, _ = own.partners(k, k + 1)
-            for x in rest[met[rest] @ met[k] == 0].tolist():
+        found, links = np.split(hashes, ends[:-1]), []
+        for k, rest in pairs:
+            for x in rest.tolist():
                 if own.kind[x] == own.kind[k]:
                     continue
                 common = len(np.intersect1d(found[k], found[x], assume_unique=True))
@@ -320,8 +338,9 @@ def _links_across(members: DataFrame, sets: DataFrame, docs: DataFrame, similari
                     own.kind[own.kind == own.kind[x]] = own.kind[k]
         return own.table(links)
 
-    rows = (_groups(members, block).join(sets.select("node", "sketch"), "node").join(texts, "node").join(own_paths, "node"))
-    return rows.groupBy("path", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    few = stored(rows.groupBy("path", "i", "j").applyInArrow(involved, rows.schema), "to-compare")
+    texts = texts_of(few.select("node").distinct(), sets, docs)
+    return few.join(texts, "node").groupBy("path", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def similarity_join(
