@@ -415,6 +415,29 @@ def test_blocks_of_a_dense_bucket(spark):
         assert first <= expected and {x for p in first for x in p} == {x for p in expected for x in p}
 
 
+def test_links_are_counted_whole(spark):
+    """n_links is the number of different sets within reach, for every document of a dense class and of a chain."""
+    rng = random.Random(12)
+    docs = []
+    dense, chain = prose(rng, 300).split(), prose(rng, 150).split()
+    for k in range(40):  # all near each other
+        own = list(dense)
+        own[7 * k + 3] = prose(rng, 1)
+        docs.append((k, " ".join(own)))
+    for k in range(40):
+        chain = list(chain)
+        chain[rng.randrange(150)] = prose(rng, 1)
+        docs.append((100 + k, " ".join(chain)))
+    docs += [(200, docs[0][1]), (201, None), (202, prose(rng, 30))]
+    sets = {k: frozenset(tuple(w[j:j + 5]) for j in range(len(w) - 4)) for k, w in ((k, (t or "").split()) for k, t in docs)}
+    expected = {k: sum(len(own & x) >= 0.8 * len(own | x) for x in set(sets.values()) - {own} if own and x) for k, own in sets.items()}
+    assert all(expected[k] == 39 for k in [*range(40), 200]) and len({expected[100 + k] for k in range(40)}) > 1
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in similar.classes(df).collect()} == expected
+    members = similar.similarity_join(similar.keyed(df), block=7)[0]  # blocks
+    assert {r.doc_id: r.n_links for r in members.collect()} == expected
+
+
 def test_links_across_blocks(spark):
     """Sets of one bucket in several paths and blocks: the links found connect what brute force connects."""
     rng = random.Random(11)

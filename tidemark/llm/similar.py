@@ -25,8 +25,6 @@ SMALL = 24
 DEEPEST = 6
 # Sets compared with each other in one group, of a bucket that cannot be split.
 BLOCK = 2048
-# Rounds in which each set is compared with the so many that agree most with it.
-BEST_FIRST = (1, 1)
 HASHED_BYTES = 1 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -191,24 +189,6 @@ def least_agreement(similarity: float) -> int:
     return max(1, math.floor(mean - 5 * spread))
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sketches and sizes allow the similarity."""
-    need = least_agreement(similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, COORDINATES) for k in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array(_agree(x, y) >= need))
-
-    sized = lambda side: sets.select(
-        F.col("node").alias(side), F.col("sketch").alias(f"s{side}"), F.col("n_shingles").alias(f"n{side}"))
-    wide = pairs.join(sized("a"), "a").join(sized("b"), "b").filter(
-        F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
-    return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
-
-
 def texts_of(nodes: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, text) of distinct nodes, each from one of its rows."""
     at = nodes.join(sets.select("node", "at"), "node").select("node", "at.doc_id", "at.h")
@@ -217,28 +197,8 @@ def texts_of(nodes: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
         .select("w.node", "d.text").dropDuplicates(["node"]), "compared-texts")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = texts_of(wanted, sets, docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 256):
-            hashes, ends = shingle_sets([*batch.column(2).to_pylist(), *batch.column(3).to_pylist()])
-            own = np.split(hashes, ends[:-1])
-            n = batch.num_rows
-            keep = []
-            for x, y in zip(own[:n], own[n:]):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"t{name}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
-
-
 def _groups(members: DataFrame, block: int) -> DataFrame:
-    """``members`` (path, node, root, size, ...) dealt out to groups (path, i, j).
+    """``members`` (path, node, size, ...) dealt out to groups (path, i, j).
 
     A bucket is cut into blocks, and every two blocks meet in one group of at most
     2 * ``block`` sets, on average.
@@ -289,58 +249,149 @@ def _best_across(members: DataFrame, sets: DataFrame, similarity: float, block:
     return rows.groupBy("path", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
-def _links_across(members: DataFrame, sets: DataFrame, docs: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Links between the classes a bucket is left in: every likely pair is checked on whole texts.
+def _marks(sets: DataFrame) -> DataFrame:
+    """(node, n_shingles, marks): a byte of each minimum hash; sets agree in at least as many bytes as hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                marks = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, COORDINATES).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array([m.tobytes() for m in marks], pa.binary())], ["node", "n_shingles", "marks"])
+
+    return sets.select("node", "n_shingles", "sketch").mapInArrow(run, "node binary, n_shingles int, marks binary")
+
+
+def _by_group(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` on each group (path, i, j) of ``rows``, a table; gives the tables it returns.
 
-    Two sets that share several buckets are compared in the least of them.  Sketches
-    tell first which sets have anybody to be compared with; only those few bring
-    their texts.  The check is made in the group itself, and only links that connect
-    something are returned.
+    Most groups hold a few sets, so many of them come to the worker at once.
     """
-    need = least_agreement(similarity)
-    own_paths = members.groupBy("node").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # as many as runs, about
-    rows = _groups(members, block).join(sets.select("node", "sketch"), "node").join(own_paths, "node")
-
-    def pairs_of(group: pa.Table) -> tuple[_Group, Iterator[tuple[int, np.ndarray]]]:
-        own, path = _Group(group, need), group.column("path")[0].as_py()
-        before = [[p for p in paths if p < path] for paths in group.column("paths").to_pylist()]
-        earlier = {p: k for k, p in enumerate(sorted({p for paths in before for p in paths}))}
-        met = np.zeros((len(own.nodes), len(earlier)), np.float32)
-        for k, paths in enumerate(before):
-            met[k, [earlier[p] for p in paths]] = 1
-
-        def pairs():
-            for k in range(len(own.nodes)):
-                rest, _ = own.partners(k, k + 1)
-                yield k, rest[met[rest] @ met[k] == 0]
-
-        return own, pairs()
-
-    def involved(group: pa.Table) -> pa.Table:
-        own, pairs = pairs_of(group)
-        some = np.zeros(len(own.nodes), bool)
-        for k, rest in pairs:
-            some[rest] = True
-            some[k] |= len(rest) > 0
-        return group.filter(pa.array(some))
+    keys = ["path", "i", "j"]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(table: pa.Table, edges: list[int]) -> Iterator[pa.RecordBatch]:
+            for a, b in zip(edges[:-1], edges[1:]):
+                found = run(table.slice(a, b - a)) if b - a > 1 else None
+                if found is not None and found.num_rows:
+                    yield from found.combine_chunks().to_batches()
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([batch])
+            held = (pa.concat_tables([held, whole]) if held is not None else whole).combine_chunks()
+            changes = np.zeros(held.num_rows - 1, bool)
+            for key in keys:
+                changes |= np.diff(held.column(key).to_numpy()) != 0
+            edges = [0, *(np.flatnonzero(changes) + 1).tolist()]
+            yield from done(held, edges)
+            held = held.slice(edges[-1])
+        if held is not None:
+            yield from done(held, [0, held.num_rows])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(groups, schema)
+
+
+def _shared(codes: list[np.ndarray], seen: np.ndarray, k: int, rest: np.ndarray) -> np.ndarray:
+    """How many codes set k has in common with each set of ``rest``; ``seen`` is all False before and after."""
+    seen[codes[k]] = True
+    ends = np.cumsum([0, *(len(codes[x]) for x in rest)])
+    hits = np.concatenate([[0], np.cumsum(seen[np.concatenate([codes[x] for x in rest])])])
+    seen[codes[k]] = False
+    return hits[ends[1:]] - hits[ends[:-1]]
+
+
+def _coded(values: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(codes, seen) of sets of numbers, for ``_shared``."""
+    names, codes = np.unique(np.concatenate(values), return_inverse=True)
+    return np.split(codes, np.cumsum([len(v) for v in values])[:-1]), np.zeros(len(names), bool)
+
+
+def _likely_in_group(group: pa.Table, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, rest): the later sets of a group whose marks and sizes allow the similarity to set k, if there are any."""
+    n, need = group.num_rows, least_agreement(similarity)
+    marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(n, COORDINATES)
+    sizes, side = group.column("n_shingles").to_numpy(), group.column("mine").to_numpy()
+    inner = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+    step = max(1, (1 << 20) // (n * COORDINATES))
+    for start in range(0, n, step):
+        own = slice(start, start + step)
+        close = _agree(marks[own, None], marks[None, start:]) >= need
+        a, b = sizes[own, None], sizes[None, start:]
+        close &= np.minimum(a, b) >= similarity * np.maximum(a, b)
+        if not inner:
+            close &= side[own, None] != side[None, start:]
+        close = np.triu(close, 1)
+        for k in np.flatnonzero(close.any(axis=1)).tolist():
+            yield start + k, start + np.flatnonzero(close[k])
+
+
+def _first_met(group: pa.Table, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """The likely pairs of a group that meet in no lesser path."""
+    path = group.column("path")[0].as_py()
+    own_paths = [np.array([p for p in paths if p < path], np.int64) for paths in group.column("paths").to_pylist()]
+    codes, seen = _coded(own_paths)
+    for k, rest in _likely_in_group(group, similarity):
+        rest = rest[_shared(codes, seen, k, rest) == 0]
+        if len(rest):
+            yield k, rest
+
+
+def _counted(members: DataFrame, sets: DataFrame, docs: DataFrame, similarity: float, block: int) -> DataFrame:
+    """All links of the buckets, summed up: rows (a, b, null) connect what is linked, rows (a, null, n) count links of set a.
+
+    Every likely pair of a bucket is checked on whole texts, once: two sets that
+    share several buckets are compared in the least of them.  Marks of their sketches
+    tell first which sets have anybody to be compared with; only those bring their
+    paths, and of those only sets with a pair of their own to be checked their texts.
+    A group gives a count for each set and fewer links than sets, never its pairs.
+    """
+    def some(pairs, group: pa.Table) -> pa.Table:
+        wanted = np.zeros(group.num_rows, bool)
+        for k, rest in pairs(group, similarity):
+            wanted[k] = True
+            wanted[rest] = True
+        return group.filter(pa.array(wanted))
 
     def compare(group: pa.Table) -> pa.Table:
-        own, pairs = pairs_of(group)
+        nodes = group.column("node").to_pylist()
         hashes, ends = shingle_sets(group.column("text").to_pylist())
-        found, links = np.split(hashes, ends[:-1]), []
-        for k, rest in pairs:
-            for x in rest.tolist():
-                if own.kind[x] == own.kind[k]:
-                    continue
-                common = len(np.intersect1d(found[k], found[x], assume_unique=True))
-                if common >= similarity * (len(found[k]) + len(found[x]) - common):
-                    links.append((k, x))
-                    own.kind[own.kind == own.kind[x]] = own.kind[k]
-        return own.table(links)
-
-    few = stored(rows.groupBy("path", "i", "j").applyInArrow(involved, rows.schema), "to-compare")
+        codes, seen = _coded(np.split(hashes, ends[:-1]))
+        sizes = np.array([len(c) for c in codes])
+        kind, count, links = np.arange(len(nodes)), np.zeros(len(nodes), np.int64), []
+        for k, rest in _first_met(group, similarity):
+            common = _shared(codes, seen, k, rest)
+            rest = rest[common >= similarity * (sizes[k] + sizes[rest] - common)]
+            count[k] += len(rest)
+            count[rest] += 1
+            for other in np.unique(kind[rest]).tolist():
+                if other != kind[k]:
+                    x = rest[kind[rest] == other][0]
+                    links.append(sorted((nodes[k], nodes[x])))
+                    kind[kind == other] = kind[k]
+        counted = np.flatnonzero(count).tolist()
+        return pa.table({
+            "a": pa.array([x for x, _ in links] + [nodes[k] for k in counted], pa.binary()),
+            "b": pa.array([y for _, y in links] + [None] * len(counted), pa.binary()),
+            "n": pa.array([None] * len(links) + count[counted].tolist(), pa.int64())})
+
+    dealt = _groups(members.select("path", "node", "size"), block).join(_marks(sets), "node").select(
+        "path", "i", "j", "mine", "node", "n_shingles", "marks")
+    fields = "path long, i int, j int, mine int, node binary, n_shingles int, marks binary"
+    near = stored(_by_group(dealt, lambda group: some(_likely_in_group, group), fields), "near-sets")
+    own_paths = near.groupBy("node").agg(F.collect_set("path").alias("paths"))  # a few for each run
+    few = stored(_by_group(
+        near.join(own_paths, "node").select(*dealt.columns, "paths"), lambda group: some(_first_met, group),
+        fields + ", paths array<long>"), "to-compare")
     texts = texts_of(few.select("node").distinct(), sets, docs)
-    return few.join(texts, "node").groupBy("path", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    return stored(_by_group(
+        few.join(texts, "node").select(*dealt.columns, "paths", "text"), compare, "a binary, b binary, n long"), "counted-links")
+
+
+def _links_across(members: DataFrame, sets: DataFrame, docs: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links that connect what the sets of the buckets are linked to over any path."""
+    return _counted(members, sets, docs, similarity, block).filter("b is not null").select("a", "b").distinct()
 
 
 def similarity_join(
@@ -349,40 +400,21 @@ def similarity_join(
     """(members, links): the set ("node") and class of every row, and verified links that connect the classes.
 
     members: (doc_id, h, node, root, n_links), one row per row of ``docs`` (doc_id, h,
-    text); root is the least node of the class, n_links the links of the row's set.
-    Rows with equal sets are one node and are not compared.  Two different sets are
-    linked where their Jaccard similarity reaches ``similarity``, whatever path
-    connects them; a class of n sets has at least n - 1 links, but not all of its
-    pairs are listed.  First the sets of every bucket are compared with its least
-    one.  Where that leaves a bucket in several classes, each set is compared with the
-    one of another class that agrees most with it, in a few rounds in which most
-    classes merge; then what is left in different classes is compared pair by pair,
-    inside its group.  Comparisons are exact, on whole texts.
+    text); root is the least node of the class, n_links the number of different sets
+    that the row's set is linked to.  Rows with equal sets are one node and are not
+    compared.  Two different sets are linked where their Jaccard similarity reaches
+    ``similarity``.  Every likely pair of the buckets is compared once, exactly, on
+    whole texts, and counted; of the links only as many are listed as connect the classes.
     """
     rows = stored(sketches(docs), "sketches")
     sets = stored(rows.groupBy("node").agg(
         F.min(F.struct("doc_id", "h")).alias("at"), F.max("n_shingles").alias("n_shingles"),
         F.max("sketch").alias("sketch")), "sets")
     met = buckets(sets.filter("n_shingles > 0"), similarity, recall)
-    least = met.groupBy("path").agg(F.min("node").alias("a"))
-    first = stored(_likely(
-        met.join(least, "path").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), sets, similarity), "pairs")
-    links = stored(verified(first, sets, docs, similarity), "links")
-    roots = stored(components(links), "roots")
-    def open_buckets() -> DataFrame:
-        named = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = named.groupBy("path").agg((F.min("root") < F.max("root")).alias("several"))
-        return stored(named.join(several.filter("several").select("path"), "path"), "open-buckets")
-
-    for best in BEST_FIRST:
-        more = stored(_best_across(open_buckets(), sets, similarity, block, best).join(first, ["a", "b"], "left_anti"), "pairs")
-        links = stored(links.union(verified(more, sets, docs, similarity)).distinct(), "links")
-        roots = stored(components(links), "roots")
-        first = first.union(more)
-    links = stored(links.union(_links_across(open_buckets(), sets, docs, similarity, block)).distinct(), "links")
+    counted = _counted(met, sets, docs, similarity, block)
+    links = counted.filter("b is not null").select("a", "b").distinct()
     roots = stored(components(links), "roots")
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(
-        F.count(F.lit(1)).alias("n_links"))
+    degree = counted.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     members = rows.select("doc_id", "h", "node").join(roots.join(degree, "node"), "node", "left").select(
         "doc_id", "h", "node", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return members, links
