@@ -415,6 +415,21 @@ def test_blocks_of_a_dense_bucket(spark):
         assert first <= expected and {x for p in first for x in p} == {x for p in expected for x in p}
 
 
+def test_recall_in_the_last_buckets(spark):
+    """Pairs right at the least similarity meet as often as promised where every bucket is split to the last step."""
+    assert similar.miss_chance(similar.runs_needed(), 0.8) <= 1 - similar.RECALL < similar.miss_chance(11, 0.8)
+    rng = np.random.default_rng(3)
+    n = 8000
+    left = rng.integers(0, 2**32, (n, similar.COORDINATES), dtype=np.uint32)
+    right = np.where(rng.random(left.shape) < 0.8, left, rng.integers(0, 2**32, left.shape, dtype=np.uint32))
+    rows = [(k.to_bytes(3, "big") + side, bytearray(x.tobytes())) for side, part in ((b"a", left), (b"b", right)) for k, x in enumerate(part)]
+    sets = shared_dir(spark, "sets")
+    spark.createDataFrame(rows, "node binary, sketch binary").write.parquet(sets)
+    met = similar.buckets(spark.read.parquet(sets), small=1)
+    pairs = met.groupBy("path", F.substring("node", 1, 3).alias("pair")).count().filter("count = 2").select("pair").distinct().count()
+    assert n - pairs <= n * (1 - similar.RECALL)
+
+
 def test_links_are_counted_whole(spark):
     """n_links is the number of different sets within reach, for every document of a dense class and of a chain."""
     rng = random.Random(12)

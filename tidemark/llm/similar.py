@@ -129,14 +129,26 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "h", "text").mapInArrow(run, _SETS)
 
 
+def miss_chance(runs: int, similarity: float, depth: int = DEEPEST, planned: float = SIMILARITY) -> float:
+    """Chance of a pair at ``similarity`` to share no bucket of ``depth`` steps in any of ``runs``, or to agree too little.
+
+    All runs draw from the same coordinates, so the chance is averaged over how many
+    of them the pair agrees in.  The steps are those of a join at ``planned``.
+    """
+    extra = 1 / planned - 1  # chance of a second coordinate: 1 / similarity on average
+    missed = 0.0
+    for agreed in range(COORDINATES + 1):
+        meet = 1.0 if agreed >= least_agreement(planned) else 0.0
+        for _ in range(depth):
+            one = agreed / COORDINATES * meet
+            meet = (1 - extra) * one + extra * (1 - (1 - one) ** 2)
+        missed += math.comb(COORDINATES, agreed) * similarity**agreed * (1 - similarity) ** (COORDINATES - agreed) * (1 - meet) ** runs
+    return missed
+
+
 def runs_needed(recall: float = RECALL, similarity: float = SIMILARITY, depth: int = DEEPEST) -> int:
     """Runs until a pair at ``similarity`` has met in a bucket of ``depth`` steps with chance ``recall``."""
-    extra = 1 / similarity - 1  # chance of a second coordinate: 1 / similarity on average
-    meet = 1.0
-    for _ in range(depth):
-        one = similarity * meet
-        meet = (1 - extra) * one + extra * (1 - (1 - one) ** 2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    return next(runs for runs in range(1, 1000) if miss_chance(runs, similarity, depth, similarity) <= 1 - recall)
 
 
 def _children(path: Column, sketch: Column, similarity: float) -> Column:
