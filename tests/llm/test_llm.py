@@ -594,6 +594,15 @@ def test_main_text(source, text):
     assert main_text.main_text(source) == text
 
 
+@pytest.mark.parametrize("source,text", [
+    (f"<body><p>we </3 you</p>{PARAGRAPHS}", f"we {TEXT}"), (f"<body><p>one</>two</p>{PARAGRAPHS}", f"onetwo {TEXT}"),
+    (f"<body><p>one</ p>two</p>{PARAGRAPHS}", f"onetwo {TEXT}"), (f"<body><p>see <имя> and <é</p>{PARAGRAPHS}", f"see <имя> and <é {TEXT}"),
+    (f"<body>{PARAGRAPHS}<p>cut </", f"{TEXT} cut"), (f"<body>{PARAGRAPHS}<p>cut </3 off", f"{TEXT} cut"),
+])
+def test_text_behind_odd_angles(source, text):
+    assert main_text.main_text(source) == text
+
+
 def test_pages_with_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<p>x"), (2, "u", "<p>x"), (3, "u", "<p>" + "long " * 200_000)],
                                   "page_id long, url string, html string").withColumn("text", F.lit("extra"))

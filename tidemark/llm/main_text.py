@@ -76,7 +76,11 @@ class Page:
             else:
                 found = _TAG.match(source, less) or _LOOSE_TAG.match(source, less)
                 if not found:
-                    if source[less + 1:less + 2].isalpha() or source.startswith("</", less):
+                    after = source[less + 1:less + 2]
+                    if after == "/" and source.find(">", less) >= 0:
+                        at = self._behind(source, less)  # no name: browsers take it for a comment
+                        continue
+                    if after == "/" or after.isascii() and after.isalpha():
                         return  # a tag cut off by the end of the page
                     self._text("<")
                     at = less + 1
