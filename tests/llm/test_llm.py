@@ -603,6 +603,28 @@ def test_text_behind_odd_angles(source, text):
     assert main_text.main_text(source) == text
 
 
+MORE = f"<p>{'A part of the article with its own title. ' * 4}</p>"
+MORE_TEXT = " ".join(["A part of the article with its own title."] * 4)
+
+
+@pytest.mark.parametrize("source,text", [
+    *((f"<body><article><h1>T</h1>{PARAGRAPHS}<h2 id='{slug}'>Title</h2>{MORE}</article>", f"T {TEXT} Title {MORE_TEXT}")
+      for slug in ("search-algorithms", "advertising", "social")),
+    *((f"<body><article><h1>T</h1>{PARAGRAPHS}<section id='{slug}'><h2>Title</h2>{MORE}</section></article>", f"T {TEXT} Title {MORE_TEXT}")
+      for slug in ("social-history", "related-work", "notification-system", "legal-background", "navigation")),
+    (f"<body><div><h1>T</h1>{PARAGRAPHS}<div id='social-history'>{MORE}</div></div>", f"T {TEXT} {MORE_TEXT}"),
+    (f"<article>{PARAGRAPHS}<p class='foot-note'>A note.</p></article>", f"{TEXT} A note."),
+    (f"<article>{PARAGRAPHS}<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", f"{TEXT} so x=1 holds"),
+    (f"<body><article>{PARAGRAPHS}</article><article>{MORE}</article></body>", f"{TEXT} {MORE_TEXT}"),
+    (f"<body><article>{PARAGRAPHS * 3}</article><div>{MORE}</div></body>", f"{TEXT} {TEXT} {TEXT} {MORE_TEXT}"),
+    *((f"<body><article>{PARAGRAPHS}<div class='{name}'><p>{'talk ' * 300}</p></div></article>", TEXT)
+      for name in ("site-footer", "sidebar", "comments_section", "ad-300x250", "nav__list", "related-posts", "post-tags", "widget-3")),
+    (f"<article>{PARAGRAPHS}<section id='comments'><p>{'talk ' * 300}</p></section></article>", TEXT),
+])
+def test_only_noise_is_dropped_by_name(source, text):
+    assert main_text.main_text(source) == text
+
+
 def test_pages_with_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<p>x"), (2, "u", "<p>x"), (3, "u", "<p>" + "long " * 200_000)],
                                   "page_id long, url string, html string").withColumn("text", F.lit("extra"))

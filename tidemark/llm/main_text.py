@@ -31,7 +31,8 @@ _CLOSES = {
 }
 _NOISE_TAGS = frozenset(
     "script style noscript template head title nav footer aside form button select option textarea iframe object embed "
-    "svg canvas menu dialog input label search noembed noframes audio video map math xmp".split())
+    "svg canvas menu dialog input label search noembed noframes audio video map xmp".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NOISE_ROLES = frozenset(
     "navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar tablist "
     "status marquee".split())
@@ -42,6 +43,20 @@ _NOISE_WORDS = frozenset(
     "disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe subscription "
     "signup login register search searchbox searchform widget widgets pagination pager paging copyright legal disclaimer "
     "skip toolbar tags tagcloud byline-share toc outbrain taboola hidden".split())
+# Words of the page's layout that may stand before and after them: "site-footer", "comment-list".
+_SCOPES = frozenset("site global main top bottom left right primary secondary mobile desktop sticky fixed floating".split())
+_LAYOUT = frozenset(
+    "list lists item items links link button buttons btn icon icons bar box panel wrapper wrap inner outer container holder "
+    "section row col column columns content primary secondary main top bottom left right mobile desktop sticky fixed floating "
+    "slot toggle dropdown".split())
+# Further names that say noise as a whole.
+_NOISE_NAMES = frozenset(
+    "related-posts related-articles related-stories related-news related-topics social-media-links "
+    "social-media-icons social-icons search-form comment-form comments-area comment-body comment-meta comment-author "
+    "newsletter-form signup-form login-form widget-area ad-unit ad-space ad-label ad-banner sign-up skip-to-content "
+    "back-to-top tag-cloud".split()
+) | frozenset(f"{a}-{b}" for a in ("post", "entry", "article") for b in (
+    "nav", "navigation", "footer", "comments", "share", "sharing", "tags", "related", "pagination"))
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -153,16 +168,21 @@ class Page:
 
 
 def _noise_name(value: str) -> bool:
+    """Whether one of the names says noise as a whole; a title's slug that only begins or ends like that does not."""
     for name in value.lower().split():
-        words = re.split(r"[-_]+", name)
-        if words[0] in ("has", "with", "no", "is", "js", "page", "body", "single", "template"):
+        words = [w for w in re.split(r"[-_]+", name) if w]
+        if not words or words[0] in ("has", "with", "no", "is", "js", "page", "body", "single", "template"):
             continue
-        if words[0] in _NOISE_WORDS or words[-1] in _NOISE_WORDS:
+        if name in _NOISE_WORDS or "-".join(words) in _NOISE_NAMES:
+            return True
+        start = next((k for k, w in enumerate(words) if w not in _SCOPES), len(words))
+        end = next((k for k in range(start, len(words)) if words[k] not in _NOISE_WORDS), len(words))
+        if end > start and all(w in _LAYOUT or w[0].isdigit() for w in words[end:]):
             return True
     return False
 
 
-def _noise(page: Page, node: int, holds_title: list[bool], in_article: list[bool]) -> bool:
+def _noise(page: Page, node: int, holds_title: list[bool], in_article: list[bool], titled: list[bool]) -> bool:
     tag, own = page.tag[node], page.attributes[node]
     if tag in _NOISE_TAGS:
         return True
@@ -176,7 +196,9 @@ def _noise(page: Page, node: int, holds_title: list[bool], in_article: list[bool
         return True
     if tag in ("html", "body", "main") or tag in ("h1", "article") and not _noise_name(own.get("class", "")):
         return False
-    return not holds_title[node] and (_noise_name(own.get("class", "")) or _noise_name(own.get("id", "")))
+    # Ids of headings, and of an article's sections with headings, are slugs of the titles.
+    slug = tag in _HEADINGS or tag == "section" and in_article[node] and titled[node]
+    return not holds_title[node] and (_noise_name(own.get("class", "")) or not slug and _noise_name(own.get("id", "")))
 
 
 def main_text(source: str | None) -> str:
@@ -193,17 +215,19 @@ def main_text(source: str | None) -> str:
         return ""
     page = Page(source)
     n = len(page.tag)
-    holds_title, in_article = [False] * n, [False] * n
+    holds_title, in_article, titled = [False] * n, [False] * n, [False] * n
     for k in range(n - 1, 0, -1):
         if page.tag[k] in ("h1", "main"):
             holds_title[k] = True
         if holds_title[k]:
             holds_title[page.parent[k]] = True
+        if titled[k] or page.tag[k] in _HEADINGS:
+            titled[page.parent[k]] = True
     dropped = [False] * n
     for k in range(1, n):
         up = page.parent[k]
         in_article[k] = in_article[up] or page.tag[up] in ("article", "main")
-        dropped[k] = dropped[up] or _noise(page, k, holds_title, in_article)
+        dropped[k] = dropped[up] or _noise(page, k, holds_title, in_article, titled)
     texts = [[x if isinstance(x, int) else html.unescape(x) for x in c] if not d else []
              for c, d in zip(page.content, dropped)]
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
@@ -258,16 +282,15 @@ def main_text(source: str | None) -> str:
                     or "articlebody" in page.attributes[k].get("itemprop", "").lower()), None)
     if article is not None:
         root = article
-    else:
-        # What is left after the noise is gone is nearly all text: half of the path's least is enough.
-        least = min(dense[k] for k in path) / 2
-        on_path = set(path)
-        for k in range(n):  # other dense nodes with several texts, outside the core
-            up = page.parent[k]
-            if inside[k] and k not in on_path and up in on_path and up != core and dense[k] >= least and sums[k] > 0 \
-                    and page.tag[k] in _BLOCK and link_chars[k] * 2 < chars[k]:
-                if path.index(up) > path.index(root):
-                    root = up
+    # What is left after the noise is gone is nearly all text: half of the path's least is enough.
+    least = min(dense[k] for k in path) / 2
+    on_path = set(path)
+    for k in range(n):  # other dense nodes with several texts, outside the core
+        up = page.parent[k]
+        if inside[k] and k not in on_path and up in on_path and up != core and dense[k] >= least and sums[k] > 0 \
+                and page.tag[k] in _BLOCK and link_chars[k] * 2 < chars[k]:
+            if path.index(up) > path.index(root):
+                root = up
     parts: list[str] = []
     todo: list = [root]
     while todo:
