@@ -81,6 +81,19 @@ def test_encoder_equals_library(name, spaced, odd_docs, sf_dir, spark):
     assert encoder.batch(texts) == whole  # from the cache
 
 
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_equals_fresh_library(name, spaced, odd_docs):
+    """Texts that hold added tokens get the ids of a tokenizer with nothing set."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    texts = [r.text for r in odd_docs.collect() if r.text]
+    texts += [x for t in library.get_added_tokens_decoder().values() for x in (t.content, f"a {t.content} b", f"a{t.content}b. {t.content.upper()}")]
+    expected = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tokens.Encoder(name, spaced).batch(texts) == expected
+
+
 def test_encoder_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_WORDS", 50)
     encoder = tokens.Encoder("byte_bpe_50k.json", True)

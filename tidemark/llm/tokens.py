@@ -3,7 +3,9 @@
 Both vocabularies used here split a text into words before merging, and a word's
 ids do not depend on its neighbours.  The library encodes each word once per
 worker; a text is the concatenation of its words' ids.  A text whose white
-space could be split otherwise is encoded whole by the library.
+space could be split otherwise, or that holds an added token such as
+"<|endoftext|>", is encoded whole by the library, as it is set by default: the
+added token gets its own id.
 """
 
 from __future__ import annotations
@@ -37,11 +39,11 @@ class Encoder:
 
             name = public_tokenizers.path(name)
         self._library = Tokenizer.from_file(name)
-        self._library.encode_special_tokens = True
         self._spaced = spaced
         self._cache: dict[str, bytes] = {"": b""}
         doubled = ["  ", " \n", "\n ", "\n\n", "\0"] if spaced else []
-        self._odd = doubled + _ASCII_ODD[0 if spaced else 4:] + _OTHER_SPACES
+        added = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        self._odd = doubled + _ASCII_ODD[0 if spaced else 4:] + _OTHER_SPACES + added
 
     def whole(self, text: str) -> bytes:
         """The ids as the library gives them for the whole text."""
