@@ -10,3 +10,4 @@ import tidemark.llm.suffixes  # noqa: F401
 import tidemark.llm.similar  # noqa: F401
 import tidemark.llm.main_text  # noqa: F401
 import tidemark.llm.revisits  # noqa: F401
+import tidemark.llm.recipes  # noqa: F401
