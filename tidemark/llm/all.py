@@ -12,3 +12,4 @@ import tidemark.llm.main_text  # noqa: F401
 import tidemark.llm.revisits  # noqa: F401
 import tidemark.llm.recipes  # noqa: F401
 import tidemark.llm.bitsliced  # noqa: F401
+import tidemark.llm.spelling  # noqa: F401
