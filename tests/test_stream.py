@@ -13,10 +13,10 @@ from tidemark import functions as fn, schemas as S
 from tidemark.operators import facts, firsts, joins, summaries, traffic
 from tidemark.operators.windows import tumble, window_bounds
 from tidemark.operators.routing import read_config_changes
-from tidemark.plans import dimensions, facts as stored_facts, jobs, streams, summaries as stored
+from tidemark.plans import facts as stored_facts, jobs, streams, summaries as stored
 from tidemark.session import shared_dir, use_rocksdb_state
 from tidemark.sinks import (
-    KeyedStore, append_batch, apply_table_ddl, debug_stream, topic_rows, write_json_topic,
+    KeyedTable, append_batch, apply_table_ddl, debug_stream, topic_rows, write_json_topic,
     write_summary, write_topic, write_topic_files,
 )
 from tidemark.sources import read_cdc_log, read_json_topic, read_order_detail, read_page_log, read_topic_files
@@ -158,16 +158,19 @@ def test_sku_orders(spark, sf_dir, pages):
     lines, flat = order_line_rows(pages), flat_sku(spark, sf_dir)
     newest = last_of(lines.select(F.to_timestamp("create_time").alias("rt")))
     batch = stored.sku_summary(lines, flat, ["rt"])
-    assert_same_but_open_windows(finish(streams.sku_summary(stream_of(lines, None), flat)), batch, newest, 5)
+    out = shared_dir(spark, "skus")
+    finish(streams.sku_summary(stream_of(lines, None)), jobs.sku_summary_writer(lambda: flat, append_batch(out)))
+    assert_same_but_open_windows(spark.read.parquet(out).drop("batch_id"), batch, newest, 5)
 
 
 def test_province_orders(spark, pages):
     lines = order_line_rows(pages)
     names = spark.createDataFrame([("1", "One"), ("2", "Two")], "id string, name string")
     newest = last_of(lines.select(F.to_timestamp("create_time").alias("rt")))
+    out = shared_dir(spark, "provinces")
+    finish(streams.province_summary(stream_of(lines, None)), jobs.province_summary_writer(lambda: names, append_batch(out)))
     assert_same_but_open_windows(
-        finish(streams.province_summary(stream_of(lines, None), names)), stored.province_summary(lines, names), newest, 5
-    )
+        spark.read.parquet(out).drop("batch_id"), stored.province_summary(lines, names), newest, 5)
 
 
 def test_keywords_from_raw_records(spark, sf_dir, newest):
@@ -291,51 +294,159 @@ def test_payment_interval_join(spark, sf_dir):
     assert rows_of(streamed, *batch.columns) == rows_of(batch, *batch.columns)
 
 
-def test_order_detail_stream(spark):
-    """Order, lines, activity and coupon arriving at different times."""
-    from tidemark.streaming.joins import cancel_detail_stream, order_detail_stream
-
-    def rows(columns, data):
-        filled = [
-            {**{c: None for c in columns}, **{k: v for k, v in d.items()}} for d in data
-        ]
-        ddl = ", ".join(f"{c} string" for c in columns) + ", rt timestamp"
-        return spark.createDataFrame([[d[c] for c in columns] + [d["rt"]] for d in filled], ddl)
-
-    end = at(9)
-    oi = rows(S.ORDER_INFO, [{"id": str(i), "user_id": "u", "rt": at(1, i)} for i in range(5)] + [{"id": "end", "order_detail_id": "zz", "rt": end}])
-    od = rows(S.ORDER_DETAIL, [
-        {"id": f"{i}-{j}", "order_id": str(i), "sku_id": "s", "rt": at(1, i, 0, 1)} for i in range(5) for j in range(2)
-    ] + [{"id": "late", "order_id": "0", "rt": at(4)}, {"id": "end", "order_id": "end", "rt": end}])
-    oa = rows(S.ORDER_DETAIL_ACTIVITY, [{"id": "a", "order_detail_id": "1-0", "activity_id": "7", "rt": at(1, 1, 0, 2)}, {"id": "end", "order_detail_id": "zz", "rt": end}])
-    oc = rows(S.ORDER_DETAIL_COUPON, [{"id": "c", "order_detail_id": "2-1", "coupon_id": "8", "rt": at(1, 2, 0, 2)}, {"id": "end", "order_detail_id": "zz", "rt": end}])
-    streamed = finish(order_detail_stream(stream_of(oi), stream_of(od), stream_of(oa), stream_of(oc)))
-    batch = facts.order_detail_wide(oi, od.drop("rt"), oa.drop("rt"), oc.drop("rt"))
-    # What lies more than the bound apart is not joined; the newest rows wait for the watermark.
-    batch = batch.filter("order_detail_id not in ('late', 'end')")
-    assert batch.count() == 10
-    assert rows_of(streamed, *batch.columns) == rows_of(batch, *batch.columns)
+def change(name, ts, kind="insert", old=None, **data):
+    return (json.dumps({"database": "shop", "table": name, "type": kind, "ts": ts, "data": data, "old": old}),)
+
 
-    cancelled = oi.filter("id = '2'").withColumnRenamed("rt", "pt")
-    joined = finish(cancel_detail_stream(stream_of(cancelled, None), streamed))
-    assert rows_of(joined, "order_id", "order_detail_id", "coupon_id") == [("2", "2-0", None), ("2", "2-1", "8")]
+def order_changes(order, ts, lines=2):
+    """An order made at ``ts`` (seconds), its lines, and an activity and a coupon on the first of them."""
+    made = dt.datetime.fromtimestamp(ts, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    rows = [change("order_info", ts, id=order, user_id="u", create_time=made, more="x")]
+    rows += [change("order_detail", ts + 1, id=f"{order}-{k}", order_id=order, sku_id=f"s{k}") for k in range(lines)]
+    return rows + [
+        change("order_detail_activity", ts + 2, id=f"a{order}", order_id=order, order_detail_id=f"{order}-0", activity_id="7"),
+        change("order_detail_coupon", ts + 2, id=f"c{order}", order_id=order, order_detail_id=f"{order}-0", coupon_id="8")]
 
 
-def test_order_facts_from_one_change_log(spark):
-    """The four tables picked out of one change-log stream."""
-    def record(name, ts, **data):
-        return (json.dumps({"database": "shop", "table": name, "type": "insert", "ts": ts, "data": data}),)
+HOUR = 3600
+DAY_ONE = 1_704_067_200  # 2024-01-01
 
-    raw = [record("order_info", 100, id="1", user_id="u"), record("order_detail", 101, id="9", order_id="1", sku_id="s"),
-           record("order_detail_coupon", 102, id="c", order_detail_id="9", coupon_id="5")]
-    raw += [record(t, 10**6, id="z", order_id="zz", order_detail_id="zzz") for t in
-            ("order_info", "order_detail", "order_detail_activity", "order_detail_coupon")]
-    path = shared_dir(spark, "cdc")
-    spark.createDataFrame(raw, "value string").coalesce(1).write.text(path)
-    streamed = finish(streams.order_facts(lambda: read_cdc_log(read_topic_files(spark, path)), "shop"))
-    assert rows_of(streamed, "order_id", "order_detail_id", "coupon_id", "activity_id") == [("1", "9", "5", None)]
-    stored_rows = stored_facts.order_facts(read_cdc_log(read_topic_files(spark, path, stream=False)), "shop")
-    assert rows_of(stored_rows, "order_id", "order_detail_id", "coupon_id") == [("1", "9", "5")]
+
+def run_batches(spark, batches, build):
+    """Deliver change-log texts batch by batch; ``build`` starts the stream's writer."""
+    path, checkpoint = shared_dir(spark, "cdc"), shared_dir(spark, "checkpoint")
+    for batch in batches:
+        spark.createDataFrame(batch, "value string").coalesce(1).write.mode("append").text(path)
+        stream, write = build(read_cdc_log(read_topic_files(spark, path)))
+        run_stream(stream, checkpoint, write, None).awaitTermination(180)
+    return read_cdc_log(read_topic_files(spark, path, stream=False))
+
+
+def test_late_parts_are_kept_and_paired(spark):
+    """A coupon 30 hours late, a line after its order has left, parts without an order, an order behind the watermark: nothing is lost."""
+    use_rocksdb_state(spark)
+    facts_of = jobs.OrderFacts(spark, shared_dir(spark, "facts"))
+    clock = [change("order_info", DAY_ONE + 90 * HOUR, id="clock")]
+    batches = [
+        order_changes("1", DAY_ONE) + order_changes("2", DAY_ONE + 60) + [
+            change("order_detail", DAY_ONE, id="9-0", order_id="9"), change("order_detail", DAY_ONE, id="null-0", order_id=None)],
+        [change("order_info", DAY_ONE + 28 * HOUR, id="clock")],
+        [change("order_detail_coupon", DAY_ONE + 30 * HOUR, id="c9", order_id="1", order_detail_id="1-1", coupon_id="late"),
+         change("order_detail", DAY_ONE + 30 * HOUR, id="2-9", order_id="2", sku_id="late"),
+         change("other", DAY_ONE + 30 * HOUR, id="x")],
+        clock + order_changes("3", DAY_ONE + HOUR),  # behind the watermark by days
+        [change("order_info", DAY_ONE + 200 * HOUR, id="clock")],
+        [change("order_info", DAY_ONE + 300 * HOUR, id="clock")],
+    ]
+    log = run_batches(spark, batches, lambda log: (streams.order_facts(log, "shop"), facts_of.write))
+    columns = [c for c in S.order_detail_columns("rt") if c != "rt"]
+
+    def now():
+        return sorted((tuple(r) for r in facts_of.read().select(*columns).collect()), key=str)
+
+    wanted = sorted((tuple(r) for r in stored_facts.order_facts(log, "shop").filter("order_id <> 'clock'").select(*columns).collect()), key=str)
+    lines = {r[columns.index("order_detail_id")] for r in wanted}
+    assert lines == {"1-0", "1-1", "2-0", "2-1", "2-9", "3-0", "3-1"}
+    late = facts_of.late()
+    assert rows_of(late.filter("row not like '%clock%'").selectExpr("kind", "get_json_object(row, '$.id') id"), "kind", "id") == [
+        ("order_detail", "2-9"), ("order_detail", "9-0"), ("order_detail", "null-0"), ("order_detail_coupon", "c9")]
+    assert {r[columns.index("order_detail_id")] for r in now()} == lines - {"2-9"}
+    facts_of.settle()
+    assert now() == wanted  # as if all had been there at once
+    facts_of.table.rewrite()
+    facts_of.settle()
+    assert now() == wanted
+    # The order of a part that was there alone comes last of all.
+    facts_of.write(spark.createDataFrame(
+        [("order_info", at(9), json.dumps({"id": "9", "create_time": "2024-01-09 00:00:00"}))], "kind string, rt timestamp, row string"), 99)
+    facts_of.settle()
+    assert {r[columns.index("order_detail_id")] for r in now()} == lines | {"9-0"}
+
+
+def test_cancelled_orders_on_a_stream(spark):
+    """Cancellations meet the stored facts of their days; one that comes before its lines waits for them."""
+    use_rocksdb_state(spark)
+    root = shared_dir(spark, "cancel")
+    facts_of, out = jobs.OrderFacts(spark, f"{root}/facts"), f"{root}/out"
+    days = [DAY_ONE + k * 24 * HOUR for k in range(4)]
+    orders = [r for k, day in enumerate(days) for r in order_changes(str(k), day)]
+    spark_rows = read_cdc_log(spark.createDataFrame(orders, "value string"))
+
+    def store(batch_id, *ids):
+        wide = stored_facts.order_facts(spark_rows, "shop").filter(F.col("order_id").isin(*ids))
+        facts_of._put(wide, F.lit(0).cast("long"), batch_id)
+        facts_of.table.rewrite()
+
+    def cancel(order, ts):
+        made = dt.datetime.fromtimestamp(days[int(order)], dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        return change("order_info", ts, "update", {"order_status": "1001"}, id=order, order_status="1003", create_time=made)
+
+    store(0, "0", "1", "3")
+    plans, path, checkpoint = [], shared_dir(spark, "cdc"), shared_dir(spark, "checkpoint")
+
+    def write(df, batch_id):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        append_batch(out)(df, batch_id)
+
+    for k, batch in enumerate(([cancel("1", days[3]), cancel("2", days[3])], [cancel("3", days[3])], [change("order_info", days[3], "update", id="0")])):
+        spark.createDataFrame(batch, "value string").coalesce(1).write.mode("append").text(path)
+        log = read_cdc_log(read_topic_files(spark, path))
+        run_stream(streams.cancelled_orders(log, "shop"), checkpoint, jobs.cancel_fact_writer(facts_of, f"{root}/cancel", write), None).awaitTermination(180)
+        if k == 0:
+            assert rows_of(spark.read.parquet(out), "order_detail_id") == [("1-0",), ("1-1",)]
+            store(1, "2")
+    every = read_cdc_log(read_topic_files(spark, path, stream=False))
+    columns = [c for c in S.order_detail_columns("pt") if c not in ("pt", "order_status")]
+    both = spark_rows.unionByName(every)
+    expected = stored_facts.cancel_facts(both, "shop")
+    got = spark.read.parquet(out)
+    names = ["order_id", "order_detail_id", "sku_id", "activity_id", "coupon_id", "order_status"]
+    assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, expected.select(*names).collect()))
+    assert got.count() == 6 and set(S.order_detail_columns("pt")) <= set(got.columns) and columns
+    assert "IN (p2024-01-02,p2024-01-03)" in plans[0] and "PartitionFilters" in plans[0]
+
+
+def test_names_change_between_batches(spark):
+    """A category, a trademark and a sku change; only the skus under them are worked out anew, and the next batch sees them."""
+    root = shared_dir(spark, "flat")
+    def frame(rows, columns):
+        return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+
+    tables = {
+        "sku": frame([(str(k), f"p{k % 2}", f"t{k % 3}", f"c{k % 4}") for k in range(12)], ["id", "spu_id", "tm_id", "category3_id"]),
+        "spu": frame([("p0", "spu 0"), ("p1", "spu 1")], ["id", "spu_name"]),
+        "trademark": frame([("t0", "mark 0"), ("t1", "mark 1")], ["id", "tm_name"]),  # t2 comes later
+        "category3": frame([(f"c{k}", f"three {k}", f"d{k % 2}") for k in range(4)], ["id", "name", "category2_id"]),
+        "category2": frame([("d0", "two 0", "e"), ("d1", "two 1", "e")], ["id", "name", "category1_id"]),
+        "category1": frame([("e", "one")], ["id", "name"]),
+    }
+    flat = jobs.FlatSkus(spark, root, lambda: tables)
+    flat.write(None, 0)
+
+    def same():
+        whole = joins.flatten_sku(**tables)
+        assert sorted(map(str, flat.read().select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+    same()
+    written = []
+    write = jobs.sku_summary_writer(flat.read, lambda df, _: written.append(rows_of(df, "sku_id", "category2_name")))
+    batch = spark.createDataFrame([("1", "2")], "sku_id string, x string")
+    for c in S.SKU_SUMMARY:
+        if c not in batch.columns and c not in joins.SKU_ATTRIBUTES:
+            batch = batch.withColumn(c, F.lit("0"))
+    write(batch, 0)
+    tables["category2"] = frame([("d0", "two 0", "e"), ("d1", "new name", "e")], ["id", "name", "category1_id"])
+    flat.write({"category2": frame([("d1",)], ["id"])}, 1)
+    same()
+    assert spark.read.parquet(f"{root}/changes").filter("_batch = 1").count() == 6  # c1 and c3 lie under d1
+    write(batch, 1)
+    assert written == [[("1", "two 1")], [("1", "new name")]]
+    tables["trademark"] = tables["trademark"].union(frame([("t2", "mark 2")], ["id", "tm_name"]))
+    tables["sku"] = tables["sku"].filter("id <> '4'").union(frame([("99", "p0", "t0", "c9")], ["id", "spu_id", "tm_id", "category3_id"]))
+    flat.write({"trademark": frame([("t2",)], ["id"]), "sku": frame([("4",), ("99",)], ["id"])}, 2)
+    same()
+    flat.table.rewrite()
+    same()
 
 
 # --- sinks --------------------------------------------------------------------
@@ -369,31 +480,36 @@ def test_write_summary(spark):
 
 
 @pytest.mark.parametrize("mode, after_second", [("row", ("k", None, "3")), ("cell", ("k", "1", "3"))])
-def test_keyed_store(spark, mode, after_second):
-    store = KeyedStore(spark, shared_dir(spark, "store"), "id", ["a", "b"], ["n"], mode=mode)
-    assert store.read() is None
+def test_keyed_table(spark, mode, after_second):
+    table = KeyedTable(spark, shared_dir(spark, "table"), "id", ["a", "b"], ["n"], mode=mode)
+    assert table.read() is None and table.rewrite() == []
     schema = "id string, a string, b string, n int, deleted boolean"
 
     def put(batch_id, *rows):
-        store.write(spark.createDataFrame(list(rows), schema), batch_id)
+        table.write(spark.createDataFrame(list(rows), schema), batch_id)
+
+    def now():
+        return sorted(map(tuple, table.read().collect()))
 
     put(0, ("k", "1", "2", 1, False), ("x", "0", "0", 1, False))
     put(1, ("k", None, "3", 2, False))
     put(1, ("k", None, "3", 2, False))  # the batch is run again
     expected = sorted([after_second, ("x", "0", "0")])
-    assert sorted(map(tuple, store.read().collect())) == expected
-    assert store.compact() == 1
-    assert sorted(map(tuple, store.read().collect())) == expected
+    assert now() == expected
+    assert 1 <= len(table.rewrite()) <= 2
+    assert now() == expected
     put(2, ("x", None, None, 3, True), ("y", "5", "5", 3, False))
     expected = sorted([after_second, ("y", "5", "5")])
-    assert sorted(map(tuple, store.read().collect())) == expected
-    assert store.compact() == 2 and store.compact() == 2
-    assert sorted(map(tuple, store.read().collect())) == expected
+    assert now() == expected
+    table.rewrite()
+    table.rewrite()
+    assert now() == expected
+    assert sorted(map(tuple, table.read(since="2999-01-01").collect())) == expected  # the table alone
 
 
 @pytest.mark.parametrize("mode", ["row", "cell"])
-def test_store_is_the_same_wherever_it_was_compacted(spark, mode):
-    """Late puts, late deletes and equal order values, compacted never, always and in between."""
+def test_table_is_the_same_whenever_it_is_rewritten(spark, mode):
+    """Late puts, late deletes and equal order values, in any order of batches, rewritten never, always and in between."""
     import random
 
     schema, rng = "id string, a string, b string, n int, deleted boolean", random.Random(mode)
@@ -405,26 +521,44 @@ def test_store_is_the_same_wherever_it_was_compacted(spark, mode):
         for _ in range(2)
     ]
 
-    def after(points):
-        store = KeyedStore(spark, shared_dir(spark, "store"), "id", ["a", "b"], ["n"], mode=mode, buckets=3)
-        for k, rows in enumerate(batches):
-            store.write(spark.createDataFrame(rows, schema), k)
+    def after(points, order=(0, 1, 2, 3)):
+        table = KeyedTable(spark, shared_dir(spark, "table"), "id", ["a", "b"], ["n"], mode=mode, parts=3)
+        for k in order:
+            table.write(spark.createDataFrame(batches[k], schema), k)
             if k in points:
-                assert store.compact() == k
-                store.write(spark.createDataFrame([("bad", "x", "x", 99, False)], schema), k)  # comes again after compaction
-        return sorted(map(tuple, store.read().collect()), key=str), store
+                table.rewrite()
+                table.write(spark.createDataFrame(batches[k], schema), k)  # comes again after it was folded
+        return sorted(map(tuple, table.read().collect()), key=str)
 
-    expected, _ = after(())
+    expected = after(())
     keys = {}
     for id_, a, b, n, gone in sorted((r for rows in batches for r in rows), key=lambda r: (r[3], not r[4], r[1] or "", r[2] or "")):
         had = keys.get(id_, (None, None))
         keys[id_] = None if gone else (a, b) if mode == "row" else tuple(
             new if new is not None else old for new, old in zip((a, b), had or (None, None)))
     assert expected == sorted(((k, *v) for k, v in keys.items() if v is not None), key=str)
-    for points in ((0,), (0, 1, 2, 3), (1, 3)):
-        got, store = after(points)
-        assert got == expected, points
-    assert len(store._folders("marks")) <= 2 and len(store._numbers("changes", "batch_id")) <= 2
+    for points, order in (((0,), (0, 1, 2, 3)), ((0, 1, 2, 3), (3, 1, 0, 2)), ((1, 3), (2, 3, 1, 0))):
+        assert after(points, order) == expected, (points, order)
+
+
+def test_table_partitioned_by_day(spark):
+    """Only the days of the changes are overwritten, and only the days asked for are read."""
+    path = shared_dir(spark, "days")
+    table = KeyedTable(spark, path, "line", ["v"], ["n"], partition="day")
+    schema = "line string, v string, n int, day date, deleted boolean"
+    days = [dt.date(2024, 1, d) for d in (1, 2, 3)]
+    table.write(spark.createDataFrame([(f"l{d.day}", "old", 1, d, False) for d in days] + [("l9", "x", 1, None, False)], schema), 0)
+    assert table.rewrite() == ["", "2024-01-01", "2024-01-02", "2024-01-03"]
+    files = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/table/*/*.parquet")}
+    table.write(spark.createDataFrame([("l2", "new", 2, days[1], False)], schema), 1)
+    table._changes = lambda since: spark.read.parquet(f"{path}/changes").filter("_batch = 1")
+    assert table.rewrite() == ["2024-01-02"]
+    kept = set(files) & set(glob.glob(f"{path}/table/*/*.parquet"))
+    assert len(kept) == len(files) - 1
+    pruned = table.read(since="2999-01-01", parts=["2024-01-02", "2024-01-03"])
+    assert rows_of(pruned, "line", "v") == [("l2", "new"), ("l3", "old")]
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_part#" in plan and "IN (p2024-01-02,p2024-01-03)" in plan, plan
 
 
 def test_keyless_rows_stay_on_streams(spark):
@@ -445,7 +579,7 @@ def test_dimension_upkeep_on_a_stream(spark):
     rules = spark.createDataFrame(
         [("user", "ALL", "dim_user", "dim", "info", "id,name,city", "id", None)], S.TABLE_PROCESS
     )
-    store = KeyedStore(spark, shared_dir(spark, "dim"), "rowkey", ["name", "city"], ["ts", "xid", "xoffset"], mode="cell")
+    dims = jobs.DimensionTables(spark, shared_dir(spark, "dim"), lambda: rules, "shop")
     path, checkpoint = shared_dir(spark, "cdc"), shared_dir(spark, "checkpoint")
 
     def record(kind, ts, **data):
@@ -457,9 +591,9 @@ def test_dimension_upkeep_on_a_stream(spark):
     ):
         spark.createDataFrame(batch, "value string").coalesce(1).write.mode("append").text(path)
         log = read_cdc_log(read_topic_files(spark, path))
-        write = dimensions.dimension_writer({"dim_user": store}, lambda: rules)
-        run_stream(log, checkpoint, write, None).awaitTermination(120)
-    assert sorted(map(tuple, store.read().collect())) == [("1", "n", "e")]
+        run_stream(log, checkpoint, dims.write, None).awaitTermination(120)
+        dims.table("dim_user").rewrite()
+    assert sorted(map(tuple, dims.table("dim_user").read().collect())) == [("1", "n", "e")]
 
 
 def test_rules_change_while_the_jobs_run(spark):
@@ -501,7 +635,7 @@ def test_rules_change_while_the_jobs_run(spark):
         ("pay", "insert", 4, {"id": "6"}), ("paid", "insert", 4, {"id": "7", "sum": "2"}))
     look(spark.createDataFrame([("1",)], "user_id string"), 1)
     assert lookups == [[("1", "n")], [("1", "new")]]
-    assert dims.table("dim_user").compact() == 2
+    assert dims.table("dim_user").rewrite()
     log(3, ("user", "delete", 5, {"id": "1"}), ("city", "update", 1, {"id": "8", "name": "late"}))
     assert rows_of(dims.table("dim_city").read(), "rowkey", "name") == [("8", "d")]
     assert dims.table("dim_user").read().count() == 0
@@ -519,11 +653,6 @@ def test_wide_facts_through_the_stored_log(spark):
     write(spark.createDataFrame([('{"database":"shop","table":"t","type":"insert","ts":1,"data":{"id":"1"}}',), ("{cut",), (None,)], "value string"), 0)
     assert rows_of(jobs.stored_change_log(spark, path), "table", "type") == [("t", "insert")]
     assert rows_of(jobs.bad_changes(spark, path), "value") == [("{cut",)]
-    store = jobs.fact_store(spark, f"{path}/fact", "line", ["v"], ["rt"])
-    put = jobs.fact_writer(store)
-    put(spark.createDataFrame([("a", "1", 1), ("b", "1", 1)], "line string, v string, rt int"), 0)
-    put(spark.createDataFrame([("a", "2", 2)], "line string, v string, rt int"), 1)
-    assert rows_of(store.read(), "line", "v") == [("a", "2"), ("b", "1")]
 
 
 def test_apply_table_ddl(spark):

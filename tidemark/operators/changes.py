@@ -28,9 +28,9 @@ def upsert_latest(
 
 
 def fold_cells(
-    changes: DataFrame, key: str, columns: Sequence[str], order: Sequence[str], deleted: Column,
+    changes: DataFrame, key: str, columns: Sequence[str], order: Sequence[str], deleted: Column, *more: Column,
 ) -> DataFrame:
-    """What has to be remembered of each key's changes: one row per key.
+    """What has to be remembered of each key's changes, and ``more`` aggregates: one row per key.
 
     ``_last_delete`` and ``_last_put`` are the newest order values of either kind,
     ``_new_<column>`` the newest value that is not null, with its order values.
@@ -49,7 +49,7 @@ def fold_cells(
         aggs.append(
             F.max(F.when(filled, F.struct(at.alias("at"), F.col(c).alias("value")))).alias(f"_new_{c}")
         )
-    return changes.groupBy(key).agg(*aggs)
+    return changes.groupBy(key).agg(*aggs, *more)
 
 
 def merge_cells(folded: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ decide from real sizes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -75,6 +76,25 @@ SKU_ATTRIBUTES = [
 ]
 
 
+# Column of the flat table that a row of a level is found by.
+SKU_LEVELS = {
+    "sku": "sku_id", "spu": "spu_id", "trademark": "trademark_id", "category3": "category3_id",
+    "category2": "category2_id", "category1": "category1_id",
+}
+
+
+def skus_under(flat_sku: DataFrame, changed: dict[str, DataFrame]) -> DataFrame:
+    """(sku_id) of the skus that a change can touch: ``changed`` gives the ``id`` of changed rows by level."""
+    found = []
+    for level, rows in changed.items():
+        ids = rows.select(F.col("id").alias("_id")).distinct()
+        if level == "sku":  # also those that are not there yet
+            found.append(ids.select(F.col("_id").alias("sku_id")))
+        else:
+            found.append(flat_sku.join(ids, flat_sku[SKU_LEVELS[level]] == ids["_id"], "left_semi").select("sku_id"))
+    return functools.reduce(DataFrame.union, found).distinct()
+
+
 def enrich_sku(df: DataFrame, flat_sku: DataFrame, key: str = "sku_id") -> DataFrame:
     """Add the whole sku hierarchy from a ``flatten_sku`` table."""
     return enrich(df, flat_sku, key, {c: c for c in SKU_ATTRIBUTES}, "sku_id")

@@ -9,10 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark import schemas as S
 from tidemark.functions.maps import put_keys
 from tidemark.functions.times import day_of
+from tidemark.session import written
 
 
 NO_KEY = "\0none-"  # keys that begin so stand for a missing one
 
+# Visitors to repair that are sent to every task, in bytes; beyond that their bits are: 256 bitmaps of 4 KB.
+SENT_BYTES = 8 << 20
+BITMAPS, BITMAP_BITS = 256, 32_768  # fixed value: bits of one bitmap of Spark's bitmap functions
+
 # What the repair has to know of a log record.
 HEAD = "common STRUCT<mid: STRING, is_new: STRING>, ts STRING, _corrupt_record STRING"
 
@@ -25,12 +30,13 @@ def spread_null_keys(key: Column, *values: Column | str) -> Column:
     return F.coalesce(key.cast("string"), F.concat(F.lit(NO_KEY), F.pmod(F.xxhash64(*values), F.lit(1024)).cast("string")))
 
 
-def first_seen(df: DataFrame, key: str, ts: str, flag: str) -> DataFrame:
-    """Per visitor the first time of a record that says new, and of one that does not."""
+def first_seen(df: DataFrame, key: str, ts: str, flag: str, *more: Column) -> DataFrame:
+    """Per visitor the first time of a record that says new, and of one that does not; and ``more`` aggregates."""
     says_new = F.col(flag) == "1"
     return df.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("_visitor")).agg(
         F.min(F.when(says_new, F.col(ts))).alias("_first_new"),
         F.min(F.when(~F.coalesce(says_new, F.lit(False)), F.col(ts))).alias("_first_old"),
+        *more,
     )
 
 
@@ -77,10 +83,68 @@ def log_heads(raw: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def repair_log(heads: DataFrame, tz: str | None = None) -> DataFrame:
-    """``repair_is_new`` on ``log_heads``; the texts ride along unparsed."""
+def visitors_to_repair(seen: DataFrame, tz: str | None = None) -> DataFrame:
+    """Of ``first_seen`` (with ``_last_new``) the visitors with a flag to clear: (_visitor, _kept_day).
+
+    Their records that say new are cleared but for those of ``_kept_day`` (none if null).  Everybody else's stay.
+    """
+    began_new = F.coalesce(F.col("_first_old").isNull() | (F.col("_first_new") <= F.col("_first_old")), F.lit(False))
+    later = day_of("_last_new", tz) != day_of("_first_new", tz)
+    return seen.filter(F.col("_first_new").isNotNull() & (~began_new | later)).select(
+        "_visitor", F.when(began_new, day_of("_first_new", tz)).alias("_kept_day"))
+
+
+def _visitor_bits(visitor: Column) -> tuple[Column, Column]:
+    """Where a visitor stands in the bitmaps: the number of one, and the place in it."""
+    h = F.xxhash64(visitor)
+    return F.pmod(h, F.lit(BITMAPS)).cast("int"), F.pmod(F.shiftright(h, 16), F.lit(BITMAP_BITS))
+
+
+def _in_two_paths(timed: DataFrame, repairs: DataFrame, day: Column) -> DataFrame:
+    """``repair_log`` for more visitors than can be sent to every task.
+
+    Bitmaps of the visitors' hashes, of a fixed size, go to every task.  A record that does not say
+    new, or whose visitor's bit is not set, passes where it lies; the others, a few more than
+    have to be changed, meet their visitor in a join.
+    """
+    number, place = _visitor_bits(F.col("_visitor"))
+    bitmaps = F.broadcast(repairs.groupBy(number.alias("_number")).agg(F.bitmap_construct_agg(place).alias("_bits")))
+    says_new = (F.col("is_new") == "1") & F.col("mid").isNotNull()
+    number, place = _visitor_bits(F.col("mid"))
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(_byte, cast(_place % 8 as int)) & 1") == 1, F.lit(False))
+    asked = timed.filter(says_new).select("*", number.alias("_number"), place.alias("_place")).join(
+        bitmaps, "_number", "left").withColumn("_byte", byte).withColumn("_hit", hit)
+    met = asked.filter("_hit").select(*timed.columns).join(repairs, F.col("mid") == F.col("_visitor"), "left")
+    return (
+        timed.filter(~F.coalesce(says_new, F.lit(False)))
+        .unionByName(asked.filter(~F.col("_hit")).select(*timed.columns))
+        .unionByName(met.withColumn("is_new", _cleared(day)).select(*timed.columns)))
+
+
+def _cleared(day: Column) -> Column:
+    """The flag of a record that says new, beside its visitor's row of ``visitors_to_repair`` (null: nothing to clear)."""
+    clear = F.col("_visitor").isNotNull() & (F.col("_kept_day").isNull() | (day != F.col("_kept_day")))
+    return F.when((F.col("is_new") == "1") & clear, F.lit("0")).otherwise(F.col("is_new"))
+
+
+def repair_log(heads: DataFrame, tz: str | None = None, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """``repair_is_new`` on ``log_heads``; the texts ride along unparsed and stay where they lie.
+
+    Only visitor, time and flag are shuffled, to find the visitors with a flag to clear.
+    That list is written to the shared folder and measured: up to ``sent_bytes`` it is sent to
+    every task, beyond that records take two paths (``_in_two_paths``).
+    """
     timed = heads.withColumn("_at", F.timestamp_millis("ts"))
-    return repair_is_new(timed, "mid", "_at", "is_new", tz, first_seen(timed, "mid", "_at", "is_new")).drop("_at")
+    says_new = F.col("is_new") == "1"
+    last = F.max(F.when(says_new, F.col("_at"))).alias("_last_new")
+    repairs = written(visitors_to_repair(first_seen(timed, "mid", "_at", "is_new", last), tz), "repairs")
+    size = repairs.agg(F.coalesce(F.sum(F.octet_length("_visitor") + 64), F.lit(0))).first()[0]
+    day = day_of("_at", tz)
+    if size > sent_bytes:
+        return _in_two_paths(timed, repairs, day).select(*heads.columns)
+    joined = timed.join(F.broadcast(repairs), F.col("mid") == F.col("_visitor"), "left")
+    return joined.withColumn("is_new", _cleared(day)).select(*heads.columns)
 
 
 def explode_events(log: DataFrame, array: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.changes import map_columns, scd1_merge
 from tidemark.operators.routing import dim_route
-from tidemark.sinks.store import KeyedStore
 
 
 def routed_changes(log: DataFrame, config: DataFrame, database: str | None = None) -> DataFrame:
@@ -31,23 +30,3 @@ def dimension_after(
     """One dimension table after its routed changes."""
     mine = map_columns(changes.filter(F.col("sink_table") == table), columns)
     return scd1_merge(mine, "rowkey", columns, order, F.col("deleted"), snapshot)
-
-
-def dimension_writer(stores: dict[str, KeyedStore], config, database: str | None = None):
-    """``foreachBatch`` writer for the change log: routes a batch and appends to each store.
-
-    ``config`` gives the routing table, or is a function that reads it, so that
-    every batch sees the rules of its time.  The batch is kept while the tables
-    take their part.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rules = config() if callable(config) else config
-        changes = routed_changes(batch, rules, database).persist()
-        try:
-            for table, store in stores.items():
-                mine = changes.filter(F.col("sink_table") == table)
-                store.write(map_columns(mine, store.columns), batch_id)
-        finally:
-            changes.unpersist()
-
-    return write

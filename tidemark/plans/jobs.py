@@ -1,6 +1,6 @@
 """Whole jobs driven by the routing table, and the stored change log they start from.
 
-The rules live in a keyed store that a stream of their changes keeps up to date; each
+The rules live in a keyed table that a stream of their changes keeps up to date; each
 micro-batch of the business log reads them anew, so a rule that is added, moved or
 deleted takes effect with the next batch.
 """
@@ -12,11 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark import schemas as S
+from tidemark.functions.times import date_part
 from tidemark.operators.cdc import cdc_log
+from tidemark.operators.joins import SKU_ATTRIBUTES, enrich, enrich_sku, flatten_sku, skus_under
 from tidemark.operators.routing import DIM_KEY, FACT_KEY, dim_route, dwd_route, route_by_topic
 from tidemark.plans.dimensions import ORDER
 from tidemark.sinks.ddl import table_columns
-from tidemark.sinks.store import KeyedStore
+from tidemark.sinks.tables import KeyedTable, overwrite_partitions, read_if_there
+from tidemark.streaming.joins import cancel_detail, late_parts, order_details, reassembled
 
 Write = Callable[[DataFrame, int], None]
 
@@ -24,11 +27,11 @@ Write = Callable[[DataFrame, int], None]
 # --- routing rules ---------------------------------------------------------------
 
 class RuleTable:
-    """The routing table as a keyed store of its changes (see ``read_config_changes``)."""
+    """The routing table, kept from its changes (see ``read_config_changes``)."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
-        self.store = KeyedStore(spark, path, "rule", S.TABLE_PROCESS_COLUMNS, ["ts_ms"], buckets=1)
+        self.table = KeyedTable(spark, path, "rule", S.TABLE_PROCESS_COLUMNS, ["ts_ms"], parts=1)
 
     @staticmethod
     def _rule(prefix: str = "") -> Column:
@@ -45,11 +48,11 @@ class RuleTable:
         left = moved.select(
             self._rule("old_").alias("rule"), *[F.lit(None).cast("string").alias(c) for c in columns], "ts_ms",
             F.lit(True).alias("deleted"))
-        self.store.write(events.unionByName(left), batch_id)
+        self.table.write(events.unionByName(left), batch_id)
 
     def read(self) -> DataFrame:
         """The rules of this moment."""
-        now = self.store.read()
+        now = self.table.read()
         return self.spark.createDataFrame([], S.TABLE_PROCESS) if now is None else now.select(*S.TABLE_PROCESS_COLUMNS)
 
 
@@ -73,57 +76,43 @@ class DimensionTables:
         kept = mine.filter(~F.col("type").isin(*S.NOT_ROUTED_TYPES)).persist()
         try:
             routed = dim_route(kept, rules).withColumn("rowkey", F.col("data")[F.col("row_key_column")])
-            routed.filter(F.col("rowkey").isNotNull()).select(
+            number = F.lit(batch_id).alias("_batch")
+            overwrite_partitions(routed.filter(F.col("rowkey").isNotNull()).select(
                 "sink_table", "rowkey", "data", (F.col("type") == "delete").alias("deleted"), *ORDER,
-            ).write.mode("overwrite").partitionBy("sink_table").parquet(f"{self.path}/changes/batch_id={batch_id}")
+                F.current_date().alias("_arrived"), number,
+            ), f"{self.path}/changes", "sink_table", "_arrived", "_batch")
             known = rules.filter(F.col("sink_type") == "dim").select(F.col("source_table").alias("table")).distinct()
-            lost = kept.join(known, "table", "left_anti").select("table", "type", "data", *ORDER, F.lit("no rule").alias("reason"))
-            keyless = routed.filter(F.col("rowkey").isNull()).select("table", "type", "data", *ORDER, F.lit("no key").alias("reason"))
-            lost.unionByName(keyless).write.mode("overwrite").parquet(f"{self.path}/rejected/batch_id={batch_id}")
+            lost = kept.join(known, "table", "left_anti").select("table", "type", "data", *ORDER, F.lit("no rule").alias("reason"), number)
+            keyless = routed.filter(F.col("rowkey").isNull()).select(
+                "table", "type", "data", *ORDER, F.lit("no key").alias("reason"), number)
+            overwrite_partitions(lost.unionByName(keyless), f"{self.path}/rejected", "_batch")
         finally:
             kept.unpersist()
 
-    def table(self, name: str) -> KeyedStore | None:
+    def table(self, name: str) -> KeyedTable | None:
         """One dimension table with the columns its rule names now; None without a rule."""
         rule = self.rules().filter((F.col("sink_type") == "dim") & (F.col("sink_table") == name)).first()
         if rule is None:
             return None
         columns = [c for c in table_columns(rule.sink_columns, rule.sink_row_key) if c != rule.sink_row_key]
-        return _RoutedStore(self.spark, f"{self.path}/tables/{name}", columns, f"{self.path}/changes", name)
 
+        def changes(since: str | None) -> DataFrame | None:
+            rows = read_if_there(self.spark, f"{self.path}/changes")
+            if rows is None:
+                return None
+            mine = rows.filter(F.col("sink_table") == name)
+            if since is not None:
+                mine = mine.filter(F.col("_arrived") >= F.lit(since).cast("date"))
+            return mine.select("rowkey", *[F.col("data")[c].alias(c) for c in columns], "deleted", *ORDER)
 
-class _RoutedStore(KeyedStore):
-    """A table's part of the changes that all tables share."""
+        return KeyedTable(self.spark, f"{self.path}/tables/{name}", "rowkey", columns, ORDER, mode="cell", changes=changes)
 
-    def __init__(self, spark: SparkSession, path: str, columns: list[str], shared: str, name: str) -> None:
-        super().__init__(spark, path, "rowkey", columns, list(ORDER), mode="cell")
-        self.shared, self.name = shared, name
 
-    def write(self, batch: DataFrame, batch_id: int) -> None:
-        raise TypeError("changes are written by DimensionTables")
-
-    def _batches(self) -> list[int]:
-        own, self.path = self.path, self.shared.rsplit("/", 1)[0]
-        try:
-            return [b for b in self._numbers("changes", "batch_id")
-                    if f"sink_table={self.name}" in self._folders(f"changes/batch_id={b}")]
-        finally:
-            self.path = own
-
-    def _changes(self, batches: list[int]) -> DataFrame:
-        rows = self.spark.read.parquet(*[f"{self.shared}/batch_id={b}/sink_table={self.name}" for b in batches])
-        return rows.select(
-            "rowkey", *[F.col("data")[c].alias(c) for c in self.columns], "deleted", *ORDER)
-
-    def _remove_changes(self, upto: int) -> None:
-        """They are other tables' changes, too."""
-
-
-def as_dimension(store: KeyedStore) -> DataFrame | None:
-    """A store's rows of this moment as ``(rowkey, info)`` for the lookup operators."""
-    now = store.read()
+def as_dimension(table: KeyedTable) -> DataFrame | None:
+    """A table's rows of this moment as ``(rowkey, info)`` for the lookup operators."""
+    now = table.read()
     return None if now is None else now.select(
-        F.col(store.key).cast("string").alias("rowkey"), F.struct(*store.columns).alias("info"))
+        F.col(table.key).cast("string").alias("rowkey"), F.struct(*table.columns).alias("info"))
 
 
 def with_fresh(
@@ -131,7 +120,7 @@ def with_fresh(
 ) -> Write:
     """``foreachBatch`` writer of ``build(batch, name=...)``, the named tables opened anew each batch.
 
-    ``with_fresh(lambda batch, users: enrich(batch, users, ...), sink, users=lambda: as_dimension(store))``
+    ``with_fresh(lambda batch, users: enrich(batch, users, ...), sink, users=lambda: as_dimension(table))``
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         write(build(batch, **{name: open_() for name, open_ in openers.items()}), batch_id)
@@ -179,16 +168,114 @@ def bad_changes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(f"{path}/bad").select("value")
 
 
-# --- wide facts into a store -----------------------------------------------------
+# --- wide facts --------------------------------------------------------------------
 
-def fact_store(spark: SparkSession, path: str, key: str, columns: list[str], order: list[str]) -> KeyedStore:
-    """The table behind a wide fact: a later assembly of the same line replaces the earlier."""
-    return KeyedStore(spark, path, key, columns, order)
+class OrderFacts:
+    """The wide order fact under ``path``, one row per order line, partitioned by the day the order was made.
 
+    ``write`` takes what ``streams.order_facts`` releases, ``settle`` pairs the parts that came late with the
+    stored rows.  A row that was settled later replaces the earlier one.
+    """
 
-def fact_writer(store: KeyedStore) -> Write:
-    """``foreachBatch`` writer of a wide fact into its store."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        store.write(batch.withColumn(store.deleted, F.lit(False)), batch_id)
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.table = KeyedTable(
+            spark, f"{self.path}/details", "order_detail_id", S.order_detail_columns("rt"), ["version"], partition="day")
 
-    return write
+    def _put(self, rows: DataFrame, version: Column, batch_id: int) -> None:
+        self.table.write(rows.select(
+            "*", date_part("create_time").alias("day"), version.alias("version"), F.lit(False).alias("deleted")), batch_id)
+
+    def write(self, released: DataFrame, batch_id: int) -> None:
+        """``foreachBatch`` writer of ``streams.order_facts``."""
+        kept = released.persist()
+        try:
+            self._put(order_details(kept), F.lit(0).cast("long"), batch_id)
+            late = late_parts(kept).select("*", F.current_date().alias("_arrived"), F.lit(batch_id).alias("_batch"))
+            overwrite_partitions(late, f"{self.path}/late", "_arrived", "_batch")
+        finally:
+            kept.unpersist()
+
+    def late(self, since: str | None = None) -> DataFrame | None:
+        """The parts that found no partner in time, those that arrived from the day ``since`` on."""
+        rows = read_if_there(self.spark, f"{self.path}/late")
+        return rows if rows is None or since is None else rows.filter(F.col("_arrived") >= F.lit(since).cast("date"))
+
+    def settle(self, since: str | None = None) -> None:
+        """Pair late parts with the stored rows; run it now and then.  Doing it again changes nothing."""
+        late = self.late(since)
+        if late is not None:
+            none = self.spark.createDataFrame([], S.order_detail_schema("rt"))
+            facts = self.table.read()
+            self._put(reassembled(late, none if facts is None else facts), F.unix_timestamp(), -1)
+
+    def read(self, days: list[str] | None = None) -> DataFrame | None:
+        """The wide rows, of orders made on ``days`` if given: other days' files are not read."""
+        return self.table.read(parts=days)
+
+
+def cancel_fact_writer(facts: OrderFacts, path: str, write: Write) -> Write:
+    """``foreachBatch`` writer of cancelled orders (``cdc.order_cancel``): their wide rows go to ``write``.
+
+    Of the facts only the days that the batch's orders were made on are read.  An order whose lines are not
+    there yet waits under ``path`` and is looked up again with the next batch.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        waiting = read_if_there(facts.spark, f"{path}/waiting")
+        orders = batch
+        if waiting is not None:
+            orders = orders.unionByName(waiting.filter(F.col("_batch") == batch_id - 1).select(*batch.columns))
+        orders = orders.persist()
+        try:
+            made = F.coalesce(date_part("create_time"), F.lit(""))
+            days = sorted(r[0] for r in orders.select(made).distinct().collect())  # as many as there are days
+            lines = facts.read(days) if days else None
+            lines = facts.spark.createDataFrame([], S.order_detail_schema("rt")) if lines is None else lines
+            write(cancel_detail(orders, lines), batch_id)
+            left = orders.join(lines, orders["id"] == lines["order_id"], "left_anti")
+            overwrite_partitions(left.withColumn("_batch", F.lit(batch_id)), f"{path}/waiting", "_batch")
+        finally:
+            orders.unpersist()
+
+    return run
+
+
+# --- summaries beside dimensions of the moment -----------------------------------------
+
+class FlatSkus:
+    """``flatten_sku`` kept as a table: a change on any level works out anew only the skus under it.
+
+    ``tables`` opens the six levels by name (sku, spu, trademark, category3, category2, category1).
+    """
+
+    def __init__(self, spark: SparkSession, path: str, tables: Callable[[], dict[str, DataFrame]]) -> None:
+        self.tables = tables
+        self.table = KeyedTable(spark, path, "sku_id", SKU_ATTRIBUTES, ["version"])
+
+    def write(self, changed: dict[str, DataFrame] | None, batch_id: int) -> None:
+        """After the levels have changed; ``changed`` has the ``id`` of what was put or deleted, by level (None: everything)."""
+        levels, flat = self.tables(), self.table.read()
+        if changed is None or flat is None:
+            rows = flatten_sku(**levels).withColumn("deleted", F.lit(False))
+        else:
+            ids = skus_under(flat, changed)
+            fresh = flatten_sku(**{**levels, "sku": levels["sku"].join(ids, levels["sku"]["id"] == ids["sku_id"], "left_semi")})
+            # What has no row any more is gone.
+            rows = ids.join(fresh.withColumn("deleted", F.lit(False)), "sku_id", "left").fillna({"deleted": True})
+        self.table.write(rows.select("sku_id", *SKU_ATTRIBUTES, "deleted", F.lit(batch_id).alias("version")), batch_id)
+
+    def read(self) -> DataFrame:
+        """The flat table of this moment."""
+        return self.table.read()
+
+
+def sku_summary_writer(skus: Callable[[], DataFrame], write: Write) -> Write:
+    """``foreachBatch`` writer of ``streams.sku_summary``: names are looked up in the table of the moment."""
+    return with_fresh(lambda batch, flat: enrich_sku(batch, flat).select(*S.SKU_SUMMARY), write, flat=skus)
+
+
+def province_summary_writer(provinces: Callable[[], DataFrame], write: Write) -> Write:
+    """``foreachBatch`` writer of ``streams.province_summary``, as above."""
+    return with_fresh(
+        lambda batch, names: enrich(batch, names, "province_id", {"province_name": "name"}, "id").select(*S.PROVINCE_SUMMARY),
+        write, names=provinces)

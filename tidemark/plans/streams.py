@@ -11,14 +11,12 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark import schemas as S
 from tidemark.functions.times import date_part, event_time
 from tidemark.operators import cdc, facts, keywords, summaries, traffic
 from tidemark.operators.firsts import dedup_within
-from tidemark.operators.joins import enrich, enrich_sku
 from tidemark.plans.summaries import search_texts
 from tidemark.streaming.events import with_event_time
-from tidemark.streaming.joins import order_detail_stream
+from tidemark.streaming.joins import order_parts, released_orders
 from tidemark.streaming.state import (
     day_firsts_stream, login_firsts_stream, order_firsts_stream, repair_log_stream,
 )
@@ -39,18 +37,17 @@ def page_views(raw: DataFrame, delay: str = DELAY) -> DataFrame:
     return with_event_time(traffic.page_log(raw)[0], "rt", delay)
 
 
-def order_facts(
-    log: Callable[[], DataFrame], database: str | None = None, bound: str = "24 hours",
-) -> DataFrame:
-    """Wide order details; ``log`` opens the change-log stream (it is read four times)."""
-    keep = ["rt"]
-    return order_detail_stream(
-        cdc.order_info(log(), database),
-        cdc.order_detail(log(), database, keep),
-        cdc.order_detail_activity(log(), database, keep),
-        cdc.order_detail_coupon(log(), database, keep),
-        bound,
-    )
+def order_facts(log: DataFrame, database: str | None = None, bound: str = "24 hours") -> DataFrame:
+    """Wide order details, and parts that found no partner within ``bound``; written by ``jobs.OrderFacts``.
+
+    The change log, with a watermark on ``rt``, is read once.
+    """
+    return released_orders(order_parts(log, database), bound)
+
+
+def cancelled_orders(log: DataFrame, database: str | None = None) -> DataFrame:
+    """Cancelled orders; ``jobs.cancel_fact_writer`` looks up their lines."""
+    return cdc.order_cancel(log, database)
 
 
 def pay_facts(
@@ -101,19 +98,17 @@ def unique_lines(lines: DataFrame, delay: str = "5 seconds") -> DataFrame:
     return dedup_within(with_event_time(lines, event_time("create_time"), delay), ["order_detail_id"])
 
 
-def sku_summary(lines: DataFrame, flat_sku: DataFrame, delay: str = "5 seconds") -> DataFrame:
-    summed = summaries.sku_order_window(unique_lines(lines, delay))
-    return enrich_sku(summed, flat_sku).select(*S.SKU_SUMMARY)
+def sku_summary(lines: DataFrame, delay: str = "5 seconds") -> DataFrame:
+    """Sums by sku; ``jobs.sku_summary_writer`` adds the names of the moment."""
+    return summaries.sku_order_window(unique_lines(lines, delay))
 
 
-def province_summary(lines: DataFrame, provinces: DataFrame, delay: str = "5 seconds") -> DataFrame:
+def province_summary(lines: DataFrame, delay: str = "5 seconds") -> DataFrame:
+    """Sums by province; ``jobs.province_summary_writer`` adds the names of the moment."""
     rows = summaries.province_amounts(unique_lines(lines, delay))
     # The first line of an order in a window of its province; remembered until the day is over.
     marks = rows.select(
         F.coalesce("province_id", F.lit("")).alias("_province"), "province_id", "order_id", F.col("_day").alias("_date"), "rt",
         F.unix_timestamp(F.window("rt", "3 hours").start).alias("_start"))
     firsts = day_firsts_stream(marks, ["_province", "order_id", "_start"]).withColumnRenamed("_date", "_day")
-    summed = summaries.province_totals(summaries.province_parts(rows, firsts))
-    return enrich(summed, provinces, "province_id", {"province_name": "name"}, "id").select(
-        *S.PROVINCE_SUMMARY
-    )
+    return summaries.province_totals(summaries.province_parts(rows, firsts))
