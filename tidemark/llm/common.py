@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -37,3 +39,23 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` without columns of these names, in any case: an operator's own columns take their place."""
     taken = {n.lower() for n in names}
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
+
+
+def release_memory(keep: str | None = None) -> None:
+    """Give back what earlier tasks of this Python worker left behind: caches of other modules than ``keep``, free memory.
+
+    Workers are used again by later stages; without this each would hold the most any stage needed.
+    """
+    for name in _CACHES.keys() - {keep}:
+        _CACHES[name].clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_CACHES: dict[str, dict] = {}
+
+
+def cache_of(name: str) -> dict:
+    """A dict that lives as long as tasks of the module ``name`` follow each other in a worker."""
+    return _CACHES.setdefault(name, {})

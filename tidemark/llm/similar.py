@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import stored, table, text_batches
+from tidemark.llm.common import release_memory, stored, table, text_batches
 from tidemark.llm.components import components
 from tidemark.llm.decontaminate import _TO_WORDS
 from tidemark.llm.registry import query
@@ -25,7 +25,9 @@ SMALL = 24
 DEEPEST = 6
 # Sets compared with each other in one group, of a bucket that cannot be split.
 BLOCK = 2048
-HASHED_BYTES = 1 << 20
+# Text bytes hashed at a time, and hashes mixed at a time; a longer text is hashed in blocks.
+HASHED_BYTES = 1 << 18
+MIXED = 1 << 16
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, _B, np.uint64))
@@ -38,6 +40,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of ``text``, words being apart by blanks, and where it ends; in blocks cut at blanks."""
+    hashes, ends, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(text):
+        cut = text.rfind(b" ", at, at + HASHED_BYTES) if at + HASHED_BYTES < len(text) else len(text) - 1
+        cut = text.find(b" ", at + HASHED_BYTES) if cut < at else cut  # one word fills the block
+        block = np.frombuffer(text, np.uint8, (cut if cut >= 0 else len(text) - 1) + 1 - at, at)
+        inside = block != 0x20
+        edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(first):
+            # Its bytes times powers by their place in the word.
+            place = np.arange(len(block)) - np.repeat(
+                np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(block)]])))
+            value = np.where(inside, (block.astype(np.uint64) + np.uint64(1)) * _POWERS[place % 4096], np.uint64(0))
+            hashes.append(_mix(np.add.reduceat(value, first) + (last - first).astype(np.uint64)))
+            ends.append(last + at)
+        at += len(block)
+    return np.concatenate(hashes), np.concatenate(ends)
+
+
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, ends): the distinct shingles of each text, sorted, one text after the other.
 
@@ -45,25 +68,19 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarr
     text of fewer words than ``size`` is one shingle, a text without words has none.
     """
     parts = [(t.encode("utf-8", "surrogatepass").translate(_TO_WORDS) if t else b"") + b" " for t in texts]
-    text = np.frombuffer(b"".join(parts), np.uint8)
     owner_end = np.cumsum([len(p) for p in parts])
-    inside = text != 0x20
-    edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    counts = np.diff(np.concatenate([[0], np.searchsorted(first, owner_end)]))
-    if not len(first):
+    words, last = _word_hashes(b"".join(parts))
+    counts = np.diff(np.concatenate([[0], np.searchsorted(last, owner_end)]))
+    if not len(words):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    # Hash of a word: its bytes times powers by their place in it.
-    place = np.arange(len(text)) - np.repeat(
-        np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(text)]])))
-    value = np.where(inside, (text.astype(np.uint64) + np.uint64(1)) * _POWERS[place % 4096], np.uint64(0))
-    words = _mix(np.add.reduceat(value, first) + (last - first).astype(np.uint64))
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     found, ends, total = [], [], 0
     whole = np.zeros(0, np.uint64)
     if len(words) >= size:
         n = len(words) - size + 1
-        whole = sum((words[k:k + n] * _POWERS[k + 8] for k in range(size)), np.zeros(n, np.uint64))
+        whole = np.zeros(n, np.uint64)
+        for k in range(size):
+            whole += words[k:k + n] * _POWERS[k + 8]
         whole = _mix(whole)
     for start, count in zip(starts.tolist(), counts.tolist()):
         if count >= size:
@@ -81,12 +98,17 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarr
 def min_hashes(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Least value of each set under ``COORDINATES`` hash functions, 32 bits each; sets without shingles give zeros."""
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    full = ends > starts
+    full = np.flatnonzero(ends > starts)
     out = np.zeros((len(ends), COORDINATES), np.uint32)
-    if full.any():
+    least = np.full((len(full), COORDINATES), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), MIXED):
+        block = hashes[at:at + MIXED]
+        # The sets that lie in this block of hashes, the first one perhaps from before.
+        here = np.arange(np.searchsorted(ends[full], at, "right"), np.searchsorted(starts[full], at + len(block)))
+        first = np.maximum(starts[full[here]] - at, 0)
         for k, m in enumerate(_MULTIPLIERS):
-            least = np.minimum.reduceat(_mix(hashes * m), starts[full])
-            out[full, k] = _mix(least) >> np.uint64(32)
+            least[here, k] = np.minimum(least[here, k], np.minimum.reduceat(_mix(block * m), first))
+    out[full] = _mix(least) >> np.uint64(32)
     return out
 
 
@@ -101,6 +123,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        release_memory()
+
         def emit(rows):
             hashes, ends = shingle_sets([r[2] for r in rows])
             values = min_hashes(hashes, ends)

@@ -275,7 +275,7 @@ def _summed(target: np.ndarray, words: list[bytes], near: np.ndarray, near_words
         pa.array([near_words[k].decode("latin-1") for k in near[at]], pa.string())], ["word", "n_near", "form_n", "form"])
 
 
-def near_words(words: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def near_words(words: DataFrame, block_words: int = BLOCK_WORDS, batch_words: int = BATCH) -> DataFrame:
     """(word, n_near, form_n, form): of each word of (word, n) with near words how many, and the most frequent of them."""
     rows, n_blocks = _routed(words, block_words)
 
@@ -313,7 +313,7 @@ def near_words(words: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                     block, index = b, None
                     words.clear()
                 (asked if asks else words)[word.encode("latin-1")] = n
-                if len(asked) >= BATCH:
+                if len(asked) >= batch_words:
                     yield from answer()
         if block is not None:
             yield from answer()
@@ -335,7 +335,9 @@ def _roots(forms: DataFrame) -> DataFrame:
     return ways.select("word", "root")
 
 
-def spelling_groups(docs: DataFrame, least_count: int = LEAST_COUNT, block_words: int = BLOCK_WORDS) -> DataFrame:
+def spelling_groups(
+    docs: DataFrame, least_count: int = LEAST_COUNT, block_words: int = BLOCK_WORDS, batch_words: int = BATCH
+) -> DataFrame:
     """(word, form, root, n, n_near, form_n): one row per word of ``docs`` (doc_id, text) with ``least_count`` occurrences.
 
     Near words differ by exactly one inserted, deleted or replaced character.  form: the
@@ -346,7 +348,7 @@ def spelling_groups(docs: DataFrame, least_count: int = LEAST_COUNT, block_words
     or a word has no bound.
     """
     words = stored(word_counts(docs).filter(F.col("n") >= least_count), "words")
-    near = near_words(words, block_words)
+    near = near_words(words, block_words, batch_words)
     has_form = F.col("form_n") >= FORM_FACTOR * F.col("n")
     rows = stored(words.join(near, "word", "left").select(
         "word", F.when(has_form, F.col("form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),

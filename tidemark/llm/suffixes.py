@@ -18,13 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import stored, table, text_batches, without
+from tidemark.llm.common import release_memory, stored, table, text_batches, without
 from tidemark.llm.registry import query
 
 LENGTH = 200
 ANCHOR = 48
-# Text bytes hashed, and sorted, at a time.
-HASHED_BYTES = 1 << 20
+# Text bytes hashed, and sorted, at a time; a longer text is hashed in blocks.
+HASHED_BYTES = 1 << 18
 SORTED_BYTES = 1 << 18
 # An anchor with more distinct pieces has its windows counted by fingerprint.
 HOT_PIECES = 2048
@@ -51,21 +51,18 @@ def _join(left: np.ndarray, right: np.ndarray, n: int, m: int) -> np.ndarray:
 
 
 def rolling_hashes(text: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-    """For each size the hash of every run of so many bytes, built from runs of powers of two."""
-    powers = {1: _BYTES[text]}
-    n = 1
-    while n * 2 <= max(sizes):
-        powers[n * 2] = _join(powers[n], powers[n], n, n)
+    """For each size the hash of every run of so many bytes, built from runs of powers of two, short ones first."""
+    power, n = _BYTES[text], 1
+    done, values = [0] * len(sizes), [None] * len(sizes)
+    while True:
+        for k, size in enumerate(sizes):
+            if size & n:
+                values[k] = power if values[k] is None else _join(values[k], power, done[k], n)
+                done[k] += n
+        if n * 2 > max(sizes):
+            return [_mix(v) for v in values]
+        power = _join(power, power, n, n)
         n *= 2
-    found = []
-    for size in sizes:
-        done, value = 0, None
-        for bit in sorted(powers, reverse=True):
-            if size & bit:
-                value = powers[bit] if value is None else _join(value, powers[bit], done, bit)
-                done += bit
-        found.append(_mix(value))
-    return found
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -235,9 +232,12 @@ def _same_row(a: str, b: str) -> Column:
 def find_pieces(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     """All pieces of (doc_id, h, text), narrow rows of hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+
         def emit(rows, texts):
             whose, start, n, times, key, piece = pieces_of(texts, length, anchor)
             ids, hashes = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())
+            start = start + np.array([r[2] for r in rows], np.int64)[whose]
             return pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(whose)), hashes.take(pa.array(whose)), pa.array(start, pa.int64()), pa.array(n, pa.int64()),
                  pa.array(times, pa.int64()), pa.array(key.view(np.int64)), pa.array(piece.view(np.int64))],
@@ -247,14 +247,14 @@ def find_pieces(docs: DataFrame, length: int, anchor: int) -> DataFrame:
         for batch in text_batches(batches):
             for doc_id, h, text in zip(*(c.to_pylist() for c in batch.columns)):
                 body = _raw(text)
-                if len(body) < length:
-                    continue
-                rows.append((doc_id, h))
-                texts.append(body)
-                held += len(body)
-                if held >= HASHED_BYTES:
-                    yield emit(rows, texts)
-                    rows, texts, held = [], [], 0
+                # Every window starts in one block; a piece ends with its block.
+                for at in range(0, len(body) - length + 1, HASHED_BYTES):
+                    rows.append((doc_id, h, at))
+                    texts.append(body[at:at + HASHED_BYTES + length - 1])
+                    held += len(texts[-1])
+                    if held >= HASHED_BYTES:
+                        yield emit(rows, texts)
+                        rows, texts, held = [], [], 0
         if rows:
             yield emit(rows, texts)
 
@@ -286,6 +286,8 @@ def _bodies(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def _sorted_hits(bodies: DataFrame, length: int) -> DataFrame:
     """Repeated windows of pieces met once, from sorting all pieces of their anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+
         def emit(group):
             out = []
             for row, flags in zip(group, repeated_starts([r[7] for r in group], length)):

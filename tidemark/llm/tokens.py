@@ -13,6 +13,8 @@ from __future__ import annotations
 from array import array
 from itertools import islice
 
+from tidemark.llm.common import cache_of, release_memory
+
 # Words a worker keeps, about 150 bytes each.
 CACHED_WORDS = 300_000
 # Texts whose words are looked up together.
@@ -91,14 +93,13 @@ class Encoder:
             cache[w] = cache[w[:-1]] + cache[w[-1]]
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(name: str, spaced: bool) -> Encoder:
-    """One encoder, and one cache, per Python worker."""
+    """One encoder, and one cache, per Python worker, until tasks of other modules need its memory."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (name, spaced) not in _ENCODERS:
-        _ENCODERS[name, spaced] = Encoder(name, spaced)
-    return _ENCODERS[name, spaced]
+    known = cache_of("tokens")
+    if (name, spaced) not in known:
+        release_memory("tokens")
+        known[name, spaced] = Encoder(name, spaced)
+    return known[name, spaced]
