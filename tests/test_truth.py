@@ -69,6 +69,27 @@ def test_repair_keeps_rows_without_visitor(spark):
     assert [r.is_new for r in traffic.repair_is_new(df, "mid", "rt", "is_new").collect()] == ["1", "1"]
 
 
+@pytest.mark.parametrize("sent_bytes", [1 << 20, -1])
+def test_log_repair_leaves_texts_where_they_lie(spark, sent_bytes):
+    """Equal to the repair by a join of all records, on both ways; only records of visitors to repair may meet in a shuffle."""
+    rng = random.Random(8)
+    texts = ["{cut", "[1]", None, '{"common":{"is_new":"1"},"ts":5}', '{"common":{"mid":"x","is_new":"1"}}']
+    for visitor in range(200):
+        for _ in range(rng.randint(1, 6)):
+            ms = 1_704_067_200_000 + rng.randint(0, 3) * 86_400_000 + rng.randint(0, 5) * 1000
+            flag = rng.choice(['"1"', '"1"', '"0"', "null"])
+            texts.append(f'{{"common":{{"mid":"m{visitor}","is_new":{flag}}},"ts":{ms},"n":{len(texts)}}}')
+    heads = traffic.log_heads(spark.createDataFrame([(t,) for t in texts], "value string"))
+    timed = heads.withColumn("_at", F.timestamp_millis("ts"))
+    expected = traffic.repair_is_new(timed, "mid", "_at", "is_new").drop("_at")
+    fixed = traffic.repair_log(heads, sent_bytes=sent_bytes)
+    columns = ["value", "mid", "is_new", "ts"]
+    assert fixed.columns == columns
+    assert sorted(map(str, fixed.select(columns).collect())) == sorted(map(str, expected.select(columns).collect()))
+    if sent_bytes > 0:  # no text is in an exchange
+        assert "Exchange hashpartitioning" not in fixed._jdf.queryExecution().executedPlan().toString()
+
+
 # --- change log ---------------------------------------------------------------
 
 def log_of(spark, table, records):
