@@ -206,13 +206,20 @@ def split_log_records(heads: DataFrame) -> DataFrame:
             F.lit("page_id"), F.try_variant_get(field("page"), "$.page_id", "variant")),
         lambda _, v: v.isNotNull())
     rows = once(rows, _taken=taken, _whole=whole, _context=F.when(F.size(taken) > 0, context))
-    rows = once(rows, _given=F.map_keys("_context"))
+    rows = once(rows, _given=F.map_keys("_context"), _shared=F.to_json("_context"))
 
     def event(kind: str):
         def build(element: Column) -> Column:
-            own = F.coalesce(F.try_variant_get(element, "$", open_map), F.create_map(F.lit("element"), element))
-            kept = F.map_filter(own, lambda k, _: ~F.array_contains("_given", k))
-            return record(kind, F.to_json(F.map_concat(kept, F.col("_context"))))
+            own = F.to_json(element)
+            # The record's fields as text go behind the element's, unless it has one of them itself or is no object.
+            clash = F.lit(False)
+            for name in ("common", "ts", "page_id"):
+                clash = clash | F.try_variant_get(element, f"$.{name}", "variant").isNotNull()
+            simple = F.startswith(own, F.lit('{"')) & (F.length("_shared") > 2) & ~clash
+            joined = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(","), F.substring("_shared", F.lit(2), F.length("_shared") - 1))
+            fields = F.coalesce(F.try_variant_get(element, "$", open_map), F.create_map(F.lit("element"), element))
+            kept = F.map_filter(fields, lambda k, _: ~F.array_contains("_given", k))
+            return record(kind, F.when(simple, joined).otherwise(F.to_json(F.map_concat(kept, F.col("_context")))))
         return build
 
     none = F.array().cast("array<struct<topic:string,value:string>>")

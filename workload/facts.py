@@ -94,16 +94,24 @@ _PAGE = """'{{"during_time":' || {quoted} || ',' || coalesce('"item":"' || item
     || coalesce('"last_page_id":"' || last_page_id || '",', '') || '"page_id":"' || page_id || '","refer":"r' || k || '"}}'"""
 
 
+# An error page still holds its arrays.
+_SHOWN = """'{"display_type":"query","item":"' || k || '","item_type":"sku_id","pos_id":1%d,"pos_seq":%d}'"""
+_ERROR_PAGE = f"""'{{' || case when {ACTIONS} then '"actions":[{{"action_id":"cart_add","item":"' || k || '","ts":0}}],' else '' end
+    || '"common":' || common || case when {DISPLAYS} then ',"displays":[' || {_SHOWN % (0, 0)} || ',' || {_SHOWN % (1, 1)} || ']' else '' end
+    || ',' || err || '"page":' || page || ',"ts":' || ms || '}}'"""
+
+
 @query("split_topics", f"""
     with r as (select *, {_COMMON.format()} as common, {_PAGE.format(quoted=f"case when {QUOTED} then '" + '"' + "' || during_time || '" + '"' + "' else cast(during_time as varchar) end")} as page,
                       case when {ERR} then '"err":{{"error_code":' || k || '}},' else '' end
                       || case when {EXTRA} is not null then '"extra":{{"n":' || k || '}},' else '' end as err
                from ({REPAIRED_SQL})),
-    p as (select *, '{{"common":' || common || ',' || err || '"page":' || page || ',"ts":' || ms || '}}' as body,
+    p as (select *, {_ERROR_PAGE} as whole,
+                 '{{"common":' || common || ',' || err || '"page":' || page || ',"ts":' || ms || '}}' as body,
                  '{{"common":' || common || ',' || err || '"start":{{"entry":"icon","loading_time":' || k || '}},"ts":' || ms || '}}' as begun,
                  '"display_type":"query","item":"' || k || '","item_type":"sku_id","page_id":"' || page_id || '","pos_id":' as shown
           from r)
-    select 'dwd_traffic_err' as topic, begun as value from p where ({ERR}) and {START}
+    select 'dwd_traffic_err' as topic, case when {START} then begun else whole end as value from p where {ERR}
     union all select 'dwd_traffic_start', begun from p where {START}
     union all select 'dwd_traffic_page', body from p where not ({START})
     union all select 'dwd_traffic_display', '{{"common":' || common || ',' || shown || (n + 10) || ',"pos_seq":' || n || ',"ts":' || ms || '}}'
@@ -112,8 +120,8 @@ _PAGE = """'{{"during_time":' || {quoted} || ',' || coalesce('"item":"' || item
               || '","ts":' || ms || '}}' from p where {ACTIONS}
     union all select 'dwd_traffic_bad', substr(concat('{{"common":{{"ar":"', ar, '","ch":"'), 1, 20) from ({VIEW_SQL}) where {BROKEN}""")
 def split_topics(spark, sf):
-    """All outputs in one pass, whole payloads with their keys in order (error pages with arrays left out)."""
-    rows = jobs.log_topics(log_texts(spark, sf)).filter("topic <> 'dwd_traffic_err' or value like '%\"start\"%'")
+    """All outputs in one pass, whole payloads with their keys in order."""
+    rows = jobs.log_topics(log_texts(spark, sf))
     # Variants hold their keys in order; texts that are no record stay as they are.
     return rows.select("topic", F.coalesce(F.to_json(F.try_parse_json("value")), "value").alias("value"))
 

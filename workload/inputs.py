@@ -37,7 +37,7 @@ VIEW_SQL = "select ts as rt, " + ", ".join(f"{e} as {n}" for n, e in VIEW.items(
 # Which log records are broken, empty, errors, starts; which carry arrays.
 BROKEN = "event_type = 'error' and k >= 50"
 EMPTY = "event_type = 'purchase' and k < 5"
-ERR = "event_type = 'error' or (event_type = 'signup' and k >= 90)"
+ERR = "event_type = 'error' or (event_type in ('signup', 'click') and k >= 90)"
 START = "event_type = 'signup'"
 DISPLAYS = "event_type in ('view', 'click') and k >= 10"
 ACTIONS = "event_type = 'click'"
@@ -73,7 +73,7 @@ def views(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw application log: JSON records, some cut off, some empty."""
+    """Raw application log: JSON records, some cut off, some empty, in as many partitions as there are cores, like a topic."""
     start, err = F.expr(START), F.expr(ERR)
     display = [
         F.struct(
@@ -103,7 +103,8 @@ def log_texts(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.expr(f"{EXTRA} is not null"), F.struct(F.col("k").alias("n"))).alias("extra"),
         F.unix_millis("rt").alias("ts"),
     )
-    rows = as_source(as_source(views(spark, sf)).select(
+    events = views(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+    rows = as_source(as_source(events).select(
         F.to_json(record).alias("text"), F.expr(BROKEN).alias("broken"), F.expr(EMPTY).alias("empty"),
     ))
     return as_source(rows.select(
