@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.times import day_of
+from tidemark.operators.traffic import spread_null_keys
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -63,29 +64,30 @@ def first_of_day(
 
 
 def flag_first_of_day(
-    df: DataFrame, key: str, ts: str, tie: Sequence[str] = (), flag: str = "uv",
-    tz: str | None = None,
+    df: DataFrame, key: str, ts: str, tie: Sequence[str], flag: str = "uv", tz: str | None = None,
 ) -> DataFrame:
     """Keep every row and add ``flag``: 1 on the first row of a key's day, else 0.
 
-    The first rows are found by aggregation and joined back, instead of ranking
-    each key's rows in one sorted group: AQE can split a join partition that one
-    key overfills, but not a window partition.  Rows without a key get 0.
+    ``tie`` are columns that tell rows at the same instant apart; rows that are equal in
+    them as well are flagged alike.  The first rows are found by aggregation and joined
+    back, instead of ranking each key's rows in one sorted group: AQE can split a join
+    partition that one key overfills, but not a window partition.  Rows without a
+    key get 0, and are spread so that they do not meet.
     """
     day = day_of(ts, tz)
     firsts = df.filter(F.col(key).isNotNull()).groupBy(
-        F.col(key).alias("_key"), day.alias("_day")
+        F.col(key).cast("string").alias("_key"), day.alias("_day")
     ).agg(F.min(F.struct(ts, *tie)).alias("_first"))
-    rows = df.withColumn("_day_of_row", day)
+    rows = df.withColumn("_day_of_row", day).withColumn("_join", spread_null_keys(F.col(key), ts, *tie))
     joined = rows.join(
         firsts,
-        (rows[key] == firsts["_key"]) & (rows["_day_of_row"] == firsts["_day"]),
+        (rows["_join"] == firsts["_key"]) & (rows["_day_of_row"] == firsts["_day"]),
         "left",
     )
     is_first = F.struct(ts, *tie) == F.col("_first")
     return joined.withColumn(
         flag, F.when(is_first, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    ).drop("_key", "_day", "_first", "_day_of_row")
+    ).drop("_key", "_day", "_first", "_day_of_row", "_join")
 
 
 def login_first_of_day(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn, schemas as S
-from tidemark.operators import cdc, traffic
+from tidemark.operators import cdc, joins, traffic
 from tidemark.sources import read_cdc_log, read_json_topic, read_page_log
 from workload.inputs import (
     BROKEN, CDC_SQL, CONFIG_SQL, EMPTY, NOBODY, SOUND, VIEW_SQL, cdc_texts, config, log_texts, table, views,
@@ -83,9 +83,12 @@ def parse_bad_records(spark, sf):
 
 
 @query("drop_tombstones", f"""
-    select count(*) as records from ({VIEW_SQL}) where not ({EMPTY})""")
+    select case when {BROKEN} then substr(concat('{{"common":{{"ar":"', ar, '","ch":"'), 1, 20) else cast(event_id as varchar) end as record
+    from ({VIEW_SQL}) where not ({EMPTY})""")
 def drop_tombstones(spark, sf):
-    return cdc.drop_tombstones(log_texts(spark, sf)).agg(F.count("*").alias("records"))
+    """Row by row: the id in a record, or the text that is none."""
+    rows = cdc.drop_tombstones(log_texts(spark, sf))
+    return rows.select(F.coalesce(F.get_json_object("value", "$.common.sid"), "value").alias("record"))
 
 
 ORDER_COLUMNS = ["id", "user_id", "total_amount", "order_status", "create_time"]
@@ -250,12 +253,13 @@ def fn_map_access(spark, sf):
     )
 
 
-@query("fn_if", "select o_orderkey, case when o_orderstatus = 'O' then 'open' else o_orderpriority end as state from orders")
+@query("fn_if", """
+    select o_orderkey, cast(case when o_orderstatus = 'O' then 1 else 0 end as bigint) as sv, cast(1 as bigint) as pv from orders""")
 def fn_if(spark, sf):
-    return table(spark, sf, "orders").select(
-        "o_orderkey",
-        F.when(F.col("o_orderstatus") == "O", F.lit("open")).otherwise(F.col("o_orderpriority")).alias("state"),
-    )
+    """A view without a page before it starts a session."""
+    views_ = table(spark, sf, "orders").select(
+        "o_orderkey", F.expr("case when o_orderstatus <> 'O' then o_orderpriority end").alias("last_page_id"))
+    return traffic.traffic_measures(views_).select("o_orderkey", "sv", "pv")
 
 
 @query("fn_cast_delta", """
@@ -272,9 +276,8 @@ def fn_cast_delta(spark, sf):
 
 @query("fn_date_format", "select event_id, strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m-%d %H:%M:%S') as at from events")
 def fn_date_format(spark, sf):
-    return table(spark, sf, "events").select(
-        "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), _text_time("ts").alias("at")
-    )
+    ms = table(spark, sf, "events").select("event_id", fn.epoch_ms("ts").alias("ms"))
+    return ms.select("event_id", fn.to_date_text("ms").alias("day"), fn.to_datetime_text("ms").alias("at"))
 
 
 @query("fn_epoch_to_ts", """
@@ -294,10 +297,12 @@ def fn_epoch_to_ts(spark, sf):
            strftime(ts + interval 60 second, '%Y-%m-%d %H:%M:%S') as upper_at
     from events""")
 def fn_interval(spark, sf):
+    """The bounds of the interval join, as it reads them."""
+    def moved(span):
+        return _text_time(F.col("ts") + F.make_dt_interval(secs=F.lit(joins.seconds(span))))
+
     return table(spark, sf, "events").select(
-        "event_id", _text_time(F.col("ts") - F.expr("interval 15 minutes")).alias("lower_at"),
-        _text_time(F.col("ts") + F.expr("interval 60 seconds")).alias("upper_at"),
-    )
+        "event_id", moved("-15 minutes").alias("lower_at"), moved("60 seconds").alias("upper_at"))
 
 
 @query("fn_to_date", """

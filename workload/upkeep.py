@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
+from tidemark.functions.maps import put_keys
 from tidemark.operators import changes, routing
 from tidemark.plans import dimensions, facts as jobs
 from workload.inputs import CONFIG_SQL, ROUTED_SQL, config, routed_log, table
@@ -123,7 +124,7 @@ def upsert_latest(spark, sf):
 
 # Orders as changes to a customer table: some fields null, some orders are deletes.
 DIM_CHANGE = {
-    "rowkey": "o_custkey",
+    "rowkey": "case when o_orderpriority = '3-MEDIUM' then -o_custkey else o_custkey end",  # some are not in the table yet
     "status": "case when o_orderpriority <> '1-URGENT' then o_orderstatus end",
     "priority": "case when o_totalprice > 250000 then o_orderpriority end",
     "gone": "o_orderstatus = 'F' and o_orderpriority = '5-LOW'",
@@ -148,14 +149,14 @@ def dim_changes(spark, sf):
 
 @query("scd1_null_preserving_merge", f"""
     {FOLDED_SQL},
-    s as (select c_custkey as rowkey, 'N' as status, c_mktsegment as priority from customer where c_acctbal > 0)
+    s as (select c_custkey as rowkey, 'N' as status, c_mktsegment as priority from customer)
     select coalesce(s.rowkey, f.rowkey) as rowkey,
            coalesce(f.status, case when d.rowkey is null then s.status end) as status,
            coalesce(f.priority, case when d.rowkey is null then s.priority end) as priority
     from s full join f on f.rowkey = s.rowkey left join d on d.rowkey = coalesce(s.rowkey, f.rowkey)
     where f.rowkey is not null or d.rowkey is null""")
 def scd1_null_preserving_merge(spark, sf):
-    snapshot = table(spark, sf, "customer").filter("c_acctbal > 0").select(
+    snapshot = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("rowkey"), F.lit("N").alias("status"), F.col("c_mktsegment").alias("priority")
     )
     return changes.scd1_merge(
@@ -171,13 +172,32 @@ def scd1_delete(spark, sf):
     )
 
 
+# Each routed record as a put, a second put that may leave a value out, and for some keys a delete before or after them.
+PUTS_SQL = f"""
+    with r as (select o_orderkey as k, total_amount as v from ({ROUTED_SQL}) where "table" = 'nation_0' and type <> 'bootstrap-start'),
+    c as (select k, k % 5 as ts, 1 as xid, 1 as xoffset, v, false as gone from r
+          union all select k, k % 5, k % 3, 2, case when k % 2 = 1 then '9' || v end, false from r
+          union all select k, k % 5 + case when k % 4 = 0 then 1 else -1 end, 0, 0, null, true from r where k % 3 = 0),
+    d as (select k, max((ts, xid, xoffset)) as wiped from c where gone group by k)"""
+
+
 @query("dimension_upkeep", f"""
-    select cast(o_orderkey as varchar) as rowkey, total_amount
-    from ({ROUTED_SQL}) where "table" = 'nation_0' and type <> 'bootstrap-start'""")
+    {PUTS_SQL}
+    select cast(k as varchar) as rowkey, arg_max(v, (ts, xid, xoffset)) filter (where v is not null) as total_amount
+    from c left join d using (k) where not gone and (wiped is null or (ts, xid, xoffset) > wiped) group by k""")
 def dimension_upkeep(spark, sf):
-    """From the change log through the routing table to one dimension table."""
-    log = routed_log(spark, sf).withColumns({
-        "ts": F.lit(1).cast("bigint"), "xid": F.lit(1).cast("bigint"), "xoffset": F.lit(1).cast("bigint"),
-    })
-    routed = dimensions.routed_changes(log, config(spark, sf), "shop")
+    """From the change log through the routing table to one dimension table; order values and deletes decide."""
+    log = routed_log(spark, sf).withColumn("k", F.col("data")["id"].cast("bigint"))
+    sound = log.filter(~F.col("type").isin(*S.NOT_ROUTED_TYPES))
+
+    def at(rows, **values):
+        return rows.withColumns({n: F.expr(e).cast("bigint") for n, e in values.items()}).drop("k")
+
+    second = put_keys("data", total_amount=F.when(F.col("k") % 2 == 1, F.concat(F.lit("9"), F.col("data")["total_amount"])))
+    changed = (
+        at(log, ts="k % 5", xid="1", xoffset="1")
+        .unionByName(at(sound.withColumn("data", second), ts="k % 5", xid="k % 3", xoffset="2"))
+        .unionByName(at(sound.filter("k % 3 = 0").withColumn("type", F.lit("delete")),
+                        ts="k % 5 + case when k % 4 = 0 then 1 else -1 end", xid="0", xoffset="0")))
+    routed = dimensions.routed_changes(changed, config(spark, sf), "shop")
     return dimensions.dimension_after(routed, "dim_nation_0", ["total_amount"])

@@ -71,11 +71,13 @@ def repair_is_new(spark, sf):
 
 
 @query("daily_first_flag", f"""
-    select event_id, cast(case when row_number() over (partition by mid, cast(rt as date)
-           order by rt, event_id) = 1 then 1 else 0 end as bigint) as uv
+    select event_id, cast(case when not ({NOBODY}) and row_number() over (partition by mid, {NOBODY}, cast(rt as date)
+           order by date_trunc('hour', rt), event_id) = 1 then 1 else 0 end as bigint) as uv
     from ({VIEW_SQL})""")
 def daily_first_flag(spark, sf):
-    return firsts.flag_first_of_day(views(spark, sf), "mid", "rt", ["event_id"]).select("event_id", "uv")
+    """Times cut to the hour, so that many are equal."""
+    rows = some_nobody(views(spark, sf)).withColumn("rt", F.date_trunc("hour", "rt"))
+    return firsts.flag_first_of_day(rows, "mid", "rt", ["event_id"]).select("event_id", "uv")
 
 
 def some_nobody(df):
@@ -220,7 +222,7 @@ def cart_uu_window(spark, sf):
 @query("trade_order_window", f"""
     with o as (select o_custkey, cast(o_orderdate as date) as d,
                       min(case when o_orderstatus = 'F' then o_orderdate + interval 36 hour else o_orderdate end) as rt
-               from orders where o_custkey % 7 <> 0 group by o_custkey, cast(o_orderdate as date)),
+               from orders group by o_custkey, cast(o_orderdate as date)),
     f as (select *, {BUCKET.format("'2 seconds'", 'rt')} as w,
                  case when row_number() over (partition by o_custkey order by rt, d) = 1 then 1 else 0 end as is_new
           from o)
@@ -230,10 +232,11 @@ def cart_uu_window(spark, sf):
 def trade_order_window(spark, sf):
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     lines = table(spark, sf, "orders").select(
-        F.expr("case when o_custkey % 7 <> 0 then o_custkey end").alias("user_id"), text("o_orderdate").alias("create_time"),
+        F.col("o_custkey").alias("user_id"), text("o_orderdate").alias("create_time"),
         F.when(F.col("o_orderstatus") == "F", text(F.col("o_orderdate") + F.expr("interval 36 hours"))).alias("operate_time"),
     )
-    return jobs.order_user_summary(lines)
+    nobody = lines.withColumn("user_id", F.lit(None).cast("bigint"))  # lines of no user count for nobody
+    return jobs.order_user_summary(lines.unionByName(nobody))
 
 
 SKU_DIM_SQL = """
