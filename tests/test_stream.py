@@ -13,7 +13,7 @@ from tidemark import functions as fn, schemas as S
 from tidemark.operators import facts, firsts, joins, summaries, traffic
 from tidemark.operators.windows import tumble, window_bounds
 from tidemark.operators.routing import read_config_changes
-from tidemark.plans import facts as stored_facts, jobs, streams, summaries as stored
+from tidemark.plans import facts as stored_facts, firsts as kept, jobs, streams, summaries as stored
 from tidemark.session import shared_dir, use_rocksdb_state
 from tidemark.sinks import (
     KeyedTable, append_batch, apply_table_ddl, debug_stream, topic_rows, write_json_topic,
@@ -223,6 +223,59 @@ def test_split_to_topic_files(spark, sf_dir):
     assert set(os.path.basename(p) for p in glob.glob(f"{out}/topic=*")) == {f"topic={t}" for t in S.LOG_TOPICS.values()}
 
 
+def test_log_split_batch_by_batch(spark):
+    """With two times per visitor kept, batches in order give what one run over everything gives; a batch may come again."""
+    import random
+
+    rng, texts = random.Random(9), []
+    for k in range(600):
+        mid = "hot" if k % 2 else f"m{rng.randint(0, 60)}"
+        day = k // 150
+        shown = ',"displays":[{"item":"1"}]' if k % 5 == 0 else ""
+        texts.append((k, f'{{"common":{{"mid":"{mid}","is_new":"{rng.choice("011")}"}},"page":{{"page_id":"p"}}{shown},"ts":{1_704_067_200_000 + day * 86_400_000 + k}}}'))
+    texts += [(k, bad) for k, bad in ((10, "{cut"), (200, '{"common":{"is_new":"1"},"ts":7}'))]
+    expected = stored_facts.log_topics(spark.createDataFrame([(t,) for _, t in texts], "value string"))
+    log, out = kept.VisitorLog(spark, shared_dir(spark, "visitors")), shared_dir(spark, "out")
+    write = kept.batch_writer(log, append_batch(out))
+    def batch(n):
+        rows = [(t,) for k, t in texts if k // 120 == n]
+        return spark.createDataFrame(rows, "value string").repartition(4)
+
+    for n in (0, 1, 1, 2, 3):
+        write(batch(n), n)
+    log.table.rewrite()
+    log.table.write(spark.createDataFrame([], "_visitor string, _first_new timestamp, _first_old timestamp"), 98)
+    write(batch(4), 4)
+    def canon(df):
+        return sorted((r.topic, r.value if r.topic == "dwd_traffic_bad" else json.dumps(json.loads(r.value), sort_keys=True)) for r in df.collect())
+
+    assert canon(spark.read.parquet(out).select("topic", "value")) == canon(expected)
+    # Half of a batch is one visitor's: its records stay in the four tasks they came in.
+    rows = log.run(batch(2), 2).groupBy(F.spark_partition_id()).count().collect()
+    counts = sorted(r["count"] for r in rows)
+    assert len(counts) == 4 and counts[-1] < 2 * counts[1], counts
+
+
+def test_day_flags_batch_by_batch(spark):
+    """Days in any order, nulls, ties and a batch that comes again: one first per key and day."""
+    path = shared_dir(spark, "flags")
+    flags = kept.DayFlags(spark, path, "mid", "rt", ["n"])
+    schema = "mid string, rt timestamp, n int"
+    batches = [
+        [("a", at(1, 5), 1), ("a", at(1, 5), 2), ("a", at(2), 3), (None, at(1), 4)],
+        [("a", at(1, 1), 5), ("b", at(1), 6), ("a", at(3), 7), (None, at(3), 8)],
+        [("b", at(1, 2), 9), ("b", at(2), 10), ("a", at(2, 1), 11), ("c", None, 12)],
+    ]
+    got = []
+    for k in (0, 1, 1, 2):
+        got.append(rows_of(flags.run(spark.createDataFrame(batches[k], schema), k), "n", "uv"))
+        if k == 1:
+            flags.table.rewrite(before=1)
+    assert got[1] == got[2] and got[0] + got[1] + got[3] == [
+        (1, 1), (2, 0), (3, 1), (4, 0), (5, 0), (6, 1), (7, 1), (8, 0), (9, 0), (10, 1), (11, 0), (12, 0)]
+    assert {os.path.basename(p) for p in glob.glob(f"{path}/table/*=*")} == {"_part=p2024-01-01", "_part=p2024-01-02"}
+
+
 def test_ttl_state(pages, page_stream):
     """State with a wall-clock lifetime: the query goes on by itself, so it is stopped."""
     spark = pages.sparkSession
@@ -551,7 +604,7 @@ def test_table_partitioned_by_day(spark):
     assert table.rewrite() == ["", "2024-01-01", "2024-01-02", "2024-01-03"]
     files = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/table/*/*.parquet")}
     table.write(spark.createDataFrame([("l2", "new", 2, days[1], False)], schema), 1)
-    table._changes = lambda since: spark.read.parquet(f"{path}/changes").filter("_batch = 1")
+    table._shared = lambda since: spark.read.parquet(f"{path}/changes").filter("_batch = 1")
     assert table.rewrite() == ["2024-01-02"]
     kept = set(files) & set(glob.glob(f"{path}/table/*/*.parquet"))
     assert len(kept) == len(files) - 1

@@ -65,6 +65,7 @@ def first_of_day(
 
 def flag_first_of_day(
     df: DataFrame, key: str, ts: str, tie: Sequence[str], flag: str = "uv", tz: str | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Keep every row and add ``flag``: 1 on the first row of a key's day, else 0.
 
@@ -72,12 +73,15 @@ def flag_first_of_day(
     them as well are flagged alike.  The first rows are found by aggregation and joined
     back, instead of ranking each key's rows in one sorted group: AQE can split a join
     partition that one key overfills, but not a window partition.  Rows without a
-    key get 0, and are spread so that they do not meet.
+    key get 0, and are spread so that they do not meet.  ``known`` are keys and days
+    (``_key`` as text, ``_day``) that had their first row before.
     """
     day = day_of(ts, tz)
     firsts = df.filter(F.col(key).isNotNull()).groupBy(
         F.col(key).cast("string").alias("_key"), day.alias("_day")
     ).agg(F.min(F.struct(ts, *tie)).alias("_first"))
+    if known is not None:
+        firsts = firsts.join(known, ["_key", "_day"], "left_anti")
     rows = df.withColumn("_day_of_row", day).withColumn("_join", spread_null_keys(F.col(key), ts, *tie))
     joined = rows.join(
         firsts,
@@ -91,24 +95,38 @@ def flag_first_of_day(
 
 
 def login_first_of_day(
-    df: DataFrame, key: str, ts: str, back_days: int = 7, tz: str | None = None,
+    df: DataFrame, key: str, ts: str, back_days: int = 7, tz: str | None = None, history: DataFrame | None = None,
 ) -> DataFrame:
     """First login per user and day with ``uu`` and ``back``.
 
     ``back`` is 1 when the user's previous login day lies ``back_days`` or more
-    days back.  The ordered step sees one row per user and day.
+    days back.  The ordered step sees one row per user and day.  ``history`` has each
+    user's last login day before these rows as ``cur_date``.
     """
     days = first_of_day(df, [key], ts, tz=tz)
     previous = F.lag("cur_date").over(Window.partitionBy(key).orderBy("cur_date"))
-    back = F.when(F.datediff("cur_date", previous) >= back_days, F.lit(1)).otherwise(F.lit(0))
-    return days.withColumn("uu", F.lit(1).cast("bigint")).withColumn("back", back.cast("bigint"))
+    days = days.withColumn("_previous", previous)
+    if history is not None:
+        before = history.select(F.col(key).alias("_user"), F.col("cur_date").alias("_last"))
+        days = days.join(before, days[key] == before["_user"], "left").withColumn("_previous", F.coalesce("_previous", "_last"))
+    back = F.when(F.datediff("cur_date", "_previous") >= back_days, F.lit(1)).otherwise(F.lit(0))
+    return days.select(key, "cur_date", ts, F.lit(1).cast("bigint").alias("uu"), back.cast("bigint").alias("back"))
 
 
-def order_first_flags(df: DataFrame, key: str, ts: str, day: str | None = None) -> DataFrame:
+def order_first_flags(
+    df: DataFrame, key: str, ts: str, day: str | None = None, history: DataFrame | None = None,
+) -> DataFrame:
     """First order per user and day; ``is_new`` is 1 on the user's very first one.
 
     ``day`` names the calendar-date column when it does not come from ``ts``.
+    ``history`` has the users who ordered before these rows.
     """
     days = first_of_day(df, [key], ts, day)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(ts, "cur_date"))
-    return days.withColumn("is_new", F.when(rank == 1, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    new = rank == 1
+    if history is not None:
+        before = history.select(F.col(key).alias("_user")).distinct()
+        days = days.join(before, days[key] == before["_user"], "left")
+        new = new & F.col("_user").isNull()
+    flagged = days.withColumn("is_new", F.when(new, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    return flagged.select(key, "cur_date", ts, "is_new")

@@ -84,14 +84,15 @@ def log_heads(raw: DataFrame, value: str = "value") -> DataFrame:
 
 
 def visitors_to_repair(seen: DataFrame, tz: str | None = None) -> DataFrame:
-    """Of ``first_seen`` (with ``_last_new``) the visitors with a flag to clear: (_visitor, _kept_day).
+    """Of ``first_seen`` the visitors with a flag to clear: (_visitor, _kept_day).
 
-    Their records that say new are cleared but for those of ``_kept_day`` (none if null).  Everybody else's stay.
+    ``_here_new`` and ``_last_new`` are the first and last time of a record at hand that says new.  Their records that say new are cleared but for those of ``_kept_day`` (none if null).  Everybody else's stay.
     """
     began_new = F.coalesce(F.col("_first_old").isNull() | (F.col("_first_new") <= F.col("_first_old")), F.lit(False))
-    later = day_of("_last_new", tz) != day_of("_first_new", tz)
+    kept = day_of("_first_new", tz)
+    later = (day_of("_last_new", tz) != kept) | (day_of("_here_new", tz) != kept)
     return seen.filter(F.col("_first_new").isNotNull() & (~began_new | later)).select(
-        "_visitor", F.when(began_new, day_of("_first_new", tz)).alias("_kept_day"))
+        "_visitor", F.when(began_new, kept).alias("_kept_day"))
 
 
 def _visitor_bits(visitor: Column) -> tuple[Column, Column]:
@@ -128,17 +129,26 @@ def _cleared(day: Column) -> Column:
     return F.when((F.col("is_new") == "1") & clear, F.lit("0")).otherwise(F.col("is_new"))
 
 
-def repair_log(heads: DataFrame, tz: str | None = None, sent_bytes: int = SENT_BYTES) -> DataFrame:
+def repair_log(
+    heads: DataFrame, tz: str | None = None, sent_bytes: int = SENT_BYTES, history: DataFrame | None = None,
+) -> DataFrame:
     """``repair_is_new`` on ``log_heads``; the texts ride along unparsed and stay where they lie.
 
     Only visitor, time and flag are shuffled, to find the visitors with a flag to clear.
     That list is written to the shared folder and measured: up to ``sent_bytes`` it is sent to
-    every task, beyond that records take two paths (``_in_two_paths``).
+    every task, beyond that records take two paths (``_in_two_paths``).  ``history`` is what
+    ``first_seen`` gave for the records before these.
     """
     timed = heads.withColumn("_at", F.timestamp_millis("ts"))
     says_new = F.col("is_new") == "1"
     last = F.max(F.when(says_new, F.col("_at"))).alias("_last_new")
-    repairs = written(visitors_to_repair(first_seen(timed, "mid", "_at", "is_new", last), tz), "repairs")
+    seen = first_seen(timed, "mid", "_at", "is_new", last).withColumn("_here_new", F.col("_first_new"))
+    if history is not None:
+        before = history.select(
+            F.col("_visitor").alias("_known"), F.col("_first_new").alias("_new_before"), F.col("_first_old").alias("_old_before"))
+        seen = seen.join(before, seen["_visitor"] == before["_known"], "left").withColumns({
+            "_first_new": F.least("_first_new", "_new_before"), "_first_old": F.least("_first_old", "_old_before")})
+    repairs = written(visitors_to_repair(seen, tz), "repairs")
     size = repairs.agg(F.coalesce(F.sum(F.octet_length("_visitor") + 64), F.lit(0))).first()[0]
     day = day_of("_at", tz)
     if size > sent_bytes:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import functools
+
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark import schemas as S
 from tidemark.functions import money
 from tidemark.operators import firsts, joins, summaries, traffic
 from tidemark.operators.windows import first_by, tumble, window_bounds
-from tidemark.plans import summaries as jobs
+from tidemark.plans import firsts as plans_firsts, summaries as jobs
+from tidemark.session import shared_dir, written
 from workload.inputs import LINE_ID, LINE_ORDER, NOBODY, VIEW_SQL, order_tables, table, views
-from workload.registry import query
+from workload.registry import SQL, query
 
 STT = "strftime(w, '%Y-%m-%d %H:%M:%S') as stt, strftime(w + interval {0}, '%Y-%m-%d %H:%M:%S') as edt"
 BUCKET = "time_bucket(interval {0}, {1})"
@@ -119,6 +122,25 @@ def login_back_users(spark, sf):
     )
 
 
+def run_by(firsts_kept, rows, part):
+    """The runs over the parts of ``rows`` in order, each with no more of the parts before it than the kept table."""
+    parts = sorted(r[0] for r in rows.select(part.alias("p")).distinct().collect())  # weeks, or years
+    done = [written(firsts_kept.run(rows.filter(part == p), k), "run") for k, p in enumerate(parts)]
+    return functools.reduce(DataFrame.union, done)
+
+
+@query("login_back_users_by_week", SQL["login_back_users"])
+def login_back_users_by_week(spark, sf):
+    """As in one run over everything."""
+    logins = traffic.login_pages(views(spark, sf))
+    kept = plans_firsts.LoginDays(spark, shared_dir(spark, "logins"))
+    days = run_by(kept, logins, F.date_trunc("week", "rt"))
+    return days.select(
+        "uid", F.date_format("cur_date", "yyyy-MM-dd").alias("cur_date"),
+        F.unix_micros("rt").alias("first_us"), "uu", "back",
+    )
+
+
 CARTS_SQL = f"""
     select case when not ({NOBODY}) then concat('u', user_id) end as user_id,
            date_trunc('second', rt) as create_time,
@@ -162,6 +184,14 @@ def order_first_flags(spark, sf):
     return days.select("o_custkey", F.date_format("cur_date", "yyyy-MM-dd").alias("cur_date"), "is_new")
 
 
+@query("order_first_flags_by_year", SQL["order_first_flags"])
+def order_first_flags_by_year(spark, sf):
+    """As in one run over everything."""
+    kept = plans_firsts.OrderUsers(spark, shared_dir(spark, "orders"), "o_custkey", "o_orderdate")
+    days = run_by(kept, table(spark, sf, "orders"), F.year("o_orderdate"))
+    return days.select("o_custkey", F.date_format("cur_date", "yyyy-MM-dd").alias("cur_date"), "is_new")
+
+
 DEDUP_SQL = f"""
     select * from lineitem
     qualify row_number() over (partition by l_orderkey, l_linenumber order by {', '.join(LINE_ORDER)}) = 1"""
