@@ -21,7 +21,7 @@ from tidemark.sinks import (
 )
 from tidemark.sources import read_cdc_log, read_json_topic, read_order_detail, read_page_log, read_topic_files
 from tidemark.streaming import (
-    daily_first_flag_stream, repair_is_new_stream, run_stream, with_event_time,
+    RecordCounts, daily_first_flag_stream, repair_is_new_stream, run_stream, with_event_time,
 )
 from workload.inputs import VIEW, log_texts, order_tables, table, views
 
@@ -307,6 +307,43 @@ def test_ttl_expires(spark):
 
 # --- event time ---------------------------------------------------------------
 
+def test_bad_and_late_records_are_counted(spark):
+    """Counted as they pass: of a stored table, of a stream's batches, and what came behind the watermark."""
+    from pyspark.sql import Observation
+
+    use_rocksdb_state(spark)
+    texts = [change("t", k, id=str(k)) for k in range(5)] + [("{cut",), ("[1]",), (None,)]
+    seen = Observation("cdc")
+    rows = fn.parsed(spark.createDataFrame(texts, "value string"), S.CDC)
+    rows.observe(seen, F.count_if(F.col("_corrupt_record").isNotNull()).alias("bad")).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"bad": 2}
+
+    counts = RecordCounts().start(spark)
+    try:
+        path, out, checkpoint = (shared_dir(spark, n) for n in ("input", "out", "checkpoint"))
+        def deliver(batch):
+            spark.createDataFrame(batch, "value string").coalesce(1).write.mode("append").text(path)
+            log = read_cdc_log(read_topic_files(spark, path), count_as="cdc")
+            counted = window_bounds(tumble(log, "rt", "10 seconds", aggs=[F.count("*").alias("n")]))
+            query = run_stream(counted, checkpoint, append_batch(out), None)
+            query.awaitTermination(120)
+            return str(query.id)
+
+        deliver([change("t", 100, id="1"), ("{cut",), change("t", 200, id="2")])
+        query = deliver([change("t", 101, id="3"), ("x",), ("[2]",), change("t", 300, id="4")])
+        log_path = shared_dir(spark, "log")
+        spark.createDataFrame([('{"common":{"mid":"m","is_new":"1"},"page":{},"ts":1}',), ("{cut",)], "value string").write.text(log_path)
+        finish(streams.log_topics(read_topic_files(spark, log_path), count_as="log"))
+        deadline = time.monotonic() + 30
+        while time.monotonic() < deadline and (counts.counts["log"]["records"] < 2 or counts.counts["cdc"]["bad"] < 3):
+            time.sleep(0.2)
+        assert counts.counts["cdc"] == {"records": 7, "bad": 3}
+        assert counts.counts["log"] == {"records": 2, "bad": 1}
+        assert counts.late[query] == 1
+    finally:
+        counts.stop(spark)
+
+
 def test_late_record_does_not_change_a_closed_window(spark):
     path, out, checkpoint = (shared_dir(spark, n) for n in ("input", "out", "checkpoint"))
     schema = "n int, rt timestamp"
@@ -694,6 +731,7 @@ def test_rules_change_while_the_jobs_run(spark):
     assert dims.table("dim_user").read().count() == 0
     facts_out = spark.read.text(f"{root}/facts/batch_id=*/topic=*")
     assert sorted(r.value for r in facts_out.collect()) == ['{"id":"5","sum":"1"}', '{"id":"7"}']
+    assert dims.last_rejected == {"records": 0, "no_rule": 0, "no_key": 0}
     rejected = spark.read.parquet(f"{root}/dims/rejected")
     assert ("user", "no key") in rows_of(rejected, "table", "reason") and ("city", "no rule") in rows_of(rejected, "table", "reason")
     change_rules(2, ("d", 9, user, None))

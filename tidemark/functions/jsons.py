@@ -54,11 +54,25 @@ def parsed(df: DataFrame, schema: str | StructType, value: str = "value") -> Dat
     return rows.select(*keep, *fields, broken.alias(CORRUPT))
 
 
+def count_records(df: DataFrame, name: str, **conditions: Column) -> DataFrame:
+    """``df``, counted as it passes: observed metrics ``name`` with ``records`` and one count per condition.
+
+    No pass of its own.  Read them with an ``Observation`` of that name, or on streams with
+    ``streaming.RecordCounts``.
+    """
+    return df.observe(name, F.count(F.lit(1)).alias("records"), *[F.count_if(c).alias(n) for n, c in conditions.items()])
+
+
 def parse_json(
-    df: DataFrame, schema: str | StructType, value: str = "value"
+    df: DataFrame, schema: str | StructType, value: str = "value", count_as: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Split raw records into parsed rows and the texts that could not be parsed."""
+    """Split raw records into parsed rows and the texts that could not be parsed.
+
+    ``count_as`` names a ``count_records`` of both, ``records`` and ``bad``.
+    """
     rows = parsed(df, schema, value)
+    if count_as:
+        rows = count_records(rows, count_as, bad=F.col(CORRUPT).isNotNull())
     good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = rows.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias(value))
     return good, bad

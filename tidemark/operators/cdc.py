@@ -17,12 +17,12 @@ def drop_tombstones(df: DataFrame, value: str = "value") -> DataFrame:
     return df.filter(F.col(value).isNotNull())
 
 
-def cdc_log(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def cdc_log(raw: DataFrame, count_as: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Parse change-log texts; adds event time ``rt`` and processing time ``pt``.
 
     Returns the parsed log and the texts that could not be parsed.
     """
-    good, bad = parse_json(raw, S.CDC)
+    good, bad = parse_json(raw, S.CDC, count_as=count_as)
     good = good.withColumn("rt", from_epoch("ts", "s")).withColumn("pt", F.current_timestamp())
     return good, bad
 

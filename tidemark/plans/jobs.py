@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tidemark import schemas as S
 from tidemark.functions.times import date_part
@@ -63,11 +63,13 @@ class DimensionTables:
 
     A micro-batch is one write, partitioned by table, with the row's columns as an
     open map; so a table the rules did not know when the job began needs nothing
-    set up.  Records without a rule or without a key are kept apart in ``rejected``.
+    set up.  Records without a rule or without a key are kept apart in ``rejected``, and
+    counted: ``last_rejected`` has the last batch's ``records``, ``no_rule`` and ``no_key``.
     """
 
     def __init__(self, spark: SparkSession, path: str, rules: Callable[[], DataFrame], database: str | None = None) -> None:
         self.spark, self.path, self.rules, self.database = spark, path.rstrip("/"), rules, database
+        self.last_rejected: dict[str, int] = {}
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` writer for the business change log."""
@@ -85,7 +87,12 @@ class DimensionTables:
             lost = kept.join(known, "table", "left_anti").select("table", "type", "data", *ORDER, F.lit("no rule").alias("reason"), number)
             keyless = routed.filter(F.col("rowkey").isNull()).select(
                 "table", "type", "data", *ORDER, F.lit("no key").alias("reason"), number)
-            overwrite_partitions(lost.unionByName(keyless), f"{self.path}/rejected", "_batch")
+            seen = Observation("rejected")
+            rejected = lost.unionByName(keyless).observe(
+                seen, F.count(F.lit(1)).alias("records"), F.count_if(F.col("reason") == "no rule").alias("no_rule"),
+                F.count_if(F.col("reason") == "no key").alias("no_key"))
+            overwrite_partitions(rejected, f"{self.path}/rejected", "_batch")
+            self.last_rejected = seen.get
         finally:
             kept.unpersist()
 

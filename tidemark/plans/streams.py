@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark import schemas as S
+from tidemark.functions.jsons import count_records
 from tidemark.functions.times import date_part, event_time
 from tidemark.operators import cdc, facts, keywords, summaries, traffic
 from tidemark.operators.firsts import dedup_within
@@ -24,9 +26,10 @@ from tidemark.streaming.state import (
 DELAY = "2 seconds"
 
 
-def log_topics(raw: DataFrame, tz: str | None = None) -> DataFrame:
-    """Application log to ``(topic, value)`` rows of the log topics, bad records included."""
-    return traffic.split_log_records(repair_log_stream(traffic.log_heads(raw), tz))
+def log_topics(raw: DataFrame, tz: str | None = None, count_as: str | None = None) -> DataFrame:
+    """Application log to ``(topic, value)`` rows of the log topics, bad records included, and counted under ``count_as``."""
+    rows = traffic.split_log_records(repair_log_stream(traffic.log_heads(raw), tz))
+    return count_records(rows, count_as, bad=F.col("topic") == S.LOG_TOPICS["bad"]) if count_as else rows
 
 
 def page_views(raw: DataFrame, delay: str = DELAY) -> DataFrame:

@@ -55,9 +55,9 @@ def _watermark(df: DataFrame, col: str, delay: str) -> DataFrame:
     return df.withWatermark(col, delay) if df.isStreaming else df
 
 
-def read_cdc_log(raw: DataFrame, delay: str = "2 seconds") -> DataFrame:
-    """The business database's change log with event time ``rt`` and its watermark."""
-    return _watermark(cdc_log(raw)[0], "rt", delay)
+def read_cdc_log(raw: DataFrame, delay: str = "2 seconds", count_as: str | None = None) -> DataFrame:
+    """The business database's change log with event time ``rt`` and its watermark; bad records are counted under ``count_as``."""
+    return _watermark(cdc_log(raw, count_as)[0], "rt", delay)
 
 
 def read_page_log(raw: DataFrame, delay: str = "2 seconds") -> DataFrame:
