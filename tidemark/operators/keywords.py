@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tidemark.session import written
 
 NO_WORD = r"[^\p{L}\p{N}]+"
 HAN = r"\p{IsHan}"
@@ -61,9 +63,7 @@ def segment(df: DataFrame, col: str, dictionary: DataFrame, dict_col: str = "wor
     * every Han character that no dictionary word covers.
 
     Texts share most of their runs, so each distinct run is cut up only once:
-    count runs per text, segment the distinct runs by an equality join of their
-    substrings with the dictionary, and join the words back to the counts.  Only
-    lengths that occur in the dictionary are tried.
+    count runs per text, segment the distinct runs, and join the words back to the counts.
     """
     others = [c for c in df.columns if c != col]
     pieces = explode_words(df, col, "_piece")
@@ -90,42 +90,35 @@ def segment_runs(
 ) -> DataFrame:
     """Words of distinct runs: ``(run, word)``, a row for each place the word is found.
 
-    A run is cut at every place into every length the dictionary knows.  In a run
-    without Han characters the hits are joined straight to it, and the run itself is
-    a word if no entry equals it.  Runs with Han characters also need to know which
-    characters no entry covers; what is gathered for that is one run's own hits.
+    The dictionary is stored by the first two characters of its entries.  Every place of
+    a run is joined with the entries that start as it does and keeps those it goes on
+    with; nothing is cut into substrings.  In a run without Han characters the run itself
+    is a word if no entry equals it.  In one with Han characters a character is a word if no
+    hit at its place or before reaches it: a running maximum of where hits end.
     """
-    entries = dictionary.select(F.lower(dict_col).alias("word")).filter(
-        F.length("word") > 0
-    ).distinct()
-    # The lengths in use: as few numbers as the longest word has characters.
-    lengths = entries.agg(F.sort_array(F.collect_set(F.length("word"))).alias("n")).scalar()
-    size = F.length(run)
-    places = F.flatten(F.transform(
-        F.filter(F.coalesce("_lengths", F.array().cast("array<int>")), lambda n: n <= size),
-        lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.struct(at.alias("at"), n.alias("n"))),
-    ))
-    han = F.rlike(run, F.lit(HAN))
-
-    def hits_in(rows: DataFrame) -> DataFrame:
-        cuts = rows.select(run, lengths.alias("_lengths")).select(run, F.explode(places).alias("_c")).select(
-            run, "_c.at", "_c.n", F.substring(F.col(run), F.col("_c.at"), F.col("_c.n")).alias("word"),
-        )
-        return cuts.join(entries, "word")
-
-    plain, script = runs.filter(~han), runs.filter(han)
-    whole = plain.join(entries, F.col(run) == F.col("word"), "left_anti").select(run, F.col(run).alias("word"))
-    per_run = script.join(
-        hits_in(script).groupBy(run).agg(F.collect_list(F.struct("word", "at", "n")).alias("_hits")), run, "left"
-    )
-    hits = F.coalesce("_hits", F.array().cast("array<struct<word:string,at:int,n:int>>"))
-    covered = F.flatten(F.transform(hits, lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1)))
-    single = F.transform(
-        F.array_except(F.sequence(F.lit(1), size), covered),
-        lambda at: F.substring(F.col(run), at, F.lit(1)),
-    )
-    words_of = F.concat(F.transform(hits, lambda h: h["word"]), single)
-    return (
-        hits_in(plain).select(run, "word").union(whole)
-        .union(per_run.select(run, F.explode(words_of).alias("word")))
-    )
+    entries = dictionary.select(F.lower(dict_col).alias("word")).filter(F.length("word") > 0).distinct()
+    # Written, so that its size is known when the places are joined with it.
+    by_start = written(
+        entries.groupBy(F.left("word", F.lit(2)).alias("_start")).agg(F.collect_list("word").alias("_entries")), "dictionary")
+    known = by_start.select(F.explode("_entries").alias("word"))
+    has_single = by_start.agg(F.coalesce(F.max(F.length("_start") == 1), F.lit(False))).scalar()
+    size, han = F.length(run), F.rlike(run, F.lit(HAN))
+
+    def hits_in(rows: DataFrame, how: str) -> DataFrame:
+        at = F.explode(F.sequence(F.lit(1), F.length(run)))
+        places = rows.select(run, at.alias("_at")).withColumn("_rest", F.substring(F.col(run), F.col("_at"), F.length(run)))
+        starts = F.when(has_single, F.array_distinct(F.array(F.left("_rest", F.lit(2)), F.left("_rest", F.lit(1))))).otherwise(
+            F.array(F.left("_rest", F.lit(2))))
+        met = places.withColumn("_start", F.explode(starts)).join(by_start, "_start", how)
+        return met.withColumn("_hits", F.filter(F.coalesce("_entries", F.array().cast("array<string>")), lambda w: F.startswith("_rest", w)))
+
+    plain, script = runs.filter(~han & (size > 0)), runs.filter(han)
+    whole = plain.join(known, F.col(run) == F.col("word"), "left_anti").select(run, F.col(run).alias("word"))
+    in_plain = hits_in(plain, "inner").select(run, F.explode("_hits").alias("word"))
+    # A place may stand here twice, by one character and by two.
+    in_script = hits_in(script, "left")
+    ends = F.col("_at") + F.array_max(F.transform("_hits", lambda w: F.length(w))) - 1
+    reached = F.max(ends).over(Window.partitionBy(run).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = in_script.withColumn("_reached", F.coalesce(reached, F.lit(0)))
+    single = placed.filter(F.col("_reached") < F.col("_at")).select(run, "_at", F.left("_rest", F.lit(1)).alias("word")).distinct()
+    return in_plain.union(whole).union(placed.select(run, F.explode("_hits").alias("word"))).union(single.select(run, "word"))
