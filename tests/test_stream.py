@@ -683,6 +683,11 @@ def test_dimension_upkeep_on_a_stream(spark):
         log = read_cdc_log(read_topic_files(spark, path))
         run_stream(log, checkpoint, dims.write, None).awaitTermination(120)
         dims.table("dim_user").rewrite()
+        apply_table_ddl(spark, rules.selectExpr("'c' as op", "1L as ts_ms", "*"))
+        jobs.publish_dimension(dims, "dim_user")
+    assert spark.table("dim_user").columns == ["id", "name", "city"]
+    assert rows_of(spark.table("dim_user"), "id", "name", "city") == [("1", "n", "e")]
+    spark.sql("drop table dim_user")
     assert sorted(map(tuple, dims.table("dim_user").read().collect())) == [("1", "n", "e")]
 
 

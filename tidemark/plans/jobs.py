@@ -115,6 +115,16 @@ class DimensionTables:
         return KeyedTable(self.spark, f"{self.path}/tables/{name}", "rowkey", columns, ORDER, mode="cell", changes=changes)
 
 
+def publish_dimension(dims: DimensionTables, name: str, database: str = "default") -> None:
+    """Put the rows of this moment into the catalog table that ``apply_table_ddl`` made for the dimension."""
+    table = dims.table(name)
+    rows = None if table is None else table.read()
+    if rows is not None:
+        target = f"`{database}`.`{name}`"
+        key, *columns = dims.spark.table(target).columns
+        rows.select(F.col("rowkey").alias(key), *columns).write.insertInto(target, overwrite=True)
+
+
 def as_dimension(table: KeyedTable) -> DataFrame | None:
     """A table's rows of this moment as ``(rowkey, info)`` for the lookup operators."""
     now = table.read()
