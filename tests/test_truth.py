@@ -90,6 +90,14 @@ def test_log_repair_leaves_texts_where_they_lie(spark, sent_bytes):
         assert "Exchange hashpartitioning" not in fixed._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bucketed_parts_are_joined_where_they_lie(spark, sf_dir):
+    import workload.all  # noqa: F401
+    from workload.registry import QUERIES
+
+    plan = QUERIES["order_facts_in_place"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 3 and "Exchange" not in plan, plan
+
+
 # --- change log ---------------------------------------------------------------
 
 def log_of(spark, table, records):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from tidemark import schemas as S
 from tidemark.operators import cdc, facts, traffic
 from tidemark.operators.routing import dwd_route, route_by_topic
+from tidemark.streaming.joins import order_parts
 
 
 def visitor_log(raw: DataFrame, tz: str | None = None) -> DataFrame:
@@ -38,6 +40,38 @@ def order_facts(log: DataFrame, database: str | None = None) -> DataFrame:
     )
 
 
+def store_order_parts(log: DataFrame, name: str, path: str, buckets: int = 200, database: str | None = None) -> DataFrame:
+    """The parts of orders as catalog table ``name``, bucketed by order: a join of parts by their order moves nothing.
+
+    Takes what the change log inserts; parts without an order's id are left to ``order_facts``.  Written once for
+    all jobs on top; take as many buckets as an order join of all data would have partitions.
+    """
+    parts = order_parts(log, database).filter("order_id IS NOT NULL")
+    (parts.write.option("path", path).partitionBy("kind").bucketBy(buckets, "order_id").sortBy("order_id")
+     .mode("overwrite").saveAsTable(name))
+    return log.sparkSession.table(name)
+
+
+def order_facts_in_place(parts: DataFrame) -> DataFrame:
+    """``order_facts`` from ``store_order_parts``: three joins, bucket by bucket, without an exchange."""
+    def of(kind: str, columns: list[str], *more: str) -> DataFrame:
+        # Only what is asked for is taken out of the stored record.
+        data = F.from_json("row", ", ".join(f"`{c}` STRING" for c in columns))
+        return parts.filter(F.col("kind") == kind).select(F.col("order_id").alias("_order"), *more, data.alias("_r")).select(
+            "_order", *more, *[F.col(f"_r.`{c}`").alias(c) for c in columns])
+
+    orders = of("order_info", S.ORDER_INFO, "rt").drop("id").withColumnRenamed("_order", "order_id")
+    lines = of("order_detail", ["id", *S.DETAIL_OF_LINE]).withColumnRenamed("id", "order_detail_id")
+    detail = orders.join(lines, orders["order_id"] == lines["_order"]).drop("_order")
+    for name, columns in (("activity", S.DETAIL_OF_ACTIVITY), ("coupon", S.DETAIL_OF_COUPON)):
+        extra = of(f"order_detail_{name}", ["id", "order_detail_id", *columns]).withColumnsRenamed(
+            {"id": f"order_detail_{name}_id", "order_detail_id": "_line"})
+        # Equality of lines as a range: as a second join key it would ask for a partitioning by both.
+        same_line = detail["order_detail_id"].between(extra["_line"], extra["_line"])
+        detail = detail.join(extra, (detail["order_id"] == extra["_order"]) & same_line, "left").drop("_order", "_line")
+    return detail.select(*S.order_detail_columns("rt"))
+
+
 def cancel_facts(log: DataFrame, database: str | None = None) -> DataFrame:
     return facts.cancel_detail_wide(
         cdc.order_cancel(log, database), cdc.order_detail(log, database),

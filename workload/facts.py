@@ -245,6 +245,14 @@ def order_facts_from_log(spark, sf):
     return jobs.order_facts(stored_log(spark, sf), "shop").drop("rt")
 
 
+@query("order_facts_in_place", f"select * exclude (rt) from ({_wide_sql()})")
+def order_facts_in_place(spark, sf):
+    """Parts bucketed by order once, then joined where they lie."""
+    path = shared_dir(spark, "order-parts")
+    parts = jobs.store_order_parts(stored_log(spark, sf), path.rsplit("/", 1)[1].replace("-", "_"), path, 8, "shop")
+    return jobs.order_facts_in_place(parts).drop("rt")
+
+
 @query("cancel_facts_from_log", f"""select * exclude (pt) from ({_wide_sql("where order_status = '1003'", "pt")})""")
 def cancel_facts_from_log(spark, sf):
     return jobs.cancel_facts(stored_log(spark, sf, cancelled=True), "shop").drop("rt", "pt")
