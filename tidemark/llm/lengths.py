@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm.common import table, text_batches
+from tidemark.llm.common import stored, table, text_batches
 from tidemark.llm.registry import query
 from tidemark.llm.tokens import encoder
 
@@ -98,5 +98,5 @@ def answer_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 @query("op3_length_histogram")
 def length_histogram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length histogram and suffix sums of all documents."""
-    return suffix_sums(length_histogram(encoded_lengths(table(spark, sf_dir, "documents"))))
+    """Length histogram and suffix sums of all documents.  The histogram is stored: both sums read it, the texts are encoded once."""
+    return suffix_sums(stored(length_histogram(encoded_lengths(table(spark, sf_dir, "documents"))), "lengths"))
