@@ -201,19 +201,12 @@ def _noise(page: Page, node: int, holds_title: list[bool], in_article: list[bool
     return not holds_title[node] and (_noise_name(own.get("class", "")) or not slug and _noise_name(own.get("id", "")))
 
 
-def main_text(source: str | None) -> str:
-    """The main text of a page, "" if there is none.
+# A block outside the core belongs to the text if its density sum is this share of the core's.
+PART = 0.1
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments
-    are dropped by what they say they are.  Of every other node the characters per
-    tag are taken, less where they lie in links; the node whose children's densities
-    have the largest sum is the core of the text.  Nodes at least half as dense as
-    the thinnest one between body and core belong to it; the text is that of the least
-    subtree that holds all of them and the article around the core.
-    """
-    if not source:
-        return ""
-    page = Page(source)
+
+def kept_texts(page: Page) -> tuple[list[bool], list[list]]:
+    """(dropped, texts): which elements say that they are noise, or lie in one that does; what the others hold, decoded."""
     n = len(page.tag)
     holds_title, in_article, titled = [False] * n, [False] * n, [False] * n
     for k in range(n - 1, 0, -1):
@@ -228,82 +221,110 @@ def main_text(source: str | None) -> str:
         up = page.parent[k]
         in_article[k] = in_article[up] or page.tag[up] in ("article", "main")
         dropped[k] = dropped[up] or _noise(page, k, holds_title, in_article, titled)
-    texts = [[x if isinstance(x, int) else html.unescape(x) for x in c] if not d else []
-             for c, d in zip(page.content, dropped)]
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    linked = [False] * n
-    for k in range(1, n):
-        linked[k] = linked[page.parent[k]] or page.tag[k] == "a"
-    for k in range(n - 1, -1, -1):
-        own = sum(len(" ".join(x.split())) for x in texts[k] if not isinstance(x, int))
-        chars[k] += own
-        if linked[k]:
-            link_chars[k] = chars[k]
-        if k and not dropped[k]:
-            up = page.parent[k]
-            chars[up] += chars[k]
-            tags[up] += tags[k] + 1
-            link_chars[up] += link_chars[k]
-            link_tags[up] += link_tags[k] + (page.tag[k] == "a")
-    body = next((k for k in range(n) if page.tag[k] == "body"), 0)
-    if not chars[body]:
-        body = 0
-    if not chars[body]:
-        return ""
-    share = link_chars[body] / chars[body]
+    return dropped, [[x if isinstance(x, int) else html.unescape(x) for x in c] if not d else []
+                     for c, d in zip(page.content, dropped)]
+
+
+class Densities:
+    """Characters, tags and links below every kept node; its composite density, and the sum over its children."""
 
-    def density(c: int, t: int, lc: int, lt: int) -> float:
-        if not c:
+    def __init__(self, page: Page, dropped: list[bool], texts: list[list]):
+        n = len(page.tag)
+        self.chars, self.tags, self.link_chars, self.link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        linked = [False] * n
+        for k in range(1, n):
+            linked[k] = linked[page.parent[k]] or page.tag[k] == "a"
+        for k in range(n - 1, -1, -1):
+            self.chars[k] += sum(len(" ".join(x.split())) for x in texts[k] if not isinstance(x, int))
+            if linked[k]:
+                self.link_chars[k] = self.chars[k]
+            if k and not dropped[k]:
+                up = page.parent[k]
+                self.chars[up] += self.chars[k]
+                self.tags[up] += self.tags[k] + 1
+                self.link_chars[up] += self.link_chars[k]
+                self.link_tags[up] += self.link_tags[k] + (page.tag[k] == "a")
+        self.body = next((k for k in range(n) if page.tag[k] == "body" and self.chars[k]), 0)
+        self.share = self.link_chars[self.body] / max(self.chars[self.body], 1)
+        self.dense = [0.0 if dropped[k] else self.of(self.chars[k], self.tags[k], self.link_chars[k], self.link_tags[k]) for k in range(n)]
+        self.sums = [0.0] * n
+        for k in range(n):
+            for x in texts[k]:
+                if isinstance(x, int):
+                    self.sums[k] += self.dense[x]
+                elif x.strip():  # a text of its own counts as a child
+                    c = len(" ".join(x.split()))
+                    self.sums[k] += self.of(c, 1, c if linked[k] else 0, int(linked[k]))
+        self.inside = [False] * n
+        self.inside[self.body] = True
+        for k in range(self.body + 1, n):
+            self.inside[k] = self.inside[page.parent[k]] and not dropped[k]
+
+    def of(self, chars: int, tags: int, link_chars: int, link_tags: int) -> float:
+        """Characters per tag, less for those in links."""
+        if not chars:
             return 0.0
-        plain = max(c - lc, 1)
-        base = math.log(c / plain * lc + share * c + math.e)
-        odd = c / max(lc, 1) * max(t, 1) / max(lt, 1)
-        return c / max(t, 1) * max(0.0, math.log(max(odd, 1.0)) / math.log(base)) if base > 1.0 else c / max(t, 1) * math.log(max(odd, 1.0) + 1)
-
-    dense = [0.0 if dropped[k] else density(chars[k], tags[k], link_chars[k], link_tags[k]) for k in range(n)]
-    sums = [0.0] * n
-    for k in range(n):
-        for x in texts[k]:
-            if isinstance(x, int):
-                sums[k] += dense[x]
-            elif x.strip():  # a text of its own counts as a child
-                c = len(" ".join(x.split()))
-                sums[k] += density(c, 1, c if linked[k] else 0, int(linked[k]))
-    inside = [False] * n
-    inside[body] = True
-    for k in range(body + 1, n):
-        inside[k] = inside[page.parent[k]] and not dropped[k]
-    core = max((k for k in range(n) if inside[k]), key=lambda k: (sums[k], -k))
+        base = math.log(chars / max(chars - link_chars, 1) * link_chars + self.share * chars + math.e)
+        odd = max(chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1), 1.0)
+        return chars / max(tags, 1) * (math.log(odd) / math.log(base) if base > 1.0 else math.log(odd + 1))
+
+
+def select(page: Page, d: Densities) -> tuple[int, list[int], list[bool]]:
+    """(core, roots, thin): the node of largest density sum, the subtrees that make up the text, and blocks in them that do not.
+
+    The least density on the path from body to the core is the threshold.  Blocks beside the
+    path that reach half of it, and in sum a PART of the core, belong to the text.  Blocks
+    inside with three quarters of their characters in links do not if they are below it.
+    """
+    n = len(page.tag)
+    core = max((k for k in range(n) if d.inside[k]), key=lambda k: (d.sums[k], -k))
     path = [core]
-    while path[-1] != body and page.parent[path[-1]] >= 0:
+    while path[-1] != d.body and page.parent[path[-1]] >= 0:
         path.append(page.parent[path[-1]])
-    root = core
-    article = next((k for k in path if page.tag[k] in ("article", "main") or page.attributes[k].get("role") == "main"
-                    or "articlebody" in page.attributes[k].get("itemprop", "").lower()), None)
-    if article is not None:
-        root = article
-    # What is left after the noise is gone is nearly all text: half of the path's least is enough.
-    least = min(dense[k] for k in path) / 2
-    on_path = set(path)
-    for k in range(n):  # other dense nodes with several texts, outside the core
-        up = page.parent[k]
-        if inside[k] and k not in on_path and up in on_path and up != core and dense[k] >= least and sums[k] > 0 \
-                and page.tag[k] in _BLOCK and link_chars[k] * 2 < chars[k]:
-            if path.index(up) > path.index(root):
-                root = up
+    root = next((k for k in path if page.tag[k] in ("article", "main") or page.attributes[k].get("role") == "main"
+                 or "articlebody" in page.attributes[k].get("itemprop", "").lower()), core)
+    threshold = min(d.dense[k] for k in path)
+    beside = set(path[path.index(root) + 1:])
+    roots = sorted([root, *(
+        k for k in range(n) if d.inside[k] and page.parent[k] in beside and k not in path and page.tag[k] in _BLOCK
+        and d.dense[k] >= threshold / 2 and d.sums[k] >= PART * d.sums[core] and d.link_chars[k] * 2 < d.chars[k])])
+    thin = [d.inside[k] and k not in path and page.tag[k] in _BLOCK and d.link_tags[k] > 1
+            and d.link_chars[k] * 4 > d.chars[k] * 3 and d.dense[k] < threshold for k in range(n)]
+    return core, roots, thin
+
+
+def main_text(source: str | None) -> str:
+    """The main text of a page, "" if there is none.
+
+    Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments that say
+    what they are are dropped.  Of every other node the characters per tag are taken,
+    less where they lie in links; the node whose children's densities have the largest
+    sum is the core of the text.  The text is that of the article around the core, or the
+    core, and of other blocks dense enough, without link lists (``select``).
+    """
+    if not source:
+        return ""
+    page = Page(source)
+    dropped, texts = kept_texts(page)
+    d = Densities(page, dropped, texts)
+    if not d.chars[d.body]:
+        return ""
+    _, roots, thin = select(page, d)
     parts: list[str] = []
-    todo: list = [root]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        elif not dropped[x]:
-            edge = page.tag[x] in _BLOCK
-            if edge:
-                todo.append(" ")
-            todo.extend(reversed(texts[x]))
-            if edge:
-                todo.append(" ")
+    for root in roots:
+        todo: list = [root]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                parts.append(x)
+            elif not dropped[x] and not thin[x]:
+                edge = page.tag[x] in _BLOCK
+                if edge:
+                    todo.append(" ")
+                todo.extend(reversed(texts[x]))
+                if edge:
+                    todo.append(" ")
+        parts.append(" ")
     return " ".join("".join(parts).split())
 
 
