@@ -13,7 +13,7 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     Alternates two rewrites until nothing changes: each node hands its larger
     neighbours, then its smaller ones, to the least of them.  Links only ever
     become stars, so a few rounds do; a neighbourhood is aggregated and joined,
-    never gathered.
+    never gathered.  Raises if ``most_rounds`` do not finish.
     """
     edges = stored(_directed(links), "links")
     seen = _state(edges)
@@ -25,6 +25,8 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components are not finished after {most_rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

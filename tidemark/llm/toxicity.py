@@ -142,7 +142,7 @@ def fit(
     Folds 1 to 3 give the features and their log-odds (documents that hold them, with
     a Dirichlet prior of weight ``prior`` shaped like both classes together); fold 4
     chooses how strong a feature has to be and gives the tail of clean scores and the
-    final calibration.  Of equal texts one counts.  Rows without a label
+    final calibration.  Of equal texts the one with the least doc_id counts.  Rows without a label
     are left out; without any toxic row every score is that of an empty text.
     """
     own = fold_of()
@@ -151,8 +151,9 @@ def fit(
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     # max_labelled narrow rows at most.
+    least = F.min(F.struct("doc_id", "toxic")).alias("at")
     rows = stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-                  .dropDuplicates(["text"]).withColumn("fold", own), "toxic-sample")
+                  .groupBy("text").agg(least).select("at.*", "text").withColumn("fold", own), "toxic-sample")
     wanted, scored = None, []
     # Folds 1 and 2 choose the features, fold 3 has to confirm them and gives the
     # log-odds kept: what only copies of a few texts share does not come through.
