@@ -10,7 +10,7 @@ from tidemark.operators import facts, joins, keywords, summaries, traffic
 from tidemark.plans import facts as jobs, summaries as summary_jobs
 from tidemark.plans.jobs import change_log_writer, stored_change_log
 from tidemark.session import shared_dir
-from tidemark.sources import dictionary, read_json_topic, read_page_log
+from tidemark.sources import dictionary, read_cdc_log, read_json_topic, read_page_log
 from workload.inputs import (
     ACTIONS, BROKEN, DISPLAYS, ERR, EXTRA, LINE_ID, LINE_ORDER, NOBODY, ORDER_STATUS, QUOTED, SOUND, START, VIEW_SQL,
     log_texts, null_text, order_tables, table, views,
@@ -218,8 +218,8 @@ def cancel_detail_wide(spark, sf):
     return _time_text(facts.cancel_detail_wide(cancelled, **tables), "pt")
 
 
-def stored_log(spark, sf, cancelled=False):
-    """The order tables as change-log texts, parsed and stored once, read back by table."""
+def change_texts(spark, sf, cancelled=False):
+    """The order tables as change-log texts."""
     tables = order_tables(spark, sf)
     names = {"oi": "order_info", "od": "order_detail", "oa": "order_detail_activity", "oc": "order_detail_coupon"}
     texts = None
@@ -235,8 +235,13 @@ def stored_log(spark, sf, cancelled=False):
             F.lit("shop").alias("database"), F.lit(name).alias("table"), kind.alias("type"), at.alias("ts"),
             F.struct(*columns).alias("data"), old.alias("old"))).alias("value"))
         texts = rows if texts is None else texts.union(rows)
+    return texts
+
+
+def stored_log(spark, sf, cancelled=False):
+    """The change log, parsed and stored once, read back by table."""
     path = shared_dir(spark, "change-log")
-    change_log_writer(path)(texts, 0)
+    change_log_writer(path)(change_texts(spark, sf, cancelled), 0)
     return stored_change_log(spark, path)
 
 
@@ -249,7 +254,7 @@ def order_facts_from_log(spark, sf):
 def order_facts_in_place(spark, sf):
     """Parts bucketed by order once, then joined where they lie."""
     path = shared_dir(spark, "order-parts")
-    parts = jobs.store_order_parts(stored_log(spark, sf), path.rsplit("/", 1)[1].replace("-", "_"), path, 8, "shop")
+    parts = jobs.store_order_parts(read_cdc_log(change_texts(spark, sf)), path.rsplit("/", 1)[1].replace("-", "_"), path, 8, "shop")
     return jobs.order_facts_in_place(parts).drop("rt")
 
 
