@@ -22,9 +22,9 @@ from workload.windows import BUCKET, STT, carts
 
 
 def topic_of(texts: DataFrame, name: str) -> DataFrame:
-    """``value`` texts written as a topic's files and opened as a stream."""
+    """``value`` texts written as a topic's files, compressed as a broker keeps them, and opened as a stream."""
     path = shared_dir(texts.sparkSession, name)
-    texts.filter(F.col("value").isNotNull()).select("value").write.text(path)
+    texts.filter(F.col("value").isNotNull()).select("value").write.option("compression", "gzip").text(path)
     return read_topic_files(texts.sparkSession, path)
 
 
