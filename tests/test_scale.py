@@ -6,6 +6,12 @@ import os
 from pyspark.sql import functions as F
 
 import workload.all  # noqa: F401
+from tidemark.operators import facts, firsts
+from tidemark.plans import facts as plan_facts, jobs
+from tidemark.session import shared_dir
+from tidemark.sources import read_cdc_log
+from workload.facts import change_texts
+from workload.inputs import order_tables
 from workload.streams import topic_of
 
 
@@ -20,3 +26,47 @@ def test_topic_files_are_compressed(spark):
     files = glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/packed-*/part-*")
     assert 0 < sum(map(os.path.getsize, files)) < size / 5
     assert spark.read.text(files).exceptAll(texts).isEmpty() and spark.read.text(files).count() == 20_000
+
+
+def test_rare_repeats_are_sorted_once(spark):
+    df = spark.createDataFrame([(1, 2, None), (1, 1, "a"), (1, 1, None), (2, None, "b")], "k int, at int, v string")
+    once = firsts.dedup_within(df, ["k"], ["at"])
+    plan = plan_of(once)
+    assert sorted((tuple(r) for r in once.collect()), key=str) == [(1, 1, None), (2, None, "b")]
+    assert plan.count("Sort [") == 1 and "WindowGroupLimit" not in plan, plan
+
+
+def test_reductions_are_joined_where_they_lie(spark, sf_dir):
+    """Lines, activities and coupons move once each, by the line's id; the lines a second time, to their orders."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = plan_of(facts.order_detail_wide(**order_tables(spark, sf_dir)))
+    finally:
+        spark.conf.set(threshold, before)
+    assert plan.count("Exchange hashpartitioning") == 5, plan
+
+
+def test_change_log_is_read_once_and_has_few_files(spark):
+    seen, path = spark.sparkContext.accumulator(0), shared_dir(spark, "log")
+
+    def text(n):
+        seen.add(1)
+        return ("{cut" if n == 0 else '{"database":"shop","table":"t","type":"insert","ts":%d,"data":{"id":"%d"}}' % (n % 20 * 86_400, n),)
+
+    raw = spark.createDataFrame(spark.sparkContext.parallelize(range(400), 8).map(text), "value string")
+    jobs.change_log_writer(path)(raw, 0)
+    assert seen.value == 400
+    assert len(glob.glob(f"{path}/log/**/*.parquet", recursive=True)) <= 30  # 20 days, and not 8 times as many
+    log = jobs.stored_change_log(spark, path)
+    assert {r.id for r in log.select(F.col("data")["id"].alias("id")).collect()} == {str(n) for n in range(1, 400)}
+    assert [r.value for r in jobs.bad_changes(spark, path).collect()] == ["{cut"]
+
+
+def test_buckets_grow_with_the_lines(spark, sf_dir):
+    assert plan_facts.buckets_for(0) == 8 and plan_facts.buckets_for(36_000_000) == 240
+    log = read_cdc_log(change_texts(spark, sf_dir))
+    path = shared_dir(spark, "parts")
+    plan_facts.store_order_parts(log, path.rsplit("/", 1)[1].replace("-", "_"), path, 5, "shop")
+    assert all(len(glob.glob(f"{kind}/part-*")) <= 5 for kind in glob.glob(f"{path}/kind=*"))

@@ -46,8 +46,9 @@ def dedup_within(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None
         raise ValueError("a stored table needs an order")
     sortable = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
     rest = [c for c in sortable if c not in (*keys, *order)]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *rest))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    # A first row has none before it; asked for by its rank, Spark would sort all rows before the shuffle, too.
+    before = F.lag(F.lit(True)).over(Window.partitionBy(*keys).orderBy(*order, *rest))
+    return df.withColumn("_before", before).filter("_before IS NULL").drop("_before")
 
 
 def first_of_day(

@@ -183,7 +183,7 @@ def null_text(name: str):
 def order_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Typed order tables as the change log would give them."""
     from tidemark import schemas as S
-    from tidemark.operators.firsts import first_per_key
+    from tidemark.operators.firsts import dedup_within
 
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     filled = {
@@ -218,9 +218,10 @@ def order_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     }
 
     def reduction(condition, columns, **more):
-        once = first_per_key(lines.filter(condition), ["l_orderkey", "l_linenumber"], LINE_ORDER)
+        # By the line's id as text, which the wide fact joins by: its rows lie and are sorted as the join asks.
+        once = dedup_within(lines.filter(condition).withColumn("_line", F.expr(LINE_ID)), ["_line"], LINE_ORDER)
         values = {
-            "id": F.concat(F.lit("r"), F.expr(LINE_ID)), "order_detail_id": F.expr(LINE_ID),
+            "id": F.concat(F.lit("r"), F.col("_line")), "order_detail_id": F.col("_line"),
             "order_id": line["order_id"], "sku_id": line["sku_id"], **more,
         }
         return pick(once, columns, values)
