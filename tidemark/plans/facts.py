@@ -9,6 +9,8 @@ from tidemark.operators import cdc, facts, traffic
 from tidemark.operators.routing import dwd_route, route_by_topic
 from tidemark.streaming.joins import order_parts
 
+LINES_A_BUCKET = 150_000
+
 
 def visitor_log(raw: DataFrame, tz: str | None = None) -> DataFrame:
     """Stored application log as texts beside their visitor, time and repaired flag."""
@@ -40,14 +42,20 @@ def order_facts(log: DataFrame, database: str | None = None) -> DataFrame:
     )
 
 
+def buckets_for(lines: int, least: int = 8) -> int:
+    """Buckets of ``store_order_parts`` for so many order lines: some 100 MB of parts each, whatever their number."""
+    return max(least, -(-lines // LINES_A_BUCKET))
+
+
 def store_order_parts(log: DataFrame, name: str, path: str, buckets: int = 200, database: str | None = None) -> DataFrame:
     """The parts of orders as catalog table ``name``, bucketed by order: a join of parts by their order moves nothing.
 
     Takes what the change log inserts; parts without an order's id are left to ``order_facts``.  Written once for
-    all jobs on top; take as many buckets as an order join of all data would have partitions.
+    all jobs on top; take as many buckets as an order join of all data would have partitions (``buckets_for``).
+    Each bucket is written by one task, so there are as many files of a kind as buckets.
     """
     parts = order_parts(log, database).filter("order_id IS NOT NULL")
-    (parts.write.option("path", path).partitionBy("kind").bucketBy(buckets, "order_id").sortBy("order_id")
+    (parts.repartition(buckets, "order_id").write.option("path", path).partitionBy("kind").bucketBy(buckets, "order_id").sortBy("order_id")
      .mode("overwrite").saveAsTable(name))
     return log.sparkSession.table(name)
 

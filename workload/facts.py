@@ -254,7 +254,8 @@ def order_facts_from_log(spark, sf):
 def order_facts_in_place(spark, sf):
     """Parts bucketed by order once, then joined where they lie."""
     path = shared_dir(spark, "order-parts")
-    parts = jobs.store_order_parts(read_cdc_log(change_texts(spark, sf)), path.rsplit("/", 1)[1].replace("-", "_"), path, 8, "shop")
+    buckets = jobs.buckets_for(table(spark, sf, "lineitem").count())
+    parts = jobs.store_order_parts(read_cdc_log(change_texts(spark, sf)), path.rsplit("/", 1)[1].replace("-", "_"), path, buckets, "shop")
     return jobs.order_facts_in_place(parts).drop("rt")
 
 
