@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark import schemas as S
-from tidemark.functions.jsons import parse_json
+from tidemark.functions.jsons import parse_json, parsed
 from tidemark.functions.numbers import cast_delta
 from tidemark.functions.times import from_epoch
 
@@ -17,6 +17,11 @@ def drop_tombstones(df: DataFrame, value: str = "value") -> DataFrame:
     return df.filter(F.col(value).isNotNull())
 
 
+def cdc_rows(raw: DataFrame) -> DataFrame:
+    """``cdc_log`` in one table: parsed columns, and in ``_corrupt_record`` the text of a record that is none."""
+    return parsed(raw, S.CDC).withColumn("rt", from_epoch("ts", "s")).withColumn("pt", F.current_timestamp())
+
+
 def cdc_log(raw: DataFrame, count_as: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Parse change-log texts; adds event time ``rt`` and processing time ``pt``.
 

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tidemark import schemas as S
+from tidemark.functions.jsons import CORRUPT
 from tidemark.functions.times import date_part
-from tidemark.operators.cdc import cdc_log
+from tidemark.operators.cdc import cdc_rows
 from tidemark.operators.joins import SKU_ATTRIBUTES, enrich, enrich_sku, flatten_sku, skus_under
 from tidemark.operators.routing import DIM_KEY, FACT_KEY, dim_route, dwd_route, route_by_topic
 from tidemark.plans.dimensions import ORDER
@@ -164,25 +165,35 @@ def fact_router(path: str, rules: Callable[[], DataFrame], database: str | None
 def change_log_writer(path: str) -> Write:
     """``foreachBatch`` writer of raw change-log texts: parsed once, stored by table and day.
 
-    Texts that do not parse go to ``bad``.  The jobs on top read their tables' parts only.
+    Texts that do not parse are stored beside the log in the same pass (``bad_changes``).  Rows of a table and
+    day are brought together first, a large day in several tasks, so files are as many as the data asks for and
+    not as many as tasks times days.  The jobs on top read their tables' parts only.
     """
     def write(raw: DataFrame, batch_id: int) -> None:
-        good, bad = cdc_log(raw)
-        (good.withColumn("day", F.to_date("rt")).write.mode("overwrite").partitionBy("table", "day")
+        rows = cdc_rows(raw).withColumn("day", F.to_date("rt"))
+        rows = rows.withColumn("bad", F.col(CORRUPT).isNotNull().cast("int")).withColumnRenamed(CORRUPT, "text")
+        # What could be read of a bad record is not stored.
+        rows = rows.select("text", "bad", *[
+            F.when(F.col("bad") == 0, F.col(c)).alias(c) for c in rows.columns if c not in ("text", "bad")])
+        (rows.hint("rebalance", "bad", "table", "day").write.mode("overwrite").partitionBy("bad", "table", "day")
          .parquet(f"{path}/log/batch_id={batch_id}"))
-        bad.write.mode("overwrite").text(f"{path}/bad/batch_id={batch_id}")
 
     return write
 
 
+def _stored_rows(spark: SparkSession, path: str, bad: int) -> DataFrame:
+    rows = spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log")
+    return rows.filter(F.col("bad") == bad).drop("batch_id", "bad")
+
+
 def stored_change_log(spark: SparkSession, path: str) -> DataFrame:
     """What ``change_log_writer`` stored; a filter on ``table`` or ``day`` reads that part only."""
-    return spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log").drop("batch_id")
+    return _stored_rows(spark, path, 0).drop("text")
 
 
 def bad_changes(spark: SparkSession, path: str) -> DataFrame:
     """The texts that did not parse."""
-    return spark.read.text(f"{path}/bad").select("value")
+    return _stored_rows(spark, path, 1).select(F.col("text").alias("value"))
 
 
 # --- wide facts --------------------------------------------------------------------
