@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 import workload.all  # noqa: F401
@@ -10,8 +11,10 @@ from tidemark.operators import facts, firsts
 from tidemark.plans import facts as plan_facts, jobs
 from tidemark.session import shared_dir
 from tidemark.sources import read_cdc_log
+from tidemark.streaming.state import DailyFirst
 from workload.facts import change_texts
-from workload.inputs import order_tables
+from workload.inputs import order_tables, table
+from workload.registry import QUERIES
 from workload.streams import topic_of
 
 
@@ -70,3 +73,44 @@ def test_buckets_grow_with_the_lines(spark, sf_dir):
     path = shared_dir(spark, "parts")
     plan_facts.store_order_parts(log, path.rsplit("/", 1)[1].replace("-", "_"), path, 5, "shop")
     assert all(len(glob.glob(f"{kind}/part-*")) <= 5 for kind in glob.glob(f"{path}/kind=*"))
+
+
+def test_days_of_a_key_are_asked_for_together():
+    """State calls of a key do not grow with its days."""
+    calls = []
+
+    class Days:
+        def __init__(self):
+            self.known = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.known)
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.known += rows
+
+    class Handle:
+        def getListState(self, name, schema, ttl):
+            return Days()
+
+    first = DailyFirst(1000)
+    first.init(Handle())
+
+    def flags(days):
+        pdf = pd.DataFrame([["m", at, f"2024-01-{d:02}", None, str(at)] for at, d in enumerate(days)])
+        out = next(iter(first.handleInputRows(("m",), iter([pdf]), None)))
+        return out["_uv"].tolist()
+
+    assert flags([1, 2, 2, *range(3, 29)]) == [1, 1, 0, *[1] * 26]
+    assert calls == ["get", "append"]
+    assert flags([5, 29, 5]) == [0, 1, 0] and len(calls) == 4
+
+
+def test_ttl_stream_input_is_written_by_all_cores(spark, sf_dir):
+    before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/views-*"))
+    df = QUERIES["daily_first_ttl_stream"](spark, sf_dir)
+    assert df.count() == table(spark, sf_dir, "events").count()
+    (path,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/views-*")) - before
+    assert len(glob.glob(f"{path}/part-*")) == spark.sparkContext.defaultParallelism

@@ -83,14 +83,15 @@ class VisitorRepair(_LastDay):
 class DailyFirst(StatefulProcessor):
     """Flags the first record of every key and day, in whatever order days come.
 
-    A day is remembered for ``ttl_ms`` of wall-clock time.
+    A day is remembered for ``ttl_ms`` of wall-clock time.  A key's days are read and added to
+    together: every question to the state store is a way to the JVM and back.
     """
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.days = handle.getMapState("days", TEXT, TEXT, self.ttl_ms)
+        self.days = handle.getListState("seen_days", TEXT, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # The earliest of a day may stand in any of the batches.
@@ -98,11 +99,11 @@ class DailyFirst(StatefulProcessor):
         flags = ~pdf["_day"].duplicated()
         if key[0].startswith(NO_KEY):  # nobody has no first
             flags[:] = False
-        for at in flags.index[flags]:
-            if self.days.containsKey((pdf["_day"][at],)):
-                flags[at] = False
-            else:
-                self.days.updateValue((pdf["_day"][at],), ("",))
+        if flags.any():
+            flags &= ~pdf["_day"].isin([day for (day,) in self.days.get()])
+            fresh = [(day,) for day in pdf["_day"][flags]]
+            if fresh:
+                self.days.appendList(fresh)
         yield pd.DataFrame({
             "_at": pdf["_at"], "_row": pdf["_row"], "_uv": flags.astype("int64"),
         })

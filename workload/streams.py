@@ -116,8 +116,9 @@ def daily_first_ttl_stream(spark, sf):
     use_rocksdb_state(spark)
     path, out = shared_dir(spark, "views"), shared_dir(spark, "flags")
     rows = views(spark, sf).select("event_id", "mid", "rt")
-    rows.coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path).withWatermark("rt", "2 seconds")
+    # All there is at the start makes one micro-batch: some files, written and read by all cores.
+    rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1_000_000).parquet(path).withWatermark("rt", "2 seconds")
     running = run_stream(daily_first_flag_stream(stream, "mid", "rt"), shared_dir(spark, "checkpoint"), append_batch(out), "1 second")
     expected, deadline = rows.count(), time.monotonic() + 600
     try:
