@@ -2,12 +2,13 @@
 
 import glob
 import os
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 import workload.all  # noqa: F401
-from tidemark.operators import facts, firsts
+from tidemark.operators import facts, firsts, keywords
 from tidemark.plans import facts as plan_facts, jobs
 from tidemark.session import shared_dir
 from tidemark.sources import read_cdc_log
@@ -114,3 +115,11 @@ def test_ttl_stream_input_is_written_by_all_cores(spark, sf_dir):
     assert df.count() == table(spark, sf_dir, "events").count()
     (path,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/views-*")) - before
     assert len(glob.glob(f"{path}/part-*")) == spark.sparkContext.defaultParallelism
+
+
+def test_pieces_are_counted_before_their_script_is_looked_at(spark):
+    df = spark.createDataFrame([(1, "大数a 大数a b b"), (2, "b 大数a")], "doc int, text string")
+    known = spark.createDataFrame([("大数",)], "word string")
+    found = keywords.segment(df, "text", known)
+    assert re.search(r"HashAggregate\(keys=\[doc#\d+, _piece#", plan_of(found)), plan_of(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a", 2), (1, "b", 2), (1, "大数", 2), (2, "a", 1), (2, "b", 1), (2, "大数", 1)]

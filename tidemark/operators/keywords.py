@@ -67,13 +67,15 @@ def segment(df: DataFrame, col: str, dictionary: DataFrame, dict_col: str = "wor
     """
     others = [c for c in df.columns if c != col]
     pieces = explode_words(df, col, "_piece")
+    # Counted as whole pieces first: texts share most of them, and each is looked at for its script once.
+    counted = pieces.groupBy(*others, "_piece").agg(F.count("*").alias("_pieces"))
     # Han characters and others in one piece are runs of their own.
     one_script = F.when(
         F.rlike("_piece", F.lit(HAN)), F.split("_piece", SCRIPT_CHANGE)
     ).otherwise(F.array("_piece"))
     runs = (
-        pieces.select(*others, F.explode(one_script).alias("_run")).filter(F.col("_run") != "")
-        .groupBy(*others, "_run").agg(F.count("*").alias("_runs"))
+        counted.select(*others, "_pieces", F.explode(one_script).alias("_run")).filter(F.col("_run") != "")
+        .groupBy(*others, "_run").agg(F.sum("_pieces").alias("_runs"))
     )
     # Looking at the count keeps it in the plan of both uses of the counted runs;
     # so they are equal to Spark, and the texts are read and shuffled once.
