@@ -283,6 +283,52 @@ def test_log_is_parsed_whole_only_once(spark):
     assert plan.count("try_parse_json") + plan.count("parseJson(") == 1, plan
 
 
+@pytest.mark.parametrize("sent_bytes", [traffic.SENT_BYTES, 0])
+def test_log_repair_parses_heads_once(spark, sent_bytes):
+    heads = traffic.log_heads(spark.createDataFrame([('{"common":{"mid":"m","is_new":"1"},"ts":1}',)], "value string"))
+    plan = traffic.repair_log(heads, sent_bytes=sent_bytes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "JsonToStructs" not in plan, plan
+
+
+def test_split_log_makes_only_the_rows_asked_for(spark):
+    parts = traffic.split_log(log_rows(spark))
+    for kind, rows in parts.items():
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert {t for t in S.LOG_TOPICS.values() if t in plan} <= {S.LOG_TOPICS[kind]}, plan
+    together = rows_of(traffic.split_log_records(log_rows(spark)), "value")
+    assert sorted(v for p in parts.values() for v in rows_of(p, "value")) == sorted(together)
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_split_log_clears_the_flag_wherever_it_stands(spark, ordered):
+    import json
+
+    bodies = [  # the flag stands plainly, spaced, escaped, as a number, twice, behind another field of its name, in a text
+        '{"common":{"mid":"m","is_new":"1"},"page":{"page_id":"p"},"ts":1,"n":1.50}',
+        '{"common":{"mid":"m","is_new" : "1"},"page":{"page_id":"p"},"ts":1}',
+        '{"common":{"mid":"m","is\\u005fnew":"1"},"page":{"page_id":"p","is_new":"1"},"ts":1}',
+        '{"common":{"mid":"m","is_new":1},"page":{"page_id":"p"},"ts":1}',
+        '{"page":{"page_id":"p","is_new":"1"},"common":{"mid":"m","is_new":"1"},"ts":1}',
+        '{"page":{"page_id":"p","is_new":"1"},"common":{"mid":"m","is_new": "1"},"ts":1}',
+        '{"common":{"mid":"m","is_new":"1","said":"\\"is_new\\":\\"1\\""},"page":{"page_id":"p"},"ts":1}',
+        '  {"common":{"mid":"m","is_new":"1"},"\\u0073tart":{"entry":"icon"},"ts":1}',
+        '{"common":{"mid":"m","is_new":"1"},"page":{"page_id":"p"},"displays":[{"is_new":"1"},7,{"ts":9}],"ts":1}',
+    ]
+    heads = spark.createDataFrame([(b, "0") for b in bodies], "value string, is_new string")
+    rows = traffic.split_log_records(heads, ordered=ordered).collect()
+    found = [(r.topic, json.loads(r.value)) for r in rows]
+    wanted = []
+    for b in map(json.loads, bodies):
+        b["common"]["is_new"] = "0"
+        shared = {"common": b["common"], "ts": b["ts"], "page_id": b.get("page", {}).get("page_id")}
+        wanted += [("dwd_traffic_display", {**(x if isinstance(x, dict) else {"element": x}), **shared}) for x in b.pop("displays", [])]
+        wanted.append(("dwd_traffic_start" if "start" in b else "dwd_traffic_page", b))
+    by_text = lambda found: sorted((topic, json.dumps(body, sort_keys=True)) for topic, body in found)
+    assert by_text(found) == by_text(wanted)
+    if ordered:
+        assert all(r.value == json.dumps(json.loads(r.value), sort_keys=True, separators=(",", ":")) for r in rows)
+
+
 def test_page_log_takes_quoted_numbers_and_reports_bad(spark):
     rows = ['{"common":{"mid":"m"},"page":{"page_id":"p","during_time":"12"},"ts":"1000","more":1}', "x", "[2]", None]
     good, bad = traffic.page_log(spark.createDataFrame([(r,) for r in rows], "value string"))

@@ -134,11 +134,13 @@ def repair_log(
 ) -> DataFrame:
     """``repair_is_new`` on ``log_heads``; the texts ride along unparsed and stay where they lie.
 
+    The heads are written to the shared folder, so that texts are parsed once for all passes, and the first reads no texts.
     Only visitor, time and flag are shuffled, to find the visitors with a flag to clear.
     That list is written to the shared folder and measured: up to ``sent_bytes`` it is sent to
     every task, beyond that records take two paths (``_in_two_paths``).  ``history`` is what
     ``first_seen`` gave for the records before these.
     """
+    heads = written(heads, "heads")
     timed = heads.withColumn("_at", F.timestamp_millis("ts"))
     says_new = F.col("is_new") == "1"
     last = F.max(F.when(says_new, F.col("_at"))).alias("_last_new")
@@ -170,7 +172,7 @@ def explode_events(log: DataFrame, array: str) -> DataFrame:
     return rows
 
 
-def split_log_records(heads: DataFrame) -> DataFrame:
+def split_log_records(heads: DataFrame, kinds: Sequence[str] | None = None, ordered: bool = False) -> DataFrame:
     """Repaired log records as ``(topic, value)`` rows of five outputs and one for what is no record.
 
     A record with ``err`` goes to *error* whole and is then treated like any
@@ -182,14 +184,22 @@ def split_log_records(heads: DataFrame) -> DataFrame:
     the only value changed is a repaired ``common.is_new``.  A text that is no JSON
     object goes to *bad* as it is.  All rows come out of one pass; write them to a
     topic sink with a ``topic`` column or to files partitioned by ``topic``.
+    ``kinds``: the outputs whose rows are made (all, unless given).  ``ordered``: records
+    are written anew with the keys of every object in order; else texts with nothing to change stay as they are.
     """
+    kinds = set(S.LOG_TOPICS if kinds is None else kinds)
     open_map = "map<string,variant>"
 
-    def field(name: str, of: Column | str = "_body") -> Column:
-        return F.try_element_at(of, F.lit(name))
+    def field(path: str, kind: str = "variant") -> Column:
+        return F.try_variant_get("_body", f"$.{path}", kind)
 
-    def present(value: Column) -> Column:
-        return value.isNotNull() & ~F.is_variant_null(value)
+    def named(name: str, text: str | Column = "_text") -> Column:
+        # Only a text with this name, or with escapes, can have such a field: the others need no look into the body.
+        return F.contains(text, F.lit(f'"{name}"')) | F.contains(text, F.lit("\\"))
+
+    def present(name: str) -> Column:
+        value = field(name)
+        return named(name) & value.isNotNull() & ~F.is_variant_null(value)
 
     def once(rows: DataFrame, **columns: Column) -> DataFrame:
         # A one-element explode: what is used several times is worked out once.
@@ -199,61 +209,81 @@ def split_log_records(heads: DataFrame) -> DataFrame:
     def record(kind: str, value: Column) -> Column:
         return F.struct(F.lit(S.LOG_TOPICS[kind]).alias("topic"), value.alias("value"))
 
-    rows = once(heads.select("value", "is_new"), _body=F.try_variant_get(F.try_parse_json("value"), "$", open_map))
-    rows = once(rows, _common=F.try_variant_get(field("common"), "$", open_map))
-    said = F.try_variant_get(field("is_new", "_common"), "$", "string")
-    repaired = F.coalesce((said == "1") & (F.col("is_new") == "0"), F.lit(False))
-    fixed = F.to_variant_object(put_keys("_common", is_new=F.parse_json(F.lit('"0"'))))
+    # A flag that stands in the text once, and plainly, is cleared there; any other in the open body.
+    says_new, says_old = F.lit('"is_new":"1"'), F.lit('"is_new":"0"')
+    plain = (F.col("is_new") == "0") & F.contains("value", says_new) & ~F.contains("value", F.lit("\\"))
+    alone = F.length(F.replace("value", F.lit('"is_new"'))) == F.length("value") - len('"is_new"')
+    cleared = F.when(plain & alone, F.replace("value", says_new, says_old)).otherwise(F.col("value"))
+    rows = once(heads.select("value", "is_new"), _text=cleared)
+    rows = once(rows, _body=F.try_parse_json("_text"))
+    # Of the texts that are JSON those that begin with a brace are objects.
+    brace = F.startswith(F.ltrim("value", F.lit(" \t\r\n")), F.lit("{"))
     rows = once(
-        rows, _repaired=repaired, _fixed=F.when(repaired, fixed).otherwise(field("common")),
-        **{f"_{k}": F.try_variant_get(field(k), "$", "array<variant>") for k in ("displays", "actions")},
+        rows, _sound=F.col("_body").isNotNull() & brace, _started=F.coalesce(present("start"), F.lit(False)),
+        _repaired=F.coalesce((F.col("is_new") == "0") & (field("common.is_new", "string") == "1"), F.lit(False)),
+        **{f"_{k}": F.when(named(k), field(k, "array<variant>")) for k in ("displays", "actions")},
     )
-    taken = F.array_compact(F.array(*[F.when(F.col(f"_{k}").isNotNull(), F.lit(k)) for k in ("displays", "actions")]))
-    whole = F.when(F.col("_repaired"), F.to_json(put_keys("_body", common=F.col("_fixed")))).otherwise(F.col("value"))
-    context = F.map_filter(
-        F.create_map(
-            F.lit("common"), F.col("_fixed"), F.lit("ts"), field("ts"),
-            F.lit("page_id"), F.try_variant_get(field("page"), "$.page_id", "variant")),
-        lambda _, v: v.isNotNull())
-    rows = once(rows, _taken=taken, _whole=whole, _context=F.when(F.size(taken) > 0, context))
-    rows = once(rows, _given=F.map_keys("_context"), _shared=F.to_json("_context"))
+    fixed = F.to_variant_object(put_keys(field("common", open_map), is_new=F.parse_json(F.lit('"0"'))))
+    body = F.try_variant_get("_body", "$", open_map)
+    body = F.when(F.col("_repaired"), put_keys(body, common=fixed)).otherwise(body)
+    text_of = (lambda m: F.to_json(F.to_variant_object(m))) if ordered else F.to_json
+    whole = F.when(F.col("_repaired"), text_of(body)).otherwise(F.to_json("_body") if ordered else F.col("_text"))
+    holds = F.col("_displays").isNotNull() | F.col("_actions").isNotNull()
+    if kinds & {"display", "action"}:
+        context = F.map_filter(
+            F.create_map(
+                F.lit("common"), F.when(F.col("_repaired"), fixed).otherwise(field("common")), F.lit("ts"), field("ts"),
+                F.lit("page_id"), field("page.page_id")),
+            lambda _, v: v.isNotNull())
+        rows = once(rows, _context=F.when(holds & ~F.col("_started"), context))
+        shared = {} if ordered else {"_shared": F.to_json("_context")}
+        rows = once(rows, _given=F.map_keys("_context"), **shared)
 
     def event(kind: str):
-        def build(element: Column) -> Column:
-            own = F.to_json(element)
+        def merged(element: Column) -> Column:
+            fields = F.coalesce(F.try_variant_get(element, "$", open_map), F.create_map(F.lit("element"), element))
+            return F.map_concat(F.map_filter(fields, lambda k, _: ~F.array_contains("_given", k)), F.col("_context"))
+
+        def joined(x: Column) -> Column:
             # The record's fields as text go behind the element's, unless it has one of them itself or is no object.
+            element, own = x["element"], x["own"]
             clash = F.lit(False)
             for name in ("common", "ts", "page_id"):
-                clash = clash | F.try_variant_get(element, f"$.{name}", "variant").isNotNull()
+                clash = clash | (named(name, own) & F.try_variant_get(element, f"$.{name}", "variant").isNotNull())
             simple = F.startswith(own, F.lit('{"')) & (F.length("_shared") > 2) & ~clash
-            joined = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(","), F.substring("_shared", F.lit(2), F.length("_shared") - 1))
-            fields = F.coalesce(F.try_variant_get(element, "$", open_map), F.create_map(F.lit("element"), element))
-            kept = F.map_filter(fields, lambda k, _: ~F.array_contains("_given", k))
-            return record(kind, F.when(simple, joined).otherwise(F.to_json(F.map_concat(kept, F.col("_context")))))
-        return build
+            both = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(","), F.substring("_shared", F.lit(2), F.length("_shared") - 1))
+            return record(kind, F.when(simple, both).otherwise(text_of(merged(element))))
+
+        if ordered:
+            return F.transform(f"_{kind}s", lambda element: record(kind, text_of(merged(element))))
+        texts = F.transform(f"_{kind}s", lambda element: F.struct(element.alias("element"), F.to_json(element).alias("own")))
+        return F.transform(texts, joined)
 
     none = F.array().cast("array<struct<topic:string,value:string>>")
-    started = present(field("start"))
-    rest = F.map_filter(put_keys("_body", common=F.col("_fixed")), lambda k, _: ~F.array_contains("_taken", k))
-    rest = F.map_filter(rest, lambda _, v: v.isNotNull())  # a record without common fields gets none
-    page = F.when(F.size("_taken") > 0, F.to_json(rest)).otherwise(F.col("_whole"))
-    parts = [
-        F.when(present(field("err")), F.array(record("error", F.col("_whole")))).otherwise(none),
-        F.when(started, F.array(record("start", F.col("_whole")))).otherwise(F.array(record("page", page))),
-        F.when(~started & F.col("_displays").isNotNull(), F.transform("_displays", event("display"))).otherwise(none),
-        F.when(~started & F.col("_actions").isNotNull(), F.transform("_actions", event("action"))).otherwise(none),
-    ]
-    records = F.when(F.col("_body").isNull(), F.array(record("bad", F.col("value")))).otherwise(F.concat(*parts))
+    started = F.col("_started")
+    # What is left of a page; a record without common fields gets none.
+    rest = F.map_filter(body, lambda k, v: v.isNotNull() & ~(
+        ((k == "displays") & F.col("_displays").isNotNull()) | ((k == "actions") & F.col("_actions").isNotNull())))
+    parts = {
+        "error": F.when(present("err"), F.array(record("error", whole))),
+        "start": F.when(started, F.array(record("start", whole))),
+        "page": F.when(~started, F.array(record("page", F.when(holds, text_of(rest)).otherwise(whole)))),
+        "display": F.when(~started, event("display")),
+        "action": F.when(~started, event("action")),
+    }
+    made = [F.coalesce(part, none) for kind, part in parts.items() if kind in kinds]
+    bad = F.array(record("bad", F.col("value"))) if "bad" in kinds else none
+    records = F.when(F.col("_sound"), F.concat(*made) if made else none).otherwise(bad)
     return rows.select(F.explode(records).alias("_r")).select("_r.topic", "_r.value")
 
 
 def split_log(heads: DataFrame) -> dict[str, DataFrame]:
     """The outputs of ``split_log_records`` by kind, one text column ``value`` each.
 
-    Each is a selection over the same pass: to use several, write or persist that.
+    Each reads the records and makes its own rows only: to use several, write
+    ``split_log_records`` and select from that.
     """
-    records = split_log_records(heads)
-    return {kind: records.filter(F.col("topic") == topic).select("value") for kind, topic in S.LOG_TOPICS.items()}
+    return {kind: split_log_records(heads, [kind]).select("value") for kind in S.LOG_TOPICS}
 
 
 def page_log(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:

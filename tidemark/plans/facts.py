@@ -17,9 +17,9 @@ def visitor_log(raw: DataFrame, tz: str | None = None) -> DataFrame:
     return traffic.repair_log(traffic.log_heads(raw), tz)
 
 
-def log_topics(raw: DataFrame, tz: str | None = None) -> DataFrame:
-    """Stored application log as ``(topic, value)`` rows of the log topics, bad records included."""
-    return traffic.split_log_records(visitor_log(raw, tz))
+def log_topics(raw: DataFrame, tz: str | None = None, ordered: bool = False) -> DataFrame:
+    """Stored application log as ``(topic, value)`` rows of the log topics, bad records included; ``ordered``: keys in order."""
+    return traffic.split_log_records(visitor_log(raw, tz), ordered=ordered)
 
 
 def comment_facts(log: DataFrame, dictionary: DataFrame, database: str | None = None) -> DataFrame:

@@ -121,9 +121,7 @@ _ERROR_PAGE = f"""'{{' || case when {ACTIONS} then '"actions":[{{"action_id":"ca
     union all select 'dwd_traffic_bad', substr(concat('{{"common":{{"ar":"', ar, '","ch":"'), 1, 20) from ({VIEW_SQL}) where {BROKEN}""")
 def split_topics(spark, sf):
     """All outputs in one pass, whole payloads with their keys in order."""
-    rows = jobs.log_topics(log_texts(spark, sf))
-    # Variants hold their keys in order; texts that are no record stay as they are.
-    return rows.select("topic", F.coalesce(F.to_json(F.try_parse_json("value")), "value").alias("value"))
+    return jobs.log_topics(log_texts(spark, sf), ordered=True)
 
 
 @query("explode_with_context", """
