@@ -94,6 +94,33 @@ def test_encoder_equals_fresh_library(name, spaced, odd_docs):
     assert tokens.Encoder(name, spaced).batch(texts) == expected
 
 
+def test_words_are_encoded_together_and_cut_right():
+    encoder = tokens.Encoder("word_bpe_49k.json", False)
+    asked = []
+
+    class Library:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            return library.encode(text, **options)
+
+    library, encoder._library = encoder._library, Library()
+    letters = [f"{a}{b}{c}" for a in ("tho", "É", "ñosc", "İ", "ß", "ﬁ") for b in ("um", "ǅ", "世") for c in ("ble", "ê", "ΑΣ")]
+    plain = [f"pre{a}{b}fix" for a in "abcdefghij" for b in "klmnopqrst"]
+    marks = ["", ".", "***", "&&&", ".$$$", "'", "'s", "don't", "\u0301", "’", "9", "_x", "</w>", "\U00010d4a."]
+    words = [w + m for w in letters for m in marks] + plain + ["\U00010d4a,", "***", "'s", "a\u0301", "\u0301a"]
+    random.Random(3).shuffle(words)
+    texts = [" ".join(words), *words, None, ""]
+    wanted = [b"" if t is None else np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.batch(texts) == wanted
+    asked.clear()
+    fresh = [f"zq{w}" for w in plain]
+    assert encoder.batch([" ".join(fresh)]) == [np.array(library.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(asked) < len(fresh) / 10
+
+
 def test_encoder_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_WORDS", 50)
     encoder = tokens.Encoder("byte_bpe_50k.json", True)

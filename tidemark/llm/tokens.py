@@ -12,6 +12,9 @@ from __future__ import annotations
 
 from array import array
 from itertools import islice
+from string import punctuation
+
+import numpy as np
 
 from tidemark.llm.common import cache_of, release_memory
 
@@ -19,6 +22,8 @@ from tidemark.llm.common import cache_of, release_memory
 CACHED_WORDS = 300_000
 # Texts whose words are looked up together.
 TEXTS_AT_ONCE = 256
+# New words encoded as one text, where ids show the end of a word.
+WORDS_AT_ONCE = 128
 
 _ASCII_ODD = ["\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f"]
 _OTHER_SPACES = ["\x85", "\xa0", " ", "᠎", " ", " ", " ", " ", "　"] + [
@@ -43,10 +48,21 @@ class Encoder:
         self._library = Tokenizer.from_file(name)
         self._spaced = spaced
         self._cache: dict[str, bytes] = {"": b""}
+        self._ends = None if spaced else self._word_ends()
         doubled = ["  ", " \n", "\n ", "\n\n", "\0"] if spaced else []
         added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._odd = doubled + _ASCII_ODD[0 if spaced else 4:] + _OTHER_SPACES + added
 
+    def _word_ends(self) -> np.ndarray | None:
+        """Per id whether it ends a word, if the vocabulary marks that by a suffix."""
+        suffix = getattr(self._library.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        vocabulary = self._library.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[n for token, n in vocabulary.items() if token.endswith(suffix)]] = True
+        return ends
+
     def whole(self, text: str) -> bytes:
         """The ids as the library gives them for the whole text."""
         return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -82,15 +98,44 @@ class Encoder:
             self._cache = dict(islice(self._cache.items(), CACHED_WORDS // 2))
         cache = self._cache
         new = {w for w in words if w not in cache}
-        # "word," is "word" and ",": letters and marks never merge.
-        marked = [w for w in new if w[-1] in ".," and len(w) > 2 and w[-2].isalpha()]
+        # "word," is "word" and ",": letters and marks never merge.  Every Unicode version knows the letters up to here.
+        marked = {}
+        for w in new:
+            stem = w.rstrip(punctuation)
+            if len(stem) < len(w) and stem and stem[-1] < "\u0500" and stem[-1].isalpha():
+                marked[w] = stem, w[len(stem):]
         ask = new.difference(marked)
-        ask.update(w for w in [*(w[:-1] for w in marked), ".", ","] if w not in cache)
+        ask.update(part for parts in marked.values() for part in parts if part not in cache)
+        if self._ends is not None:
+            letters = [w for w in ask if w.isalpha()]
+            ask.difference_update(letters)
+            ask.update(self._learn_together(letters))
         ask = list(ask)
         for word, found in zip(ask, self._library.encode_batch_fast(ask, add_special_tokens=False)):
             cache[word] = array("I", found.ids).tobytes()
-        for w in marked:
-            cache[w] = cache[w[:-1]] + cache[w[-1]]
+        for w, (stem, marks) in marked.items():
+            cache[w] = cache[stem] + cache[marks]
+
+
+    def _learn_together(self, words: list[str]) -> list[str]:
+        """Add words of letters only, many encoded as one text; returns those that have to be encoded one by one.
+
+        Each such word has one end at least.  If there are as many ends as words, each has just one: its last id.
+        """
+        left = []
+        parts = [words[at:at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
+        texts = [" ".join(part) for part in parts]
+        for part, found in zip(parts, self._library.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part):
+                left += part
+                continue
+            body, start = ids.tobytes(), 0
+            for word, end in zip(part, cuts):
+                self._cache[word] = body[start:end]
+                start = end
+        return left
 
 
 def encoder(name: str, spaced: bool) -> Encoder:
