@@ -121,6 +121,41 @@ def test_words_are_encoded_together_and_cut_right():
     assert len(asked) < len(fresh) / 10
 
 
+def test_byte_level_words_are_encoded_together_and_cut_right(monkeypatch):
+    encoder = tokens.Encoder("byte_bpe_50k.json", True)
+    asked = []
+
+    class Library:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            return self.library.encode(text, **options)
+
+    library = encoder._library
+    for name in ("_library", "_by_space"):
+        if hasattr(encoder, name):
+            setattr(encoder, name, Library(getattr(encoder, name)))
+    letters = [f"{a}{b}{c}" for a in ("tho", "É", "ñosc", "İ", "ß", "ﬁ", "ɏ") for b in ("um", "ǅ", "世", "²", "×") for c in ("ble", "ê", "ΑΣ", "5")]
+    plain = [f"pre{a}{b}fix" for a in "abcdefghij" for b in "klmnopqrst"]
+    marks = ["", ".", ",", "..", ",.", ".,a", ",000.5", "_.", "***", "&&&", ".$$$", "!,", "'", "'s", "'s.", "'.s", "\u0301,", "’.", "½.", "\xad.", "\U00010d4a."]
+    words = [w + m for w in letters for m in marks] + plain + ["\U00010d4a,", "***", "'s", "a\u0301", "\u0301a", ",", ".", "Ġ", "Ċ.", "\x7f", "\x01a"]
+    random.Random(3).shuffle(words)
+    texts = [" ".join(words), "\n".join(words), *words, *(f" {w}" for w in words), *(f"{w} " for w in words), *(f"a {w},\n{w}." for w in words), None, ""]
+    wanted = [b"" if not t else np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.batch(texts) == wanted
+    monkeypatch.setattr(tokens, "CHARS_AT_ONCE", 40, raising=False)
+    assert tokens.Encoder("byte_bpe_50k.json", True).batch(texts) == wanted
+    asked.clear()
+    fresh = [f"zq{w}" for w in plain]
+    assert encoder.batch([" ".join(fresh)]) == [np.array(library.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(asked) < len(fresh) / 10
+
+
 def test_encoder_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_WORDS", 50)
     encoder = tokens.Encoder("byte_bpe_50k.json", True)
