@@ -156,6 +156,13 @@ def test_byte_level_words_are_encoded_together_and_cut_right(monkeypatch):
     assert len(asked) < len(fresh) / 10
 
 
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_marks_behind_a_letter_that_ends_in_a_dot_when_lowered(name, spaced):
+    encoder = tokens.Encoder(name, spaced)
+    texts = [f"{w}{m}" for w in ("İ", "Tİ", "aİb", "É", "i\u0307") for m in ("", ".", "!,", "'s", ". x")]
+    assert encoder.batch(texts) == [encoder.whole(t) for t in texts]
+
+
 def test_encoder_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_WORDS", 50)
     encoder = tokens.Encoder("byte_bpe_50k.json", True)

@@ -167,7 +167,8 @@ class Encoder:
         marked = {}
         for w in ask:
             stem = w.rstrip(punctuation)
-            if len(stem) < len(w) and stem and stem[-1] < "\u0500" and stem[-1].isalpha():
+            # Lower-cased, "İ" ends in a dot of its own, which merges with marks.
+            if len(stem) < len(w) and stem and stem[-1] < "\u0500" and stem[-1].lower().isalpha():
                 marked[w] = stem, w[len(stem):]
         ask.difference_update(marked)
         parts = {part for both in marked.values() for part in both if part not in cache} - words
