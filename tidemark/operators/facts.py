@@ -43,8 +43,17 @@ def order_detail_wide(
     Nearly every line has its order, so the narrow lines meet activity and coupon
     first and the 24 order columns are moved only once, by the order key.
     """
+    return with_orders(reduced_lines(od, oa, oc), oi, time)
+
+
+def reduced_lines(od: DataFrame, oa: DataFrame, oc: DataFrame) -> DataFrame:
+    """Line ⟕ activity ⟕ coupon, the first half of ``order_detail_wide``."""
+    return _reductions(_lines(od), oa, oc)
+
+
+def with_orders(lines: DataFrame, oi: DataFrame, time: str = "rt") -> DataFrame:
+    """The second half: ``reduced_lines`` with their orders."""
     orders = oi.withColumnRenamed("id", "order_id")
-    lines = _reductions(_lines(od), oa, oc)
     return orders.join(lines, orders["order_id"] == lines["_order_id"], "inner").select(
         *S.order_detail_columns(time)
     )

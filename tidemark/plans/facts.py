@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark import schemas as S
 from tidemark.operators import cdc, facts, traffic
 from tidemark.operators.routing import dwd_route, route_by_topic
+from tidemark.session import shuffles_dropped, written
 from tidemark.streaming.joins import order_parts
 
 LINES_A_BUCKET = 150_000
@@ -34,12 +35,14 @@ def order_facts(log: DataFrame, database: str | None = None) -> DataFrame:
     """Wide order details from a change log.
 
     The log is read four times, each time narrowed to one table; keep it
-    partitioned by ``table`` so that each reads its own part.
+    partitioned by ``table`` so that each reads its own part.  Lines with their reductions are
+    written before they meet their orders, so the disk never holds both shuffles of the lines.
     """
-    return facts.order_detail_wide(
-        cdc.order_info(log, database), cdc.order_detail(log, database),
-        cdc.order_detail_activity(log, database), cdc.order_detail_coupon(log, database),
-    )
+    lines = facts.reduced_lines(
+        cdc.order_detail(log, database), cdc.order_detail_activity(log, database), cdc.order_detail_coupon(log, database))
+    with shuffles_dropped(log.sparkSession):
+        lines = written(lines, "reduced-lines", compression="zstd")
+    return facts.with_orders(lines, cdc.order_info(log, database))
 
 
 def buckets_for(lines: int, least: int = 8) -> int:

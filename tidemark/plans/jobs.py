@@ -18,6 +18,7 @@ from tidemark.operators.cdc import cdc_rows
 from tidemark.operators.joins import SKU_ATTRIBUTES, enrich, enrich_sku, flatten_sku, skus_under
 from tidemark.operators.routing import DIM_KEY, FACT_KEY, dim_route, dwd_route, route_by_topic
 from tidemark.plans.dimensions import ORDER
+from tidemark.session import shuffles_dropped
 from tidemark.sinks.ddl import table_columns
 from tidemark.sinks.tables import KeyedTable, overwrite_partitions, read_if_there
 from tidemark.streaming.joins import cancel_detail, late_parts, order_details, reassembled
@@ -163,11 +164,12 @@ def fact_router(path: str, rules: Callable[[], DataFrame], database: str | None
 # --- the change log, parsed once -------------------------------------------------
 
 def change_log_writer(path: str) -> Write:
-    """``foreachBatch`` writer of raw change-log texts: parsed once, stored by table and day.
+    """``foreachBatch`` writer of raw change-log texts: parsed once, stored by table, a task's rows of a table in order of their day.
 
-    Texts that do not parse are stored beside the log in the same pass (``bad_changes``).  Rows of a table and
-    day are brought together first, a large day in several tasks, so files are as many as the data asks for and
-    not as many as tasks times days.  The jobs on top read their tables' parts only.
+    Texts that do not parse are stored beside the log in the same pass (``bad_changes``).  Each task writes its rows
+    where it has them, one file a table: nothing is shuffled, and files do not multiply with days.  The days of a
+    file are told apart by its statistics, so the jobs on top read their tables' parts, and of those their days, only.
+    A batch of many small tasks has as many small files; ``coalesce`` it before.
     """
     def write(raw: DataFrame, batch_id: int) -> None:
         rows = cdc_rows(raw).withColumn("day", F.to_date("rt"))
@@ -175,15 +177,19 @@ def change_log_writer(path: str) -> Write:
         # What could be read of a bad record is not stored.
         rows = rows.select("text", "bad", *[
             F.when(F.col("bad") == 0, F.col(c)).alias(c) for c in rows.columns if c not in ("text", "bad")])
-        (rows.hint("rebalance", "bad", "table", "day").write.mode("overwrite").partitionBy("bad", "table", "day")
-         .parquet(f"{path}/log/batch_id={batch_id}"))
+        # A table that is never null, as an empty name is stored like none: else the writer sorts once more, by table alone.
+        rows = rows.withColumn("table", F.coalesce("table", F.lit(""))).sortWithinPartitions("bad", "table", "day")
+        with shuffles_dropped(raw.sparkSession):
+            (rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bad", "table")
+             .parquet(f"{path}/log/batch_id={batch_id}"))
 
     return write
 
 
 def _stored_rows(spark: SparkSession, path: str, bad: int) -> DataFrame:
     rows = spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log")
-    return rows.filter(F.col("bad") == bad).drop("batch_id", "bad")
+    rows = rows.filter(F.col("bad") == bad).drop("batch_id", "bad")
+    return rows.select(*[c for c in rows.columns if c != "day"], "day")
 
 
 def stored_change_log(spark: SparkSession, path: str) -> DataFrame:
