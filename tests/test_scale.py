@@ -163,6 +163,35 @@ def test_lines_are_shuffled_one_time_at_once(spark):
         ("2", "v", None, None, None, None, None, None)], key=str)
 
 
+def test_cancelled_lines_are_shuffled_one_time_at_once(spark):
+    def row(table, type_, id_, old=None, **data):
+        return ("shop", table, type_, {"id": id_, **data}, old)
+
+    log = spark.createDataFrame([
+        row("order_info", "update", "1", {"order_status": "1001"}, order_status="1003"), row("order_info", "insert", "2", order_status="1003"),
+        row("order_info", "update", "3", {"order_status": "1001"}, order_status="1002"),
+        row("order_info", "update", "4", {"order_status": "1002"}, order_status="1003"),
+        *[row("order_detail", "insert", f"{o}-{n}", order_id=o, sku_id="s") for o in "1234" for n in (1, 2)], row("order_detail", "insert", "0"),
+        row("order_detail_activity", "insert", "r1", order_detail_id="1-2", order_id="9"), row("order_detail_activity", "insert", "r2", order_detail_id="1-2"),
+        row("order_detail_coupon", "insert", "k1", order_detail_id="4-1"), row("order_detail_coupon", "insert", "k2", order_detail_id="2-1"),
+    ], "database string, table string, type string, data map<string,string>, old map<string,string>").withColumns(
+        {"rt": F.lit(0).cast("timestamp"), "pt": F.lit(1).cast("timestamp")})
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        wide = plan_facts.cancel_facts(log, "shop")
+        plan = plan_of(wide)
+    finally:
+        spark.conf.set(threshold, before)
+    assert plan.count("Exchange hashpartitioning") == 3 and "order_info" not in plan, plan
+    columns = ["order_id", "order_detail_id", "sku_id", "order_detail_activity_id", "order_detail_coupon_id"]
+    assert sorted((tuple(r) for r in wide.select(*columns).collect()), key=str) == sorted([
+        ("1", "1-1", "s", None, None), ("1", "1-2", "s", "r1", None), ("1", "1-2", "s", "r2", None),
+        ("4", "4-1", "s", None, "k1"), ("4", "4-2", "s", None, None)], key=str)
+    assert [r.n for r in wide.select(F.unix_timestamp("pt").alias("n")).distinct().collect()] == [1]
+
+
 def test_buckets_grow_with_the_lines(spark, sf_dir):
     assert plan_facts.buckets_for(0) == 8 and plan_facts.buckets_for(36_000_000) == 240
     log = read_cdc_log(change_texts(spark, sf_dir))

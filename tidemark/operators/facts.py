@@ -67,10 +67,19 @@ def cancel_detail_wide(
     Few orders are cancelled, so their lines are cut out first and only those
     meet activity and coupon.
     """
+    return with_reductions(cancelled_lines(cancelled, od), oa, oc, time)
+
+
+def cancelled_lines(cancelled: DataFrame, od: DataFrame) -> DataFrame:
+    """Cancelled order ⋈ line, the first half of ``cancel_detail_wide``."""
     orders = cancelled.withColumnRenamed("id", "order_id")
     lines = _lines(od)
-    detail = orders.join(lines, orders["order_id"] == lines["_order_id"], "inner")
-    return _reductions(detail, oa, oc).select(*S.order_detail_columns(time))
+    return orders.join(lines, orders["order_id"] == lines["_order_id"], "inner")
+
+
+def with_reductions(lines: DataFrame, oa: DataFrame, oc: DataFrame, time: str = "pt") -> DataFrame:
+    """The second half: ``cancelled_lines`` ⟕ activity ⟕ coupon."""
+    return _reductions(lines, oa, oc).select(*S.order_detail_columns(time))
 
 
 def pay_detail(

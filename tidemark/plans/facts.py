@@ -84,10 +84,11 @@ def order_facts_in_place(parts: DataFrame) -> DataFrame:
 
 
 def cancel_facts(log: DataFrame, database: str | None = None) -> DataFrame:
-    return facts.cancel_detail_wide(
-        cdc.order_cancel(log, database), cdc.order_detail(log, database),
-        cdc.order_detail_activity(log, database), cdc.order_detail_coupon(log, database),
-    )
+    """Wide details of cancelled orders from a change log; their lines are written before they meet activity and coupon, as above."""
+    lines = facts.cancelled_lines(cdc.order_cancel(log, database), cdc.order_detail(log, database))
+    with shuffles_dropped(log.sparkSession):
+        lines = written(lines, "cancelled-lines", compression="zstd")
+    return facts.with_reductions(lines, cdc.order_detail_activity(log, database), cdc.order_detail_coupon(log, database))
 
 
 def pay_facts(
